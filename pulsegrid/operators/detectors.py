@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import ordered
 from pulsegrid.operators.observe import KEYS
 from pulsegrid.operators.ordered import cooldown, running, stack_matches, time_cell, with_position
 from pulsegrid.params import MICROS, DetectorParams
@@ -85,7 +86,7 @@ def sustained_elevations(base: DataFrame, params: DetectorParams) -> DataFrame:
     and the previous row's does not. `base` is read twice.
     """
     rows = running(
-        base, KEYS, F.floor(F.col("pos") / 4096), ["pos"],
+        base, KEYS, F.floor(F.col("pos") / F.lit(ordered.BLOCK_ROWS)), ["pos"],
         {"up_since": ("max", F.when(F.col("starts_up"), F.col("detected_at")))},
     ).filter("is_up and not starts_up")
     age = _seconds(F.col("detected_at"), F.col("up_since"))

@@ -38,8 +38,10 @@ def random_entries(seed, minutes=400, sources=7):
         minute = 0
         while minute < minutes:
             rate = 0.02 if (minute // burst) % 3 else rng.choice([0.1, 0.5, 0.9])
+            if minute % 70 in (68, 69):  # incidents of all sources
+                rate = 0.8
             for _ in range(rng.randrange(1, 5)):
-                sec = minute * 60 + rng.random() * 59.9
+                sec = minute * 60 + round(rng.random() * 59.9, 3)
                 err = rng.random() < rate
                 lat = None if rng.random() < 0.3 else 50 + rng.random() * (5 if rng.random() < 0.95 else 500)
                 rows.append((sec, "ERROR" if err else "INFO", f"boom {rng.choice('abcdef')} {rng.randrange(99)}",
@@ -66,8 +68,9 @@ def run_model(rows, params):
 
 def facts_of_model(model):
     return sorted(
-        (a["kind"], a["tenant"], a["source"], a["at"], a["severity"], round(a["cur"], 5), round(a["base"], 5),
-         round(a["bound"], 5), a["service"], a["status"], a["resolved"], a.get("message"), tuple(a.get("members", ())))
+        (a["kind"], a["tenant"], a["source"], float(a["at"]), a["severity"], round(float(a["cur"]), 5),
+         round(float(a["base"]), 5), round(float(a["bound"]), 5), a["service"], a["status"],
+         None if a["resolved"] is None else float(a["resolved"]), a.get("message"), tuple(a.get("members", ())))
         for a in model.alerts)
 
 
