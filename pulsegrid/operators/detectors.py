@@ -9,6 +9,7 @@ from pulsegrid.operators import ordered
 from pulsegrid.operators.observe import KEYS
 from pulsegrid.operators.ordered import cooldown, running, stack_matches, time_cell, with_position
 from pulsegrid.params import MICROS, DetectorParams
+from pulsegrid.session import materialize
 
 SPIKE, SUSTAINED, SILENCE = "ERROR_RATE_SPIKE", "SUSTAINED_ELEVATION", "SERVICE_SILENCE"
 LATENCY, NOVEL, CASCADE = "LATENCY_SPIKE", "NOVEL_ERROR", "CASCADE"
@@ -228,7 +229,9 @@ def cascades(
     Returns (detections, members); members hold tenant_id, detected_at and
     `contributing`, the earliest open spike of every service.
     """
-    counted = open_services(spikes, params).filter(F.col("services") >= params.cascade_min_services)
+    counted = materialize(
+        open_services(spikes, params).filter(F.col("services") >= params.cascade_min_services), "crowds"
+    )
     fired = cooldown(counted, ["tenant_id"], "detected_at", params.cascade_window_s, last_fired)
     trigger = (
         counted.join(fired, ["tenant_id", "detected_at"])

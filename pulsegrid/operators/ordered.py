@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.params import MICROS
+from pulsegrid.session import materialize
 
 BLOCK_ROWS = 4096
 # Groups up to this many distinct instants are folded as one array; larger ones
@@ -160,17 +161,16 @@ def cooldown(
     """Keep an instant only if `seconds` have passed since the last one kept.
 
     Returns the distinct (keys, at) kept. `seed` may hold keys and `last_at`, the
-    last instant kept earlier. `events` is read more than once.
+    last instant kept earlier. The instants are written once; keys with more than
+    `fold_limit` of them take the chunked path, all others are folded as one array.
     """
     keys = list(keys)
     gap = seconds * MICROS
-    instants = events.select(*keys, F.unix_micros(at).alias("t")).distinct()
+    instants = materialize(events.select(*keys, F.unix_micros(at).alias("t")).distinct(), "instants")
     hot = instants.groupBy(*keys).count().filter(F.col("count") > fold_limit).select(*keys)
-    small = (
-        instants.join(hot, keys, "left_anti")
-        .groupBy(*keys).agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    )
-    large = instants.join(hot, keys, "left_semi")
+    any_hot = not hot.isEmpty()
+    grouped = instants.join(hot, keys, "left_anti") if any_hot else instants
+    small = grouped.groupBy(*keys).agg(F.sort_array(F.collect_list("t")).alias("ts"))
     first = F.lit(None).cast("bigint")
     if seed is not None:
         seed = seed.select(*keys, F.unix_micros("last_at").alias("last_t"))
@@ -185,7 +185,9 @@ def cooldown(
         ).otherwise(acc),
         lambda acc: acc["kept"],
     )
-    out = small.select(*keys, F.explode(kept).alias("t")).unionByName(_chunked_cooldown(large, keys, gap, seed))
+    out = small.select(*keys, F.explode(kept).alias("t"))
+    if any_hot:
+        out = out.unionByName(_chunked_cooldown(instants.join(hot, keys, "left_semi"), keys, gap, seed))
     return out.select(*keys, F.timestamp_micros("t").alias(at))
 
 

@@ -53,7 +53,7 @@ class Detection:
 
     @cached_property
     def latency(self) -> DataFrame:
-        return baseline.latency_baseline(self.base, self.params)
+        return materialize(baseline.latency_baseline(self.base, self.params), "latency")
 
     @cached_property
     def next_state(self) -> DataFrame:
