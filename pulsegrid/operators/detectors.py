@@ -222,16 +222,18 @@ def open_services(spikes: DataFrame, params: DetectorParams) -> DataFrame:
 
 
 def cascades(
-    spikes: DataFrame, base: DataFrame, params: DetectorParams, last_fired: DataFrame | None = None
+    spikes: DataFrame, params: DetectorParams, last_fired: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Spikes that complete a cascade, and the services behind each.
 
-    Returns (detections, members); members hold tenant_id, detected_at and
-    `contributing`, the earliest open spike of every service.
+    `spikes` holds detections with `id` and `resolved_at`; those of earlier runs
+    (`pos` below zero) count but do not trigger. Returns (detections, members);
+    members hold tenant_id, detected_at and `contributing`, the earliest open
+    spike of every service.
     """
-    counted = materialize(
-        open_services(spikes, params).filter(F.col("services") >= params.cascade_min_services), "crowds"
-    )
+    crowded = open_services(spikes, params).filter(
+        (F.col("services") >= params.cascade_min_services) & (F.col("pos") >= 0))
+    counted = materialize(crowded, "crowds")
     fired = cooldown(counted, ["tenant_id"], "detected_at", params.cascade_window_s, last_fired)
     trigger = (
         counted.join(fired, ["tenant_id", "detected_at"])
@@ -239,14 +241,16 @@ def cascades(
         .agg(F.min(F.struct("source_id", "pos", "services")).alias("s"))
         .select("tenant_id", "detected_at", "s.*")
     )
-    facts = base.select(*KEYS, "pos", "unit", "m", "v", "warm", "warmup_required", "alpha", "sensitivity",
-                        "service_name", "environment")
     least = float(params.cascade_min_services)
-    found = _detection(
-        trigger.join(facts, [*KEYS, "pos"]), CASCADE, severity=F.lit("CRITICAL"),
-        current_value=F.col("services").cast("double"), baseline_value=F.lit(least - 1), upper_bound=F.lit(least),
-        unit=F.lit("services_spiking"), **_bare(params),
-    )
+    bare = _bare(params)
+    made = {
+        "anomaly_type": F.lit(CASCADE), "severity": F.lit("CRITICAL"),
+        "current_value": F.col("services").cast("double"), "baseline_value": F.lit(least - 1),
+        "upper_bound": F.lit(least), "unit": F.lit("services_spiking"), **bare,
+    }
+    # The trigger is a spike of this run: its state is the state of that moment.
+    facts = spikes.drop("detected_at").join(trigger, [*KEYS, "pos"])
+    found = facts.select(*[made[c].alias(c) if c in made else F.col(c) for c in DETECTION])
     return found, cascade_members(trigger, spikes, params)
 
 

@@ -48,7 +48,7 @@ def attribute(batches: DataFrame, keys: DataFrame) -> DataFrame:
         F.col("api_key_id").isNotNull(), F.col("revoked_at"), F.col("expires_at"),
         F.col("grace_period_ends_at"), F.col("received_at"),
     )
-    reason = F.coalesce(refused, F.when(~has_scope(F.col("scopes"), "ingest"), "SCOPE_INSUFFICIENT"))
+    reason = F.coalesce(refused, F.when(~has_scope(F.col("scopes"), "ingest"), "INSUFFICIENT_SCOPE"))
     return rows.withColumn("refused", reason).drop("scopes", "revoked_at", "expires_at", "grace_period_ends_at")
 
 

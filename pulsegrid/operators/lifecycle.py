@@ -12,7 +12,6 @@ from pulsegrid.schemas import ALERT
 
 SCHEMA_VERSION = "1.0"
 _JSON = {"ignoreNullFields": "false"}
-_MEMBER = "array<struct<service_name:string,alert_id:string>>"
 
 
 def alert_id() -> Column:

@@ -121,8 +121,8 @@ class Detection:
             placed = placed.drop("resolved_at").join(
                 closed.select(*KEYS, "pos", "resolved_at"), [*KEYS, "pos"], "left")
             cols = ["tenant_id", "service_name", "source_id", "pos", "detected_at", "resolved_at", "id"]
-            spikes = materialize(spikes.select(*cols).unionByName(placed.select(*cols)), "spikes")
-        return detectors.cascades(spikes, self.base, self.params, self.last_cascades)
+            spikes = materialize(spikes.unionByName(placed.select(*cols), allowMissingColumns=True), "spikes")
+        return detectors.cascades(spikes, self.params, self.last_cascades)
 
     @cached_property
     def cascades(self) -> DataFrame:
