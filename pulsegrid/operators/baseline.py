@@ -62,34 +62,34 @@ def _smooth(x: Column, pos: str, seed: Column, upto: Window) -> Column:
     return F.when(a >= 1, x).otherwise(inside + carried)
 
 
-def _smoothed(df: DataFrame, x: str, pos: str, mean: str, var: str, m0: str, v0: str) -> DataFrame:
-    """Add mean, variance and both as they were one row earlier (`prev_*`)."""
+def _innovations(df: DataFrame, x: str, pos: str, mean: str, var: str, m0: str, v0: str) -> DataFrame:
+    """Given the mean, add its previous value, the variance and the variance's previous value."""
     order = Window.partitionBy(*KEYS, "blk").orderBy(pos)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     before = F.when(F.col("origin") == 0, F.col(m0)).otherwise(F.lit(0.0))
+    prev = F.coalesce(F.col("_before"), before)
     return (
-        df.withColumn(mean, _smooth(F.col(x), pos, F.col(m0), upto))
-        .withColumn(f"prev_{mean}", F.coalesce(F.lag(mean).over(order), before))
-        .withColumn("_d2", F.pow(F.col(x) - F.col(f"prev_{mean}"), 2))
+        df.withColumns({f"prev_{mean}": prev, "_d2": F.pow(F.col(x) - prev, 2)})
         .withColumn(var, _smooth(F.col("_d2"), pos, F.col(v0), upto))
         .withColumn(f"prev_{var}", F.coalesce(F.lag(var).over(order), F.col(v0)))
-        .drop("_d2")
+        .drop("_d2", "_before")
     )
 
 
-def _spikes(df: DataFrame, x: str, pos: str, mean: str, var: str, ready: Column) -> DataFrame:
-    """Mark spikes against the previous baseline, and clean rows that follow a clean row."""
-    order = Window.partitionBy(*KEYS, "blk").orderBy(pos)
+def _spikes(x: str, mean: str, var: str, ready: Column) -> dict[str, Column]:
+    """Marks of a row against the previous baseline."""
     bound = upper_bound(F.col(f"prev_{mean}"), F.col(f"prev_{var}"), F.col("warn_k"))
     critical = upper_bound(F.col(f"prev_{mean}"), F.col(f"prev_{var}"), F.col("crit_k"))
-    return (
-        df.withColumn("ready", ready)
-        .withColumn("bound", bound)
-        .withColumn("is_spike", F.col("ready") & above(F.col(x), F.col("bound")))
-        .withColumn("is_critical", above(F.col(x), critical))
-        .withColumn("is_clean", F.col("ready") & ~F.col("is_spike"))
-        .withColumn("pops", F.col("is_clean") & F.coalesce(F.lag("is_clean").over(order), F.lit(False)))
-    )
+    spike = ready & above(F.col(x), bound)
+    return {
+        "ready": ready, "bound": bound, "is_spike": spike, "is_critical": above(F.col(x), critical),
+        "is_clean": ready & ~spike,
+    }
+
+
+def _after(flag: str, order: Window) -> Column:
+    """The flag of the previous row, false at the start."""
+    return F.coalesce(F.lag(flag).over(order), F.lit(False))
 
 
 def error_baseline(obs: DataFrame, params: DetectorParams, state: DataFrame | None = None) -> DataFrame:
@@ -97,30 +97,35 @@ def error_baseline(obs: DataFrame, params: DetectorParams, state: DataFrame | No
 
     Adds `pos`, mean `m`, variance `v`, `vol`, their previous values, the warm-up
     count, `ready` (warm), spike marks, `is_up` (above the new mean) and the
-    previous row's times. `obs` is read twice: pass a written table.
+    previous row's times; `pops` marks a clean row after a clean row. `obs` is read
+    twice: pass a written table or its cheap aggregate.
     """
     placed = with_position(
         obs, KEYS, ["detected_at", "unit"], time_cell(F.col("detected_at"), params.cell_s)
     )
     rows = _blocks(with_settings(placed, params, state), "pos")
-    rows = _smoothed(rows, "error_rate", "pos", "m", "v", "ewma_value", "ewma_variance")
     order = Window.partitionBy(*KEYS, "blk").orderBy("pos")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = (
-        rows.withColumn("vol", _smooth(F.col("n").cast("double"), "pos", F.col("log_volume_ewma"), upto))
-        .withColumn("prev_vol", F.coalesce(F.lag("vol").over(order), F.col("log_volume_ewma")))
-        .withColumn("prev_max_ts", F.coalesce(F.lag("max_ts").over(order), F.col("last_log_at")))
-        .withColumn("warm", F.col("warmup_count") + F.col("pos") + 1)
-    )
-    rows = _spikes(rows, "error_rate", "pos", "m", "v", F.col("warm") >= F.col("warmup_required"))
-    rows = (
-        rows.withColumn("is_up", F.col("ready") & above(F.col("error_rate"), F.col("m")))
-        .withColumn("starts_up", F.col("is_up") & ~F.coalesce(F.lag("is_up").over(order), F.lit(False)))
-        .withColumn("prev_detected_at", F.lag("detected_at").over(order))
-    )
+    rows = rows.withColumns({
+        "m": _smooth(F.col("error_rate"), "pos", F.col("ewma_value"), upto),
+        "vol": _smooth(F.col("n").cast("double"), "pos", F.col("log_volume_ewma"), upto),
+    }).withColumns({
+        "_before": F.lag("m").over(order),
+        "prev_vol": F.coalesce(F.lag("vol").over(order), F.col("log_volume_ewma")),
+        "prev_max_ts": F.coalesce(F.lag("max_ts").over(order), F.col("last_log_at")),
+        "prev_detected_at": F.lag("detected_at").over(order),
+        "warm": F.col("warmup_count") + F.col("pos") + 1,
+    })
+    rows = _innovations(rows, "error_rate", "pos", "m", "v", "ewma_value", "ewma_variance")
+    ready = F.col("warm") >= F.col("warmup_required")
+    rows = rows.withColumns({
+        **_spikes("error_rate", "m", "v", ready), "is_up": ready & above(F.col("error_rate"), F.col("m")),
+    }).withColumns({
+        "pops": F.col("is_clean") & _after("is_clean", order),
+        "starts_up": F.col("is_up") & ~_after("is_up", order),
+    })
     return rows.filter("is_main").drop(
-        "blk", "is_main", "origin", "ewma_value", "ewma_variance", "warmup_count",
-        "log_volume_ewma", "last_log_at",
+        "blk", "is_main", "origin", "ewma_value", "ewma_variance", "warmup_count", "log_volume_ewma", "last_log_at",
     )
 
 
@@ -138,10 +143,16 @@ def latency_baseline(base: DataFrame, params: DetectorParams) -> DataFrame:
         bearing, KEYS, ["pos"], time_cell(F.col("detected_at"), params.cell_s), name="lat_pos"
     )
     rows = _blocks(placed, "lat_pos")
-    rows = _smoothed(rows, "lat_mean", "lat_pos", "lm", "lv", "latency_ewma", "latency_variance")
-    rows = rows.withColumn("lat_warm", F.col("latency_warmup") + F.col("lat_pos") + 1)
+    order = Window.partitionBy(*KEYS, "blk").orderBy("lat_pos")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("lm", _smooth(F.col("lat_mean"), "lat_pos", F.col("latency_ewma"), upto)).withColumns({
+        "_before": F.lag("lm").over(order), "lat_warm": F.col("latency_warmup") + F.col("lat_pos") + 1,
+    })
+    rows = _innovations(rows, "lat_mean", "lat_pos", "lm", "lv", "latency_ewma", "latency_variance")
     need = F.col("warmup_required")
-    rows = _spikes(rows, "lat_mean", "lat_pos", "lm", "lv", (F.col("warm") >= need) & (F.col("lat_warm") >= need))
+    ready = (F.col("warm") >= need) & (F.col("lat_warm") >= need)
+    rows = rows.withColumns(_spikes("lat_mean", "lm", "lv", ready)).withColumn(
+        "pops", F.col("is_clean") & _after("is_clean", order))
     return rows.filter("is_main").drop("blk", "is_main", "origin")
 
 

@@ -18,8 +18,9 @@ DETECTION = [
     *KEYS, "unit_id", "pos", "detected_at", "anomaly_type", "severity", "service_name", "environment",
     "current_value", "baseline_value", "upper_bound", "unit", "window_start", "window_end",
     "sample_count", "ewma_value", "ewma_variance", "alpha", "sensitivity", "warmup_complete",
-    "observations_count", "fp",
+    "observations_count", "fp", "message", "contributing",
 ]
+_MEMBERS = "array<struct<service_name:string,alert_id:string>>"
 
 
 def _detection(df: DataFrame, anomaly_type: str, **cols: Column) -> DataFrame:
@@ -33,6 +34,7 @@ def _detection(df: DataFrame, anomaly_type: str, **cols: Column) -> DataFrame:
         "ewma_value": F.col("m"), "ewma_variance": F.col("v"),
         "warmup_complete": F.col("warm") >= F.col("warmup_required"),
         "observations_count": F.col("warm"), "fp": F.lit(None).cast("string"),
+        "message": F.lit(None).cast("string"), "contributing": F.lit(None).cast(_MEMBERS),
     }
     made = {**common, **cols}
     return df.select(*[made[c].alias(c) if c in made else F.col(c) for c in DETECTION])
@@ -129,7 +131,7 @@ def novel_errors(novel: DataFrame, evidence: DataFrame, base: DataFrame) -> Data
     rows = novel.select(*KEYS, "unit", "fp").join(evidence, [*KEYS, "unit", "fp"]).join(facts, [*KEYS, "unit"])
     return _detection(
         rows, NOVEL, severity=F.lit("WARNING"), current_value=F.lit(1.0), baseline_value=F.lit(0.0),
-        upper_bound=F.lit(0.0), unit=F.lit("novel_pattern"), fp=F.col("fp"),
+        upper_bound=F.lit(0.0), unit=F.lit("novel_pattern"), fp=F.col("fp"), message=F.col("message"),
         window_start=F.col("occurred_at"), window_end=F.col("occurred_at"), sample_count=F.lit(1).cast("bigint"),
     )
 
@@ -223,13 +225,11 @@ def open_services(spikes: DataFrame, params: DetectorParams) -> DataFrame:
 
 def cascades(
     spikes: DataFrame, params: DetectorParams, last_fired: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Spikes that complete a cascade, and the services behind each.
+) -> DataFrame:
+    """Spikes that complete a cascade, with `contributing`: the earliest open spike of every service.
 
     `spikes` holds detections with `id` and `resolved_at`; those of earlier runs
-    (`pos` below zero) count but do not trigger. Returns (detections, members);
-    members hold tenant_id, detected_at and `contributing`, the earliest open
-    spike of every service.
+    (`pos` below zero) count but do not trigger.
     """
     crowded = open_services(spikes, params).filter(
         (F.col("services") >= params.cascade_min_services) & (F.col("pos") >= 0))
@@ -241,6 +241,7 @@ def cascades(
         .agg(F.min(F.struct("source_id", "pos", "services")).alias("s"))
         .select("tenant_id", "detected_at", "s.*")
     )
+    trigger = trigger.join(cascade_members(trigger, spikes, params), ["tenant_id", "detected_at"])
     least = float(params.cascade_min_services)
     bare = _bare(params)
     made = {
@@ -249,9 +250,8 @@ def cascades(
         "upper_bound": F.lit(least), "unit": F.lit("services_spiking"), **bare,
     }
     # The trigger is a spike of this run: its state is the state of that moment.
-    facts = spikes.drop("detected_at").join(trigger, [*KEYS, "pos"])
-    found = facts.select(*[made[c].alias(c) if c in made else F.col(c) for c in DETECTION])
-    return found, cascade_members(trigger, spikes, params)
+    facts = spikes.drop("detected_at", "contributing").join(trigger, [*KEYS, "pos"])
+    return facts.select(*[made[c].alias(c) if c in made else F.col(c) for c in DETECTION])
 
 
 def cascade_members(trigger: DataFrame, spikes: DataFrame, params: DetectorParams) -> DataFrame:

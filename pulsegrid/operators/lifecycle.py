@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.text import iso_utc, uuid_of
-from pulsegrid.operators.detectors import CASCADE, SILENCE
+from pulsegrid.operators.detectors import SILENCE
 from pulsegrid.operators.observe import KEYS
 from pulsegrid.schemas import ALERT
 
@@ -104,23 +104,16 @@ def attach_resolution(detections: DataFrame, resolved: DataFrame) -> DataFrame:
     ).drop("_at")
 
 
-def attach_evidence(detections: DataFrame, unit_messages: DataFrame, novel_messages: DataFrame) -> DataFrame:
+def attach_evidence(detections: DataFrame, unit_messages: DataFrame) -> DataFrame:
     """Add representative messages; alerts judged without entries have none."""
     empty = F.array().cast("array<string>")
-    own = novel_messages.select(*KEYS, F.col("unit").alias("unit_id"), "fp", F.col("message").alias("_own"))
     shared = unit_messages.select(*KEYS, F.col("unit").alias("unit_id"), F.col("messages").alias("_shared"))
-    rows = detections.join(own, [*KEYS, "unit_id", "fp"], "left").join(shared, [*KEYS, "unit_id"], "left")
-    return rows.withColumn(
+    return detections.join(shared, [*KEYS, "unit_id"], "left").withColumn(
         "messages",
-        F.when(F.col("fp").isNotNull(), F.array("_own"))
+        F.when(F.col("message").isNotNull(), F.array("message"))
         .when(F.col("sample_count") == 0, empty)
         .otherwise(F.coalesce("_shared", empty)),
-    ).drop("_own", "_shared")
-
-
-def attach_members(detections: DataFrame, members: DataFrame) -> DataFrame:
-    rows = members.withColumn("anomaly_type", F.lit(CASCADE))
-    return detections.join(rows, ["tenant_id", "detected_at", "anomaly_type"], "left")
+    ).drop("_shared")
 
 
 def apply_resolutions(alerts: DataFrame, resolved: DataFrame) -> DataFrame:

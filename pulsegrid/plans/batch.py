@@ -75,62 +75,35 @@ class Detection:
 
     @cached_property
     def sustained(self) -> DataFrame:
-        return detectors.sustained_elevations(self.base, self.params)
-
-    @cached_property
-    def novel(self) -> DataFrame:
-        patterns = observe.error_patterns(self.fine, self.params)
-        return materialize(detectors.novel_patterns(patterns, self.base, self.params, self.state), "novel")
-
-    @cached_property
-    def novel_evidence(self) -> DataFrame:
-        return materialize(observe.first_entries(self.entries, self.novel, self.params), "first")
+        return materialize(detectors.sustained_elevations(self.base, self.params), "sustained")
 
     @cached_property
     def novel_errors(self) -> DataFrame:
-        return detectors.novel_errors(self.novel, self.novel_evidence, self.base)
+        patterns = observe.error_patterns(self.fine, self.params)
+        novel = materialize(detectors.novel_patterns(patterns, self.base, self.params, self.state), "novel")
+        return detectors.novel_errors(novel, observe.first_entries(self.entries, novel, self.params), self.base)
 
     # -- resolution and cascade
 
-    @cached_property
-    def spike_resolutions(self) -> DataFrame:
-        """Resolutions of error-rate spikes alone, which is all a cascade looks at."""
-        ops = detectors.push_or_pop(self.base, detectors.SPIKE)
-        return detectors.resolutions(ops, self._open_of(detectors.SPIKE))
-
     @cached_property
     def resolutions(self) -> DataFrame:
         ops = materialize(detectors.resolution_ops(self.base, self.latency, self.sustained), "ops")
-        return detectors.resolutions(ops, self.open_alerts)
-
-    def _open_of(self, kind: str) -> DataFrame | None:
-        return None if self.open_alerts is None else self.open_alerts.filter(F.col("anomaly_type") == kind)
+        return materialize(detectors.resolutions(ops, self.open_alerts), "resolutions")
 
     @cached_property
     def resolved_spikes(self) -> DataFrame:
-        rows = lifecycle.attach_resolution(self.spikes, self.spike_resolutions)
-        return materialize(rows.withColumn("id", lifecycle.alert_id()), "spikes")
-
-    @cached_property
-    def _cascades(self) -> tuple[DataFrame, DataFrame]:
-        spikes = self.resolved_spikes
+        """Error-rate spikes with id and resolution, those still open from earlier runs included."""
+        spikes = lifecycle.attach_resolution(self.spikes, self.resolutions).withColumn("id", lifecycle.alert_id())
         if self.open_alerts is not None:
-            earlier = self._open_of(detectors.SPIKE)
-            placed = detectors.placed_open_alerts(earlier)
-            closed = self.spike_resolutions.filter("pos < 0")
-            placed = placed.drop("resolved_at").join(
-                closed.select(*KEYS, "pos", "resolved_at"), [*KEYS, "pos"], "left")
-            cols = ["tenant_id", "service_name", "source_id", "pos", "detected_at", "resolved_at", "id"]
-            spikes = materialize(spikes.unionByName(placed.select(*cols), allowMissingColumns=True), "spikes")
-        return detectors.cascades(spikes, self.params, self.last_cascades)
+            earlier = self.open_alerts.filter(F.col("anomaly_type") == detectors.SPIKE).drop("resolved_at")
+            placed = lifecycle.attach_resolution(detectors.placed_open_alerts(earlier), self.resolutions)
+            cols = [*KEYS, "service_name", "pos", "detected_at", "resolved_at", "id"]
+            spikes = spikes.unionByName(placed.select(*cols), allowMissingColumns=True)
+        return materialize(spikes, "spikes")
 
     @cached_property
     def cascades(self) -> DataFrame:
-        return self._cascades[0]
-
-    @cached_property
-    def cascade_members(self) -> DataFrame:
-        return self._cascades[1]
+        return detectors.cascades(self.resolved_spikes, self.params, self.last_cascades)
 
     # -- alerts
 
@@ -149,9 +122,7 @@ class Detection:
         judged = self.detections.filter("sample_count > 0 and fp is null").select(
             *KEYS, F.col("unit_id").alias("unit"))
         messages = observe.representative_messages(self.entries, judged, self.params)
-        rows = lifecycle.attach_evidence(rows, messages, self.novel_evidence)
-        rows = lifecycle.attach_members(rows, self.cascade_members)
-        return lifecycle.build_alerts(rows, self.params.cascade_window_s)
+        return lifecycle.build_alerts(lifecycle.attach_evidence(rows, messages), self.params.cascade_window_s)
 
     @cached_property
     def earlier_alerts(self) -> DataFrame:

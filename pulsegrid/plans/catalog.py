@@ -301,7 +301,7 @@ def cascades(spark, sf_dir):
 
 @query(f"""SELECT tenant_id, {o.stamp('detected_at')} AS detected_at, service_name, alert_id FROM members""")
 def cascade_members(spark, sf_dir):
-    rows = detection(spark, sf_dir).cascade_members
+    rows = detection(spark, sf_dir).cascades
     return rows.select("tenant_id", stamp("detected_at"), F.explode("contributing").alias("m")).select(
         "tenant_id", "detected_at", "m.service_name", "m.alert_id")
 

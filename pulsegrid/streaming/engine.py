@@ -91,8 +91,8 @@ class AlertTables:
 
 def _cascade_events(
     events: DataFrame, tables: AlertTables, params: DetectorParams, batch_id: int
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cascades completed in this batch: (spikes incl. earlier open ones, detections, members)."""
+) -> tuple[DataFrame, DataFrame]:
+    """(new spikes, cascades they complete)."""
     spark = events.sparkSession
     new = events.filter((F.col("kind") == "opened") & (F.col("anomaly_type") == detectors.SPIKE))
     spread = new.agg(F.min("detected_at").alias("first")).collect()[0]["first"]
@@ -112,7 +112,7 @@ def _cascade_events(
     # Spikes of earlier batches count but do not trigger: their position goes below zero.
     known = new.unionByName(earlier.withColumn("pos", -1 - F.col("pos")), allowMissingColumns=True)
     spikes = materialize(known.drop("resolved_at").join(closed, "id", "left"), "stream-spikes")
-    return new, *detectors.cascades(spikes, params, fired)
+    return new, detectors.cascades(spikes, params, fired)
 
 
 def write_batch(events: DataFrame, batch_id: int, tables: AlertTables, params: DetectorParams) -> None:
@@ -122,9 +122,8 @@ def write_batch(events: DataFrame, batch_id: int, tables: AlertTables, params: D
     opened = events.filter("kind = 'opened'").withColumn("contributing", F.lit(None).cast(
         "array<struct<service_name:string,alert_id:string>>"))
     if not events.filter(F.col("anomaly_type") == detectors.SPIKE).filter("kind = 'opened'").isEmpty():
-        new, cascades, members = _cascade_events(events, tables, params, batch_id)
-        rows = lifecycle.attach_members(cascades, members).withColumn("id", lifecycle.alert_id())
-        rows = materialize(rows, "stream-cascades")
+        new, cascades = _cascade_events(events, tables, params, batch_id)
+        rows = materialize(cascades.withColumn("id", lifecycle.alert_id()), "stream-cascades")
         tables.write(new.select("id", *KEYS, "pos", "service_name", "detected_at"), "spikes", batch_id, "detected_at")
         tables.write(rows.select("tenant_id", "detected_at"), "cascades", batch_id, "detected_at")
         opened = opened.unionByName(rows, allowMissingColumns=True)
