@@ -16,17 +16,19 @@ LOGFMT_LATENCY = ("latency", "latency_ms", "duration", "elapsed")
 
 # Keyword to level for plain text, first match wins.
 PLAINTEXT_LEVELS = (
-    ("CRITICAL|FATAL", "CRITICAL"),
-    ("ERROR", "ERROR"),
-    ("WARN(?:ING)?", "WARNING"),
-    ("INFO", "INFO"),
-    ("DEBUG", "DEBUG"),
+    (("CRITICAL", "FATAL"), "CRITICAL"),
+    (("ERROR",), "ERROR"),
+    (("WARN", "WARNING"), "WARNING"),
+    (("INFO",), "INFO"),
+    (("DEBUG",), "DEBUG"),
 )
 
 # Fixed value: a logfmt pair, quoted (group 2) or bare (group 3).
 LOGFMT_PAIR = r'(?U)(\w+)=(?:"((?:[^"\\]|\\.)*)"|(\S*))'
 
-_WHITE = r"[\s\x1c-\x1f]"
+# All white space, as str.strip knows it.
+_WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + \
+    "\u2028\u2029\u202f\u205f\u3000"
 # Line ends that Python's splitlines knows beyond those of Spark's text reader.
 _LINE_END = r"[\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
@@ -37,7 +39,7 @@ _SPACE_FRACTION_FORM = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6
 
 def strip(text: Column) -> Column:
     """Trim all white space, not only blanks."""
-    return F.regexp_replace(text, f"(?U)^{_WHITE}+|{_WHITE}+$", "")
+    return F.trim(text, F.lit(_WHITE))
 
 
 def parse_timestamp(text: Column, space_fraction: bool = False) -> Column:
@@ -50,9 +52,12 @@ def parse_timestamp(text: Column, space_fraction: bool = False) -> Column:
 
 
 def plaintext_level(line: Column) -> Column:
-    pick = F.lit("UNKNOWN")
+    """The first keyword present as a word, in any case; the plain search spares most lines the pattern."""
+    upper, pick = F.upper(line), F.lit("UNKNOWN")
     for words, level in reversed(PLAINTEXT_LEVELS):
-        pick = F.when(line.rlike(rf"(?iU)\b({words})\b"), level).otherwise(pick)
+        found = upper.rlike(rf"(?U)\b({'|'.join(words)})\b")
+        for word in words:
+            pick = F.when(upper.contains(word) & found, level).otherwise(pick)
     return pick
 
 
@@ -72,16 +77,30 @@ def _truthy_text(value: Column) -> Column:
     return F.when(~empty, F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(text))
 
 
-def _json_fields(line: Column) -> Column:
-    """The line's one JSON object as map<string,variant>; null for anything else.
+# Texts that mean different things as JSON strings and as other JSON values.
+_AMBIGUOUS = r"^(true|false|-?0+(\.0*)?([eE].*)?|\[\]|\{\})$"
+
+
+def _typed_text(line: Column, fields: Column, key: str) -> Column:
+    """A field as text, null where it is falsy; types are looked at only where they matter."""
+    text = fields[key]
+    typed = F.from_json(line, "map<string,variant>", {"allowSingleQuotes": "false"})[key]
+    return F.when(text.rlike(_AMBIGUOUS), _truthy_text(typed)).otherwise(F.nullif(text, F.lit("")))
+
+
+def _json_document(line: Column) -> Column:
+    """The line as an array of one object; null for anything else.
 
     The line is read as the only element of an array, so trailing text is an error.
     """
-    parsed = F.from_json(
-        F.concat(F.lit("["), line, F.lit("]")), "array<map<string,variant>>", {"allowSingleQuotes": "false"}
+    return F.from_json(
+        F.concat(F.lit("["), line, F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false"}
     )
+
+
+def _json_fields(document: Column) -> Column:
     # Rebuilding the map keeps the last of repeated keys (mapKeyDedupPolicy).
-    return F.when(F.size(parsed) == 1, F.map_from_entries(F.map_entries(parsed[0])))
+    return F.when(F.size(document) == 1, F.map_from_entries(F.map_entries(document[0])))
 
 
 def _is_other_json(line: Column) -> Column:
@@ -117,17 +136,18 @@ def normalize_lines(lines: DataFrame) -> DataFrame:
     split = lines.withColumn("line", F.explode(F.split("line", _LINE_END)))
     rows = split.withColumn("line", strip(F.col("line"))).filter("line <> ''")
 
-    line, want = F.col("line"), F.nullif(F.col("latency_field"), F.lit(""))
-    rows = rows.withColumns({
-        "_json": F.when(F.col("log_format") == "json", _json_fields(line)),
-        "_pairs": F.when(F.col("log_format") == "logfmt", _logfmt_fields(line)),
+    line, want, log_format = F.col("line"), F.nullif(F.col("latency_field"), F.lit("")), F.col("log_format")
+    # Exploding an array of one keeps the optimizer from parsing a line again for every use.
+    rows = rows.withColumn("_document", F.explode(F.array(F.when(log_format == "json", _json_document(line)))))
+    dropped = (log_format == "json") & F.col("_document").isNull() & _is_other_json(line)
+    rows = rows.filter(~F.coalesce(dropped, F.lit(False))).withColumns({
+        "_json": _json_fields(F.col("_document")),
+        "_pairs": F.when(log_format == "logfmt", _logfmt_fields(line)),
     })
-    dropped = (F.col("log_format") == "json") & F.col("_json").isNull() & _is_other_json(line)
-    rows = rows.filter(~F.coalesce(dropped, F.lit(False)))
 
     obj, pairs = F.col("_json"), F.col("_pairs")
     is_json, is_logfmt = obj.isNotNull(), F.coalesce(F.size(pairs) > 0, F.lit(False))
-    truthy = lambda keys: F.coalesce(*[_truthy_text(obj[k]) for k in keys])
+    truthy = lambda keys: F.coalesce(*[_typed_text(line, obj, k) for k in keys])
     auto_latency = F.coalesce(*[_suffix_free(pairs[k]) for k in LOGFMT_LATENCY])
 
     def by_format(json: Column, logfmt: Column, plain: Column) -> Column:
@@ -137,12 +157,12 @@ def normalize_lines(lines: DataFrame) -> DataFrame:
     message = by_format(truthy(JSON_MESSAGE), _present(pairs, LOGFMT_MESSAGE), line)
     seen = by_format(truthy(JSON_TIME), _present(pairs, LOGFMT_TIME), F.lit(None).cast("string"))
     latency = by_format(
-        obj[want].try_cast("string").try_cast("double"),
+        obj[want].try_cast("double"),
         F.when(want.isNotNull(), _suffix_free(pairs[want])).otherwise(auto_latency),
         F.lit(None).cast("double"),
     )
     raw = by_format(
-        F.transform_values(obj, lambda k, v: v.try_cast("string")), pairs, F.create_map(F.lit("raw_line"), line)
+        obj, pairs, F.create_map(F.lit("raw_line"), line)
     )
     return rows.select(
         F.coalesce(parse_timestamp(seen), F.col("ingest_ts")).alias("occurred_at"),

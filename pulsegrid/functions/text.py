@@ -20,7 +20,7 @@ def is_error(level: Column) -> Column:
 
 def normalize_message(message: Column) -> Column:
     """Lower case, trimmed, every run of digits as one N."""
-    return F.regexp_replace(strip(F.lower(message)), r"(?U)\d+", "N")
+    return F.regexp_replace(strip(F.lower(message)), r"\p{Nd}+", "N")
 
 
 def fingerprint(message: Column) -> Column:

@@ -157,7 +157,11 @@ def latency_baseline(base: DataFrame, params: DetectorParams) -> DataFrame:
 
 
 def next_state(base: DataFrame, latency: DataFrame | None = None) -> DataFrame:
-    """Smoothing state after the last observation of each source, to seed the next run."""
+    """Smoothing state after the last observation of each source, to seed the next run.
+
+    Stored error patterns are a table of their own (`detectors.next_patterns`): they
+    are too many for one row per source.
+    """
 
     def last(df: DataFrame, pos: str) -> DataFrame:
         return df.join(df.groupBy(*KEYS).agg(F.max(pos).alias(pos)), [*KEYS, pos])

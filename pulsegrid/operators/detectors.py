@@ -105,26 +105,41 @@ def sustained_elevations(base: DataFrame, params: DetectorParams) -> DataFrame:
     )
 
 
+def stored_patterns(state: DataFrame) -> DataFrame:
+    """Patterns kept inside an EWMA_STATE table, one row each (`last_at`: first sighting)."""
+    rows = state.select(*KEYS, F.explode("error_fingerprints").alias("e"))
+    return rows.select(*KEYS, "e.fp", F.col("e.seen_at").alias("last_at"))
+
+
 def novel_patterns(
-    patterns: DataFrame, base: DataFrame, params: DetectorParams, state: DataFrame | None = None
+    patterns: DataFrame, base: DataFrame, params: DetectorParams, known: DataFrame | None = None
 ) -> DataFrame:
     """Error patterns not stored for the time to live, after warm-up.
 
-    A stored pattern's time runs from the alert and is not refreshed. `patterns`
-    (from `error_patterns`) should be a written table. There is no cap on stored
-    patterns here; the stateful stream applies the one of 500.
+    A stored pattern's time runs from the alert and is not refreshed. `known` holds
+    patterns stored by earlier runs. There is no cap on stored patterns here; the
+    stateful stream applies the one of 500.
     """
     warm_from = base.filter("ready").groupBy(*KEYS).agg(F.min("pos").alias("_pos"))
     warm_from = base.join(warm_from, KEYS).filter("pos = _pos").select(*KEYS, F.col("detected_at").alias("warm_from"))
     seen = patterns.join(warm_from, KEYS).filter("detected_at >= warm_from").drop("warm_from")
-    seed = None
-    if state is not None and "error_fingerprints" in state.columns:
-        seed = state.select(*KEYS, F.explode("error_fingerprints").alias("e")).select(
-            *KEYS, "e.fp", F.col("e.seen_at").alias("last_at"))
-    kept = cooldown(seen, [*KEYS, "fp"], "detected_at", params.novel_ttl_s, seed)
+    kept = cooldown(seen, [*KEYS, "fp"], "detected_at", params.novel_ttl_s, known)
     return seen.join(kept, [*KEYS, "fp", "detected_at"])
 
 
+def next_patterns(
+    novel: DataFrame, base: DataFrame, params: DetectorParams, known: DataFrame | None = None
+) -> DataFrame:
+    """Patterns still stored after the last observation of their source, to seed the next run."""
+    rows = novel.select(*KEYS, "fp", F.col("detected_at").alias("last_at"))
+    if known is not None:
+        rows = rows.unionByName(known.select(*rows.columns))
+    end = base.groupBy(*KEYS).agg(F.max("detected_at").alias("_end"))
+    latest = rows.groupBy(*KEYS, "fp").agg(F.max("last_at").alias("last_at")).join(end, KEYS, "left")
+    age = _seconds(F.col("_end"), F.col("last_at"))
+    return latest.filter(F.col("_end").isNull() | (age < params.novel_ttl_s)).drop("_end")
+
+
 def novel_errors(novel: DataFrame, evidence: DataFrame, base: DataFrame) -> DataFrame:
     """Alerts for `novel_patterns`, each with the entry that showed the pattern (`first_entries`)."""
     facts = base.select(*KEYS, "unit", "pos", "detected_at", "m", "v", "warm", "warmup_required", "alpha", "sensitivity")

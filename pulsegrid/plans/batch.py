@@ -22,9 +22,9 @@ from pulsegrid.session import materialize, prepare
 class Detection:
     """Detector outputs over one set of entries, each computed when first asked for.
 
-    `state` is an EWMA_STATE table to resume from; `open_alerts` are alerts of
-    earlier runs that may resolve in this one; `last_cascades` (tenant_id, last_at)
-    carries the cascade cooldown over.
+    A run resumes from what earlier ones left: `state` (EWMA_STATE), `patterns`
+    (stored error patterns, see `next_patterns`), `open_alerts` that may resolve in
+    this run, and `last_cascades` (tenant_id, last_at).
     """
 
     def __init__(
@@ -34,10 +34,14 @@ class Detection:
         state: DataFrame | None = None,
         open_alerts: DataFrame | None = None,
         last_cascades: DataFrame | None = None,
+        patterns: DataFrame | None = None,
     ) -> None:
         prepare(entries.sparkSession)
         self.entries, self.params, self.state = entries, params, state
         self.open_alerts, self.last_cascades = open_alerts, last_cascades
+        if patterns is None and state is not None and "error_fingerprints" in state.columns:
+            patterns = detectors.stored_patterns(state)
+        self.patterns = patterns
 
     @cached_property
     def fine(self) -> DataFrame:
@@ -78,10 +82,18 @@ class Detection:
         return materialize(detectors.sustained_elevations(self.base, self.params), "sustained")
 
     @cached_property
-    def novel_errors(self) -> DataFrame:
+    def novel(self) -> DataFrame:
         patterns = observe.error_patterns(self.fine, self.params)
-        novel = materialize(detectors.novel_patterns(patterns, self.base, self.params, self.state), "novel")
-        return detectors.novel_errors(novel, observe.first_entries(self.entries, novel, self.params), self.base)
+        return materialize(detectors.novel_patterns(patterns, self.base, self.params, self.patterns), "novel")
+
+    @cached_property
+    def novel_errors(self) -> DataFrame:
+        evidence = observe.first_entries(self.entries, self.novel, self.params)
+        return detectors.novel_errors(self.novel, evidence, self.base)
+
+    @cached_property
+    def next_patterns(self) -> DataFrame:
+        return detectors.next_patterns(self.novel, self.base, self.params, self.patterns)
 
     # -- resolution and cascade
 

@@ -105,3 +105,122 @@ def test_pipeline_equals_sequential_model(spark, monkeypatch, seed, block):
     assert kinds == {"ERROR_RATE_SPIKE", "SUSTAINED_ELEVATION", "SERVICE_SILENCE", "LATENCY_SPIKE",
                      "NOVEL_ERROR", "CASCADE"}
     assert got == want
+
+
+def test_two_runs_with_state_equal_one(spark):
+    rows = random_entries(5, minutes=240)
+    cut = 130 * 60
+    whole = Detection(frame(spark, rows), PARAMS)
+    first = Detection(frame(spark, [r for r in rows if r[0] < cut]), PARAMS)
+    early = first.alerts.cache()
+    cascaded = early.filter("anomaly_type = 'CASCADE'").groupBy("tenant_id").agg(F.max("detected_at").alias("last_at"))
+    second = Detection(
+        frame(spark, [r for r in rows if r[0] >= cut]), PARAMS, state=first.next_state,
+        open_alerts=early.filter("status = 'open'"), last_cascades=cascaded, patterns=first.next_patterns)
+    got = early.filter("status <> 'open'").unionByName(second.earlier_alerts).unionByName(second.alerts)
+    assert facts_of_alerts(got) == facts_of_alerts(whole.alerts)
+    payloads = second.earlier_alerts.filter("status = 'resolved'").select("full_payload").collect()
+    assert payloads and all(json.loads(r[0])["resolution"]["auto_resolved"] for r in payloads)
+
+
+BATCHES = replace(DetectorParams(), batch_col="batch_id")
+
+
+def batches(spark, sizes_and_rates, start=0, source="s", lat=None, message="fail"):
+    """One batch per (n, error rate), a minute apart."""
+    rows = []
+    for b, (n, rate) in enumerate(sizes_and_rates):
+        for i in range(n):
+            now = at(start + 60 * b)
+            rows.append((now, "ERROR" if i < round(n * rate) else "INFO", message, source, "t", "svc", "production",
+                         None if lat is None else float(lat), b * 1000 + i, b, now))
+    return spark.createDataFrame(rows, ENTRY)
+
+
+def prewarmed(spark, **values):
+    row = {"tenant_id": "t", "source_id": "s", "ewma_value": 0.05, "ewma_variance": 0.01, "alpha": 0.3, "sensitivity": 2.5,
+           "warmup_count": 50, "warmup_required": 10, "log_volume_ewma": 10.0, "latency_ewma": 50.0,
+           "latency_variance": 1.0, "latency_warmup": 50} | values
+    ddl = ", ".join(f"{k} {'string' if isinstance(v, str) else 'double' if isinstance(v, float) else 'int'}"
+                    for k, v in row.items())
+    return spark.createDataFrame([tuple(row.values())], ddl)
+
+
+@pytest.mark.parametrize("state,rate,severity,bound", [
+    ({}, 0.9, "CRITICAL", 0.30),                                        # 0.05 + 2.5 * sqrt(0.01)
+    ({}, 0.5, "WARNING", 0.30),                                         # below 0.05 + 5 * 0.1 = 0.55
+    ({}, 0.02, None, None),
+    ({"ewma_value": 0.5, "ewma_variance": 0.04}, 0.9, None, None),      # 0.5 + 2.5 * 0.2 = 1.0
+    ({"ewma_value": 0.0, "ewma_variance": 0.0}, 1.0, "CRITICAL", 0.0),
+    ({"warmup_count": 8}, 0.9, None, None),                             # the 9th batch is not warm
+    ({"warmup_count": 9}, 0.9, "CRITICAL", 0.30),                       # the 10th is
+])
+def test_spike_bounds(spark, state, rate, severity, bound):
+    d = Detection(batches(spark, [(50, rate)]), BATCHES, state=prewarmed(spark, **state))
+    got = d.spikes.select("severity", "upper_bound").collect()
+    assert [r.severity for r in got] == ([severity] if severity else [])
+    if severity:
+        assert got[0].upper_bound == pytest.approx(bound)
+
+
+@pytest.mark.parametrize("lat,fires", [(200, True), (50, False), (52.5, False)])
+def test_latency_bound(spark, lat, fires):
+    d = Detection(batches(spark, [(50, 0.0)], lat=lat), BATCHES, state=prewarmed(spark))
+    assert [r.upper_bound for r in d.latency_spikes.collect()] == ([52.5] if fires else [])
+
+
+def test_sustained_first_check_past_critical_skips_warning(spark):
+    long = [(10, 0.6)] + [(10, 0.9)] * 2
+    entries = batches(spark, long).withColumn(
+        "received_at", F.expr("received_at + make_dt_interval(0, 0, CAST(batch_id AS INT) * 10, 0)"))
+    d = Detection(entries, BATCHES, state=prewarmed(spark, ewma_value=0.02, ewma_variance=1e-5))
+    # Batches 0, 11 and 22 minutes after the first: warning at 660 s, critical at 1320 s.
+    assert sorted(r.severity for r in d.sustained.collect()) == ["CRITICAL", "WARNING"]
+    jump = entries.filter("batch_id <> 1")
+    d = Detection(jump, BATCHES, state=prewarmed(spark, ewma_value=0.02, ewma_variance=1e-5))
+    assert [r.severity for r in d.sustained.collect()] == ["CRITICAL"]
+
+
+def test_silence_uses_state_and_resolves_at_once(spark):
+    state = prewarmed(spark).withColumn("last_log_at", F.lit(at(-121)))
+    alert = Detection(batches(spark, [(10, 0.0)]), BATCHES, state=state).alerts.collect()
+    assert [(r.anomaly_type, r.status, r.current_value) for r in alert] == [("SERVICE_SILENCE", "resolved", 121.0)]
+    payload = json.loads(alert[0].full_payload)
+    assert payload["resolution"] == {"resolved_at": "2026-01-01T00:00:00+00:00", "duration_seconds": 0.0, "auto_resolved": True}
+    state = prewarmed(spark).withColumn("last_log_at", F.lit(at(-119)))
+    assert Detection(batches(spark, [(10, 0.0)]), BATCHES, state=state).silences.count() == 0
+
+
+def test_payload_contract(spark):
+    row = Detection(batches(spark, [(10, 1.0)]), BATCHES, state=prewarmed(spark)).alerts.filter(
+        "anomaly_type = 'ERROR_RATE_SPIKE'").collect()[0]
+    payload = json.loads(row.full_payload)
+    assert list(payload) == ["anomaly_id", "schema_version", "detected_at", "anomaly_type", "severity", "service", "evidence",
+                             "detection_context", "cascade_context", "resolution", "links"]
+    assert payload["evidence"]["representative_messages"] == ["fail"]
+    assert payload["evidence"]["sample_count"] == 10 and payload["cascade_context"] is None
+    assert payload["detection_context"]["observations_count"] == 51
+    assert payload["resolution"] == {"resolved_at": None, "duration_seconds": None, "auto_resolved": None}
+    assert payload["links"]["acknowledge"] == f"/api/v1/alerts/{row.id}/acknowledge"
+
+
+def test_eval_targets(spark):
+    """100 spike trials at 90 % errors and 200 normal ones at 2 %, each on a fresh prewarmed source."""
+    from pulsegrid.operators import quality
+
+    trials = spark.range(300).select(
+        F.concat(F.lit("s"), "id").alias("source_id"), F.lit("t").alias("tenant_id"), (F.col("id") < 100).alias("expected"))
+    n = F.explode(F.sequence(F.lit(1), F.lit(50)))
+    entries = trials.withColumn("i", n).select(
+        F.lit(at(0)).alias("occurred_at"),
+        F.when(F.col("i") <= F.when(F.col("expected"), 45).otherwise(1), "ERROR").otherwise("INFO").alias("level"),
+        F.lit("m").alias("message"), "source_id", "tenant_id", F.lit("svc").alias("service_name"),
+        F.lit("production").alias("environment"), F.lit(None).cast("double").alias("latency_ms"),
+        F.lit(0).cast("bigint").alias("batch_id"))
+    state = prewarmed(spark).drop("source_id", "tenant_id")
+    state = trials.select("tenant_id", "source_id").withColumn("k", F.lit(1)).join(state.withColumn("k", F.lit(1)), "k").drop("k")
+    d = Detection(entries, BATCHES, state=state)
+    labels = trials.join(d.base.select("source_id", "detected_at"), "source_id").withColumn("detector", F.lit("ERROR_RATE_SPIKE"))
+    card = quality.scorecard(quality.detection_trials(d.base, d.spikes, labels, ["ERROR_RATE_SPIKE"])).collect()[0]
+    assert (card.tp, card.fp, card.fn, card.tn) == (100, 0, 0, 200)
+    assert (card.precision, card.recall, card.false_positive_rate) == (1.0, 1.0, 0.0)
