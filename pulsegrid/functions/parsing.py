@@ -139,9 +139,12 @@ def normalize_lines(lines: DataFrame) -> DataFrame:
     line, want, log_format = F.col("line"), F.nullif(F.col("latency_field"), F.lit("")), F.col("log_format")
     # Exploding an array of one keeps the optimizer from parsing a line again for every use.
     rows = rows.withColumn("_document", F.explode(F.array(F.when(log_format == "json", _json_document(line)))))
-    dropped = (log_format == "json") & F.col("_document").isNull() & _is_other_json(line)
+    document = F.col("_document")
+    other = F.when(document.isNull(), _is_other_json(line)).otherwise(
+        (F.size(document) == 1) & document[0].isNull())
+    dropped = (log_format == "json") & other
     rows = rows.filter(~F.coalesce(dropped, F.lit(False))).withColumns({
-        "_json": _json_fields(F.col("_document")),
+        "_json": _json_fields(document),
         "_pairs": F.when(log_format == "logfmt", _logfmt_fields(line)),
     })
 

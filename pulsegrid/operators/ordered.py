@@ -166,32 +166,31 @@ def cooldown(
     """
     keys = list(keys)
     gap = seconds * MICROS
-    instants = materialize(events.select(*keys, F.unix_micros(at).alias("t")).distinct(), "instants")
+    instants = events.select(*keys, F.unix_micros(at).alias("t")).distinct()
+    if seed is not None:
+        # What the seed still blocks can be left out at once.
+        last = seed.select(*keys, F.unix_micros("last_at").alias("_last"))
+        instants = instants.join(last, keys, "left").filter(
+            F.col("_last").isNull() | (F.col("t") - F.col("_last") >= gap)).drop("_last")
+    instants = materialize(instants, "instants")
     hot = instants.groupBy(*keys).count().filter(F.col("count") > fold_limit).select(*keys)
     any_hot = not hot.isEmpty()
     grouped = instants.join(hot, keys, "left_anti") if any_hot else instants
     small = grouped.groupBy(*keys).agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    first = F.lit(None).cast("bigint")
-    if seed is not None:
-        seed = seed.select(*keys, F.unix_micros("last_at").alias("last_t"))
-        small = small.join(seed, keys, "left")
-        first = F.col("last_t")
     kept = F.aggregate(
         "ts",
-        F.struct(first.alias("last"), F.array().cast("array<bigint>").alias("kept")),
+        F.array().cast("array<bigint>"),
         lambda acc, t: F.when(
-            acc["last"].isNull() | (t - acc["last"] >= gap),
-            F.struct(t.alias("last"), F.concat(acc["kept"], F.array(t)).alias("kept")),
+            (F.size(acc) == 0) | (t - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(t))
         ).otherwise(acc),
-        lambda acc: acc["kept"],
     )
     out = small.select(*keys, F.explode(kept).alias("t"))
     if any_hot:
-        out = out.unionByName(_chunked_cooldown(instants.join(hot, keys, "left_semi"), keys, gap, seed))
+        out = out.unionByName(_chunked_cooldown(instants.join(hot, keys, "left_semi"), keys, gap))
     return out.select(*keys, F.timestamp_micros("t").alias(at))
 
 
-def _chunked_cooldown(instants: DataFrame, keys: list[str], gap: int, seed: DataFrame | None) -> DataFrame:
+def _chunked_cooldown(instants: DataFrame, keys: list[str], gap: int) -> DataFrame:
     """Cooldown for keys with too many instants for one task.
 
     Per time chunk: for every instant that could be the first one kept there, find
@@ -220,9 +219,7 @@ def _chunked_cooldown(instants: DataFrame, keys: list[str], gap: int, seed: Data
 
     def entries(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["chunk", "upto"])
-        known = pdf["last_t"].iloc[0] if "last_t" in pdf else None
-        need = None if known is None or pd.isna(known) else int(known) + gap
-        out = []
+        need, out = None, []
         for chunk, steps in pdf.groupby("chunk", sort=True):
             out.append((chunk, need))
             upto = steps["upto"].to_numpy()
@@ -249,8 +246,6 @@ def _chunked_cooldown(instants: DataFrame, keys: list[str], gap: int, seed: Data
     steps = rows.groupBy(*keys, "chunk").applyInPandas(
         exits, f"{key_ddl}, chunk bigint, upto bigint, leaves bigint"
     )
-    if seed is not None:
-        steps = steps.join(seed, keys, "left")
     starts = steps.groupBy(*keys).applyInPandas(entries, f"{key_ddl}, chunk bigint, need bigint")
     return (
         rows.join(starts, [*keys, "chunk"]).groupBy(*keys, "chunk")
