@@ -92,10 +92,11 @@ def split(path: str, name: str, start: int, end: int) -> list[ByteRange]:
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.pattern = options["path"]
-        self.known = json.loads(options.get("startingOffsets", "{}"))
+        self.initial = json.loads(options.get("startingOffsets", "{}"))
+        self.known = dict(self.initial)
 
     def initialOffset(self) -> dict:
-        return {"files": self.known}
+        return {"files": self.initial}
 
     def latestOffset(self) -> dict:
         paths = sorted({*glob.glob(self.pattern), *self.known})

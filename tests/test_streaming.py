@@ -36,3 +36,99 @@ def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
     got = engine.stored_alerts(spark, f"{tmp_path}/out")
     assert facts_of_alerts(got) == facts_of_alerts(want)
     assert {r.id for r in got.collect()} == {r.id for r in want.collect()}
+
+
+def read_all(reader, start, end):
+    return [row for part in reader.partitions(start, end) for row in reader.read(part)]
+
+
+def write(path, text, mode="ab"):
+    with open(path, mode) as f:
+        f.write(text)
+
+
+def test_tail_appends_rotation_and_half_lines(tmp_path, monkeypatch):
+    path = str(tmp_path / "app.log")
+    write(path, b"one\ntwo\nhal")
+    reader = tail.TailReader({"path": path})
+    start = reader.initialOffset()
+    a = reader.latestOffset()
+    assert [r[2] for r in read_all(reader, start, a)] == ["one", "two"]
+    write(path, b"f\r\nbad \xff byte\n")
+    b = reader.latestOffset()
+    assert [r[2] for r in read_all(reader, a, b)] == ["half", "bad � byte"]
+    assert read_all(reader, b, reader.latestOffset()) == []
+    # Renamed: the old file's tail is drained, half-written end included, then the new file read from zero.
+    write(path, b"late\nlast")
+    os.rename(path, path + ".1")
+    write(path, b"new\n", "wb")
+    c = reader.latestOffset()
+    assert [r[2] for r in read_all(reader, b, c)] == ["late", "last", "new"]
+    # A reader started from a checkpoint goes on where the first one stood.
+    write(path, b"more\n")
+    other = tail.TailReader({"path": path})
+    d = other.latestOffset()
+    assert [r[2] for r in read_all(other, c, d)] == ["more"]
+    # Truncated in place: read from zero.
+    write(path, b"x\n", "wb")
+    e = other.latestOffset()
+    assert [r[2] for r in read_all(other, d, e)] == ["x"]
+    os.unlink(path)
+    assert read_all(other, e, other.latestOffset()) == []
+
+
+def test_tail_splits_large_ranges(tmp_path, monkeypatch):
+    monkeypatch.setattr(tail, "SPLIT_BYTES", 64)
+    monkeypatch.setattr(tail, "_PROBE", 7)
+    path = str(tmp_path / "big.log")
+    lines = [f"line {i}" for i in range(100)]
+    write(path, ("\n".join(lines) + "\n").encode())
+    reader = tail.TailReader({"path": path})
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(parts) > 5 and [r[2] for p in parts for r in reader.read(p)] == lines
+
+
+def test_tail_stream_resumes_without_rereading(spark, tmp_path):
+    tail.register(spark)
+    logs, out, checkpoint = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "cp")
+    logs.mkdir()
+    for text in (b"a error\nb\n", b"c info\n"):
+        write(str(logs / "x.log"), text)
+        q = (spark.readStream.format("pulsegrid_tail").option("path", f"{logs}/*.log").load()
+             .writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+             .trigger(processingTime="0 seconds").start())
+        q.processAllAvailable()
+        q.stop()
+    rows = spark.read.parquet(out).orderBy("seq").collect()
+    assert [(r.seq, r.line) for r in rows] == [(0, "a error"), (8, "b"), (10, "c info")]
+
+
+def test_replayed_batch_changes_nothing(spark, tmp_path):
+    rows = random_entries(3, minutes=80)
+    frame(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/in")
+    from pulsegrid.streaming.processor import EVENTS
+
+    d = Detection(frame(spark, rows), PARAMS)
+    opened = d.resolved_spikes.withColumn("kind", F.lit("opened")).withColumn("messages", F.array(F.lit("m")))
+    events = opened.select(*[F.col(f.name).cast(f.dataType) if f.name in opened.columns
+                             else F.lit(None).cast(f.dataType).alias(f.name) for f in EVENTS])
+    tables = engine.AlertTables(f"{tmp_path}/out")
+    for _ in range(2):
+        engine.write_batch(events, 0, tables, PARAMS)
+    got = engine.stored_alerts(spark, f"{tmp_path}/out")
+    assert got.count() == got.select("id").distinct().count() > 0
+
+
+def test_late_entries(spark):
+    df = spark.createDataFrame([(at(0), at(30)), (at(0), at(90))], "occurred_at timestamp, ingest_ts timestamp")
+    assert engine.late_entries(df, "ingest_ts", 60).count() == 1
+
+
+def test_landing_folder(spark, tmp_path):
+    from pulsegrid.sources import landing
+
+    (tmp_path / "a.json").write_text('{"batch_id":1,"key_hash":"h","received_at":"2026-01-01T00:00:00Z",'
+                                     '"entries":[{"message":"m","level":"error","metadata":{"a":"b"}}]}\n')
+    row = landing.pushed_files(spark, str(tmp_path)).collect()[0]
+    assert row.entries[0].message == "m" and row.entries[0].metadata == {"a": "b"}
+    assert landing.pushed_stream(spark, str(tmp_path)).isStreaming
