@@ -226,7 +226,7 @@ def open_services(spikes: DataFrame, params: DetectorParams) -> DataFrame:
     ).select("*", "e.*").drop("e")
     # Ends come before starts of the same instant.
     order = ["t", "step", "source_id", "pos"]
-    cell = F.floor(F.col("t") / F.lit(params.cascade_window_s * MICROS))
+    cell = F.floor(F.col("t") / F.lit(params.window_s * MICROS))
     per_service = running(edges, ["tenant_id", "service_name"], cell, order, {"depth": ("sum", F.col("step"))})
     change = (
         F.when((F.col("step") == 1) & (F.col("depth") == 1), 1)

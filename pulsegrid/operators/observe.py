@@ -105,10 +105,11 @@ def first_entries(entries: DataFrame, patterns: DataFrame, params: DetectorParam
     """Message, time and service of the entry that showed each given pattern first."""
     wanted = patterns.select(*KEYS, "unit", "fp", F.col("first_seq").alias("seq"))
     errors = with_unit(entries.filter(is_error(F.col("level"))), params)
+    # Matched by arrival first: fingerprints are computed for the few matches only.
     return (
-        errors.withColumn("fp", fingerprint(F.col("message")))
-        .select(*KEYS, "unit", "fp", "seq", "message", "occurred_at", "service_name", "environment")
-        .join(wanted, [*KEYS, "unit", "fp", "seq"])
+        errors.select(*KEYS, "unit", "seq", "message", "occurred_at", "service_name", "environment")
+        .join(wanted, [*KEYS, "unit", "seq"])
+        .filter(fingerprint(F.col("message")) == F.col("fp"))
         .groupBy(*KEYS, "unit", "fp")
         .agg(F.min(F.struct("message", "occurred_at", "service_name", "environment")).alias("e"))
         .select(*KEYS, "unit", "fp", "e.*")

@@ -43,8 +43,12 @@ class DetectorParams:
 
     @property
     def cell_s(self) -> int:
-        """Length of the time cells in which rows of one key are ordered."""
-        return 3600 if self.batch_col else 4096 * self.window_s
+        """Length of the time cells in which rows of one key are ordered.
+
+        A cell holds at most 4096 windows of a source. Batches can come at any
+        rate, so their cells are short.
+        """
+        return 60 if self.batch_col else 4096 * self.window_s
 
 
 # Comparisons against smoothed values are made on numbers rounded to this many

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -16,8 +17,9 @@ from pulsegrid.operators import (
 from pulsegrid.plans import fixtures as fx
 from pulsegrid.plans import oracle as o
 from pulsegrid.plans.batch import Detection
-from pulsegrid.session import materialize, prepare
+from pulsegrid.session import materialize, prepare, scratch_dir
 from pulsegrid.sources import jdbc
+from pulsegrid.streaming import engine
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -687,3 +689,23 @@ def detection_lag_report(spark, sf_dir):
     WHERE s.tenant_id <> a.tenant_id""")
 def isolation_breaches(spark, sf_dir):
     return quality.isolation_breaches(stored_alerts(spark, sf_dir), fx.sources(spark, sf_dir))
+
+
+# -- streams -----------------------------------------------------------------
+
+
+@query(f"""SELECT tenant_id, source_id, unit, fp, count(*) AS n, round(sum(latency_ms) + 1e-9, 4) AS lat_sum, min(seq) AS first_seq,
+    CASE WHEN fp IS NOT NULL THEN arg_min(message, seq) END AS message
+    FROM (SELECT *, CASE WHEN level = 'ERROR' THEN {o.fp_sql('message')} END AS fp FROM entries)
+    WHERE unit + {o.H} <= (SELECT epoch_ms(max(ts)) * 1000 FROM events) GROUP BY ALL""")
+def streamed_windows(spark, sf_dir):
+    """The events as a stream: closed windows per source and pattern, each emitted once."""
+    schema = fx.table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    root = f"{scratch_dir(spark)}/pulsegrid/stream-{uuid.uuid4().hex}"
+    rows = engine.window_rows(fx.as_entries(events), fx.EVENT_PARAMS, "0 seconds")
+    q = (rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.read.schema(rows.schema).parquet(f"{root}/out")
+    return out.select("tenant_id", "source_id", "unit", "fp", "n", rounded("lat_sum", 4), "first_seq", "message")

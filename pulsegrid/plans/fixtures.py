@@ -19,8 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_entries(table(spark, sf_dir, "events"))
+
+
+def as_entries(e: DataFrame) -> DataFrame:
     """`events` as LOG_ENTRY rows: twelve sources of two tenants; `seq` is the event id."""
-    e = table(spark, sf_dir, "events")
     source = (F.col("user_id") % 12).cast("string")
     code = F.translate(F.get_json_object("props", "$.k"), "0123456789", "abcdefghij")
     return e.select(
