@@ -697,7 +697,7 @@ def isolation_breaches(spark, sf_dir):
 @query(f"""SELECT tenant_id, source_id, unit, fp, count(*) AS n, round(sum(latency_ms) + 1e-9, 4) AS lat_sum, min(seq) AS first_seq,
     CASE WHEN fp IS NOT NULL THEN arg_min(message, seq) END AS message
     FROM (SELECT *, CASE WHEN level = 'ERROR' THEN {o.fp_sql('message')} END AS fp FROM entries)
-    WHERE unit + {o.H} <= (SELECT epoch_ms(max(ts)) * 1000 FROM events) GROUP BY ALL""")
+    WHERE unit + {o.H} <= (SELECT epoch_ms(max(ts)) * 1000 FROM events) GROUP BY tenant_id, source_id, unit, fp""")
 def streamed_windows(spark, sf_dir):
     """The events as a stream: closed windows per source and pattern, each emitted once."""
     schema = fx.table(spark, sf_dir, "events").schema
