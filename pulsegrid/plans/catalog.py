@@ -63,9 +63,15 @@ def detection(spark: SparkSession, sf_dir: str) -> Detection:
     return Detection(fx.log_entries(spark, sf_dir), fx.EVENT_PARAMS)
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def stored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The alert table that the query operators read."""
-    return materialize(detection(spark, sf_dir).alerts, "alerts")
+    """The alert table that the query operators read: detected from the events and written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = materialize(detection(spark, sf_dir).alerts, "alerts")
+    return _STORED[key]
 
 
 # -- parsing -----------------------------------------------------------------
