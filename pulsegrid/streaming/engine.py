@@ -56,11 +56,19 @@ def initial_state(state: DataFrame) -> DataFrame:
 
 
 def alert_events(
-    entries: DataFrame, params: DetectorParams, delay: str = "1 minute", state: DataFrame | None = None
+    entries: DataFrame, params: DetectorParams, delay: str = "1 minute", state: DataFrame | None = None,
+    acks: DataFrame | None = None,
 ) -> DataFrame:
-    """Openings and closings of alerts, cascades apart (those need all sources of a tenant)."""
+    """Openings and closings of alerts, cascades apart (those need all sources of a tenant).
+
+    `acks` is a stream of tenant_id, source_id, alert_id, acked_at.
+    """
     seed = initial_state(state).groupBy(*KEYS) if state is not None else None
-    return window_rows(entries, params, delay).groupBy(*KEYS).transformWithStateInPandas(
+    rows = window_rows(entries, params, delay)
+    if acks is not None:
+        asked = acks.select(*KEYS, "alert_id", F.unix_micros("acked_at").alias("acked_at"))
+        rows = rows.unionByName(asked, allowMissingColumns=True)
+    return rows.groupBy(*KEYS).transformWithStateInPandas(
         statefulProcessor=SourceDetector(params), outputStructType=EVENTS, outputMode="Append",
         timeMode="None", initialState=seed,
     )
@@ -133,12 +141,12 @@ def write_batch(events: DataFrame, batch_id: int, tables: AlertTables, params: D
 
 def start(
     entries: DataFrame, root: str, checkpoint: str, params: DetectorParams, delay: str = "1 minute",
-    state: DataFrame | None = None, trigger: dict | None = None,
+    state: DataFrame | None = None, trigger: dict | None = None, acks: DataFrame | None = None,
 ) -> StreamingQuery:
     """Run detection over a stream of LOG_ENTRY rows into the tables under `root`."""
     prepare(entries.sparkSession)
     tables = AlertTables(root)
-    events = alert_events(entries, params, delay, state)
+    events = alert_events(entries, params, delay, state, acks)
     return (
         events.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
         .foreachBatch(lambda df, batch_id: write_batch(df, batch_id, tables, params))

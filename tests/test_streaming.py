@@ -132,3 +132,83 @@ def test_landing_folder(spark, tmp_path):
     row = landing.pushed_files(spark, str(tmp_path)).collect()[0]
     assert row.entries[0].message == "m" and row.entries[0].metadata == {"a": "b"}
     assert landing.pushed_stream(spark, str(tmp_path)).isStreaming
+
+
+class FakeState(dict):
+    """Just enough of value and map state to drive the processor without a stream."""
+
+    def get(self):
+        return dict.get(self, "v")
+
+    def update(self, value):
+        self["v"] = value
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class FakeHandle:
+    def getValueState(self, name, schema):
+        return FakeState()
+
+    def getMapState(self, name, key, value):
+        return FakeState()
+
+
+def drive(processor, windows, acks=()):
+    """windows: (minute, errors, others); acks: (minute, alert_id)."""
+    import pandas as pd
+
+    rows = []
+    for minute, bad, good in windows:
+        unit = minute * 60_000_000
+        common = {"unit": unit, "service_name": "svc", "environment": "p", "n_lat": 0, "lat_sum": 0.0, "min_ts": unit + 1,
+                  "max_ts": unit + 50_000_000, "first_ts": unit + 1, "alert_id": None, "acked_at": None}
+        if bad:
+            rows.append(common | {"fp": "f", "message": "m", "n": bad, "first_seq": minute * 2})
+        if good:
+            rows.append(common | {"fp": None, "message": None, "n": good, "first_seq": minute * 2 + 1})
+    rows += [{"alert_id": i, "acked_at": m * 60_000_000} for m, i in acks]
+    return pd.concat(processor.handleInputRows(("t", "s"), iter([pd.DataFrame(rows)]), None))
+
+
+def test_acknowledged_alert_is_not_resolved():
+    from pulsegrid.streaming.processor import SourceDetector
+
+    processor = SourceDetector(DetectorParams(warmup_required=1))
+    processor.init(FakeHandle())
+    drive(processor, [(m, 0, 10) for m in range(12)])
+    out = drive(processor, [(12, 3, 7), (13, 9, 1)])
+    spikes = list(out[out.anomaly_type == "ERROR_RATE_SPIKE"]["id"])
+    assert len(spikes) == 2
+    out = drive(processor, [(15, 0, 10), (16, 0, 10), (17, 0, 10)], acks=[(14.5, spikes[1])])
+    closed = out[(out.kind == "closed") & (out.anomaly_type == "ERROR_RATE_SPIKE")]
+    assert list(closed["id"]) == [spikes[0]]
+
+
+def test_pattern_cap():
+    import pandas as pd
+
+    from pulsegrid.params import MAX_FINGERPRINTS
+    from pulsegrid.streaming.processor import SourceDetector
+
+    processor = SourceDetector(DetectorParams(warmup_required=1))
+    processor.init(FakeHandle())
+    n = MAX_FINGERPRINTS + 5
+
+    def window(minute):
+        unit = minute * 60_000_000
+        frame = pd.DataFrame({"fp": [f"f{i}" for i in range(n)], "message": "m", "n": 1, "n_lat": 0, "lat_sum": 0.0,
+                              "min_ts": unit, "max_ts": unit, "first_ts": unit, "first_seq": range(n), "unit": unit,
+                              "service_name": "svc", "environment": "p"})
+        out = pd.concat(processor.handleInputRows(("t", "s"), iter([frame]), None))
+        return int((out.anomaly_type == "NOVEL_ERROR").sum())
+
+    # The five beyond the cap are not stored and alert again each time; after a day all do.
+    assert [window(0), window(1), window(1441), window(1442)] == [n, 5, n, 5]
