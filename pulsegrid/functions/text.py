@@ -24,8 +24,8 @@ def normalize_message(message: Column) -> Column:
 
 
 def fingerprint(message: Column) -> Column:
-    """The first 16 hex digits of the normalised message's SHA-256."""
-    return F.substring(F.sha2(normalize_message(message), 256), 1, 16)
+    """The first 16 hex digits of the normalised message's SHA-256; no message counts as an empty one."""
+    return F.substring(F.sha2(normalize_message(F.coalesce(message, F.lit(""))), 256), 1, 16)
 
 
 def hour_label(ts: Column) -> Column:

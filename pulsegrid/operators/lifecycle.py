@@ -10,6 +10,7 @@ from pulsegrid.operators.detectors import SILENCE
 from pulsegrid.operators.observe import KEYS
 from pulsegrid.schemas import ALERT
 
+# Version, names and order of the alert document are a contract with its readers.
 SCHEMA_VERSION = "1.0"
 _JSON = {"ignoreNullFields": "false"}
 

@@ -13,6 +13,7 @@ from pulsegrid.functions.text import cursor_column, decode_cursor, hour_label
 from pulsegrid.operators.ordered import running
 from pulsegrid.params import PAGE_DEFAULT, PAGE_MAX, TREND_MAX_HOURS
 
+
 def newest(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("detected_at"), F.desc("id"))
 

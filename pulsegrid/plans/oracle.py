@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 
-from pulsegrid.functions.text import signing_pads
 from pulsegrid.plans.fixtures import EVENT_PARAMS as P
 
 H = P.window_s * 1_000_000

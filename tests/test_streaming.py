@@ -1,17 +1,13 @@
 """Streams equal the batch plan on closed windows; the tail source follows rotating files."""
 
 import os
-from datetime import timedelta
 
-import pytest
-
-from pulsegrid.operators import observe
 from pulsegrid.params import DetectorParams
 from pulsegrid.plans.batch import Detection
 from pulsegrid.sources import tail
 from pulsegrid.streaming import engine
 from pyspark.sql import functions as F
-from test_detection import ENTRY, PARAMS, T0, at, facts_of_alerts, frame, random_entries
+from test_detection import ENTRY, PARAMS, at, facts_of_alerts, frame, random_entries
 
 
 def run(spark, folder, root, checkpoint, **kw):

@@ -189,3 +189,40 @@ def test_current_alerts(spark):
                                  "tenant_id string, alert_id string, user_id string, acked_at timestamp")
     got = {r.id: r.status for r in tables.current_alerts(opened, closed, asks).collect()}
     assert got == {"a": "resolved", "b": "acknowledged", "c": "acknowledged"}
+
+
+def test_cursors_and_append_log(spark, tmp_path):
+    first = spark.createDataFrame([("s1", "t", 10, NOW), ("s2", "t", 5, NOW)],
+                                  "source_id string, tenant_id string, byte_offset bigint, updated_at timestamp")
+    later = first.filter("source_id = 's1'").withColumn("byte_offset", F.lit(30).cast("bigint")).withColumn(
+        "updated_at", F.lit(NOW + DAY))
+    path = f"{tmp_path}/cursors"
+    tables.append(first, path, at="updated_at")
+    tables.append(later, path, at="updated_at")
+    log = tables.read_dated(spark, path, first.schema)
+    assert {r.source_id: r.byte_offset for r in tables.latest_cursors(log).collect()} == {"s1": 30, "s2": 5}
+    merged = tables.upsert_by_key(first, later, ["source_id"])
+    assert {r.source_id: r.byte_offset for r in merged.collect()} == {"s1": 30, "s2": 5}
+
+
+def test_polled_sources_get_their_cursor(spark):
+    sources = make(spark, LOG_SOURCE, [
+        {"id": "f", "source_type": "file", "connection_config": "/var/log/a", "active": True},
+        {"id": "d", "source_type": "postgres", "connection_config": "db://h/d", "active": True}, {"id": "off", "active": False}])
+    state = spark.createDataFrame([("d", None, 0, "42")], "source_id string, file_inode bigint, byte_offset bigint, last_seen_id string")
+    got = {r.source_id: r for r in registry.active_sources(sources, state).collect()}
+    assert set(got) == {"f", "d"}
+    assert (got["f"].file_path, got["f"].connection_string, got["f"].byte_offset, got["f"].last_seen_id) == ("/var/log/a", None, 0, "0")
+    assert (got["d"].file_path, got["d"].connection_string, got["d"].last_seen_id) == (None, "db://h/d", "42")
+
+
+def test_summary_and_platform_totals(spark):
+    df = alerts(spark, {"id": "1"}, {"id": "2", "severity": "CRITICAL"}, {"id": "3", "status": "resolved"},
+                {"id": "4", "status": "acknowledged"}, {"id": "5", "tenant_id": "u"})
+    sources = make(spark, LOG_SOURCE, [{"id": "a", "active": True}, {"id": "b", "active": False},
+                                       {"id": "c", "active": True, "deleted_at": NOW}], tenant_id="t")
+    users = make(spark, USER, [{"id": "u1", "active": True}, {"id": "u2", "active": False}])
+    assert queries.summary(df, sources, "t").collect()[0].asDict() == {
+        "total_alerts": 4, "open": 2, "resolved": 1, "acknowledged": 1, "critical_open": 1, "warning_open": 1, "active_sources": 1}
+    assert queries.platform_totals(tenant(spark), df, sources, users).collect()[0].asDict() == {
+        "total_tenants": 2, "active_tenants": 1, "total_alerts": 5, "open_alerts": 3, "active_sources": 1, "active_users": 1}
