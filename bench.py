@@ -28,13 +28,16 @@ STAGES = {
     "parse_text": (["parse_document_lines", "message_fingerprints"], "documents"),
     "observe": (["observations", "error_patterns"], "events"),
     "detect": (["error_rate_spikes", "latency_spikes", "sustained_elevations", "novel_errors", "cascades"], "events"),
-    "end_to_end": (["alert_rows"], "events"),
+    "end_to_end": (["alert_rows", "alert_table"], "events"),
     "serve": (["dashboard_summary", "delivery_queue", "audit_statistics", "request_latency_ranks"], "events"),
 }
 
 
 def run(spark: SparkSession, name: str, sf_dir: str) -> float:
     start = time.perf_counter()
+    if name == "alert_table":  # detected and written once; the serving queries read it
+        catalog.stored_alerts(spark, sf_dir)
+        return time.perf_counter() - start
     catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - start
 
