@@ -1,0 +1,11 @@
+"""Operators for training-data pipelines. Nothing outside this folder imports it.
+
+Functions that run inside Python tasks are pickled by value, so that executors need only the libraries, not this
+package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
