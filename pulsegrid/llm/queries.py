@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulsegrid.llm import exact_dedup
+from pulsegrid.llm import exact_dedup, rule_quality, sentencepieces
 from pulsegrid.llm.shared import read_table
 from pulsegrid.session import prepare
 
+# Where the vocabulary files lie; every executor has them installed.
+PIECES = "piece_bpe_32k.model"
+WORD_PIECES = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -27,3 +32,23 @@ def query(sql: str | None = None):
 @query(exact_dedup.SQL)
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op6_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query()
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepieces.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary(PIECES))
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
