@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import exact_dedup, rule_quality, sentencepieces
+from pulsegrid.llm import exact_dedup, jaccard_join, rule_quality, sentencepieces
 from pulsegrid.llm.shared import read_table
 from pulsegrid.session import prepare
 
@@ -29,6 +29,11 @@ def query(sql: str | None = None):
     return add
 
 
+@query(jaccard_join.SQL)
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(read_table(spark, sf_dir, "documents"))
+
+
 @query(exact_dedup.SQL)
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -11,11 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import whole_text
+from pulsegrid.llm.shared import grouped, whole_text
 
 MARK = "▁"  # stands for a space inside the model
-# Texts are worked in groups of about so many characters, so that memory follows neither rows nor long texts.
-GROUP_CHARS = 2_000_000
 # Ids of words are remembered within a task up to so many words; then the memory starts anew.
 REMEMBERED_WORDS = 400_000
 
@@ -179,19 +176,6 @@ class TextEncoder:
         return [np.concatenate([first, flat[a:b], last]).astype("<u4") for a, b in zip(cut[:-1], cut[1:])]
 
 
-def grouped(values: list, size=len) -> Iterator[list]:
-    """Consecutive values in lists of about GROUP_CHARS characters; one long text is a list of its own."""
-    group, held = [], 0
-    for v in values:
-        if group and held + size(v) > GROUP_CHARS:
-            yield group
-            group, held = [], 0
-        group.append(v)
-        held += size(v)
-    if group:
-        yield group
-
-
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids and decoded text of every document, one row each; no shuffle.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 WHITESPACE = " \t\n\x0b\x0c\r"
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
+# Python tasks work texts in groups of about so many characters: memory follows neither rows nor the mean length.
+GROUP_CHARS = 2_000_000
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,3 +31,16 @@ def words_of(text: Column) -> Column:
 
 def no_space(text: Column) -> Column:
     return F.translate(text, WHITESPACE, "")
+
+
+def grouped(values: list, size=len) -> Iterator[list]:
+    """Consecutive values in lists of about GROUP_CHARS characters; one long text is a list of its own."""
+    group, held = [], 0
+    for v in values:
+        if group and held + size(v) > GROUP_CHARS:
+            yield group
+            group, held = [], 0
+        group.append(v)
+        held += size(v)
+    if group:
+        yield group
