@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import exact_dedup, jaccard_join, rule_quality, sentencepieces
+from pulsegrid.llm import exact_dedup, jaccard_join, mixing, rule_quality, sentencepieces
 from pulsegrid.llm.shared import read_table
 from pulsegrid.session import prepare
 
@@ -34,6 +34,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(read_table(spark, sf_dir, "documents"))
 
 
+@query()
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.taken_words(read_table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query(exact_dedup.SQL)
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.session import materialize
+
 # The characters that separate words.
 WHITESPACE = " \t\n\x0b\x0c\r"
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -44,3 +46,20 @@ def grouped(values: list, size=len) -> Iterator[list]:
         held += size(v)
     if group:
         yield group
+
+
+def in_order(df: DataFrame, order: list[Column], value: Column, start: str) -> DataFrame:
+    """`df` sorted over partitions, written, with `shard` (its partition) and `start` (sum of `value` before the row).
+
+    Ranges are sorted apart; only one sum per range is brought together, so no key and no group is one task's work.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("__value", value).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = materialize(ranged.select("*", F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().alias("__row")), "ordered")
+    within = Window.partitionBy("shard").orderBy("__row").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("shard").agg(F.sum("__value").alias("__sum"))
+    offsets = offsets.select("shard", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
+    inside = ranged.withColumn(start, F.coalesce(F.sum("__value").over(within), F.lit(0)))
+    return inside.join(F.broadcast(offsets), "shard").withColumn(start, F.col(start) + F.col("__offset")).drop(
+        "__value", "__row", "__offset")  # one row per range: at most as many as shuffle partitions
