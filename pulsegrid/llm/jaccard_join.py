@@ -4,21 +4,20 @@
    linked sets of that size can differ in, so linked sets agree in a whole part (small sets: in a choice of parts). One
    row per part and set is shuffled; rows of equal parts meet and form a group. Texts that merely share a passage do
    not agree in a whole part, so groups hold few strangers.
-2. Of every group a few members are pivots. The matrix row of the group is the token union of its pivots. A member is
-   a query: its overlap with the union bounds its overlap with every pivot, and only groups whose bound allows a link
-   are opened, that is compared pivot by pivot, exactly.
+2. Of every group some members are pivots, at first the one that meets most others. The matrix row of the group is the
+   token union of its pivots. A member is a query: its overlap with the union bounds its overlap with every pivot, and
+   only where the bound allows a link is the group opened, that is the query compared with each pivot, exactly.
 3. Links join components. A pivot has met all members and leaves the group; groups within one component are done.
-   Rounds go on, with twice the pivots each, until no group spans two components: then every pair of linked sets
-   either was compared or lies in one component.
+   Rounds go on until no group spans two components: then every pair of linked sets either was compared or lies in one
+   component.
 
-No step lists all pairs of a group unless none of its members are linked.
+Queries of a large group are dealt out in chunks, each with the pivots; a chunk passes on only links that join parts.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import grouped, whole_text
+from pulsegrid.llm.shared import Tables, grouped, whole_text
 from pulsegrid.llm.shingles import mixed, shingle_sets
 from pulsegrid.session import materialize
 
@@ -38,32 +37,37 @@ TINY = 11
 # Linked sets that differ in d tokens at most agree in CHOICES[d] - d of so many parts at least, and are met through
 # all choices of that many. Sets that may differ in more tokens are met through single parts.
 CHOICES = {1: 3, 2: 5, 3: 7, 4: 8, 5: 8, 6: 9, 7: 9, 8: 10, 9: 11, 10: 12, 11: 13, 12: 14}
-MOST_PIVOTS = 16
+# Pivots of a group in a round after the first, and queries of a chunk.
+MOST_PIVOTS = 64
+CHUNK = 512
 
 
-@lru_cache(None)
-def class_bounds() -> list[int]:
-    """Least sizes of the size classes: what links to a set of one class is of the same class or a neighbour."""
+def _class_bounds() -> list[int]:
     bounds = [1, 2]
     while bounds[-1] < 2**40:
         bounds.append(max(bounds[-1] + 1, (bounds[-1] - 1) * WHOLE // PART + 1))
     return bounds
 
 
+# Least sizes of the size classes: what links to a set of one class is of the same class or a neighbour.
+BOUNDS = _class_bounds()
+_LAYOUTS: dict[int, tuple] = {}
+
+
 def size_class(n: int) -> int:
-    return bisect_right(class_bounds(), n) - 1
+    return bisect_right(BOUNDS, n) - 1
 
 
-@lru_cache(None)
 def most_differences(c: int) -> int:
     """How many tokens two linked sets differ in at most, the smaller being of class c."""
-    largest = class_bounds()[c + 1] - 1
+    largest = BOUNDS[c + 1] - 1
     return (largest + largest * WHOLE // PART) * (WHOLE - PART) // (WHOLE + PART)
 
 
-@lru_cache(None)
 def layout(c: int) -> tuple[int, int, np.ndarray | None, np.ndarray, np.ndarray]:
     """For class c: parts, how many of them agree, the choices of that many or None, part bounds, and a salt per part."""
+    if c in _LAYOUTS:
+        return _LAYOUTS[c]
     differ = most_differences(c)
     if differ in CHOICES:
         k = CHOICES[differ]
@@ -73,7 +77,9 @@ def layout(c: int) -> tuple[int, int, np.ndarray | None, np.ndarray, np.ndarray]
         empty = 1.2 * differ * math.exp(-2.6)
         k, picks = differ + 1 + math.ceil(empty + 5 * math.sqrt(empty)), None
     bounds = np.array([(i << 64) // k for i in range(1, k)], dtype=np.uint64)
-    return k, k - differ, picks, bounds, mixed(np.arange(k, dtype=np.uint64) + np.uint64((c + 1) << 32))
+    salt = mixed(np.arange(k, dtype=np.uint64) + np.uint64((c + 1) << 32))
+    _LAYOUTS[c] = k, k - differ, picks, bounds, salt
+    return _LAYOUTS[c]
 
 
 def part_keys(tokens: np.ndarray, c: int) -> np.ndarray:
@@ -150,92 +156,118 @@ def _tokens(ids, sets, _):
         names=["doc_id", "class", "tokens"])
 
 
-def linked(both: int, n: int, m: int) -> bool:
+def linked(both, n, m):
     return WHOLE * both >= PART * (n + m - both)
 
 
+class GroupMatrix:
+    """Tokens of a group's pivots: their union, and which pivot holds which token of it."""
+
+    def __init__(self, pivots: list[np.ndarray]):
+        self.union = np.unique(np.concatenate(pivots))
+        self.holds = np.zeros((len(self.union), len(pivots)), dtype=np.uint8)
+        for k, tokens in enumerate(pivots):
+            self.holds[np.searchsorted(self.union, tokens), k] = 1
+        self.sizes = np.array([len(p) for p in pivots])
+
+    def linked(self, query: np.ndarray) -> np.ndarray:
+        """Numbers of the pivots that are linked to the query."""
+        at = np.minimum(np.searchsorted(self.union, query), len(self.union) - 1)
+        at = at[self.union[at] == query]
+        if WHOLE * len(at) < PART * len(query):
+            return at[:0]  # even with the whole union the query shares too little: the group stays closed
+        both = self.holds[at].sum(axis=0, dtype=np.int64)
+        return np.flatnonzero(linked(both, len(query), self.sizes))
+
+
 def open_groups(rows: DataFrame) -> DataFrame:
-    """Links found between queries and pivots. Rows: query, tokens, pivots array<struct<pivot, tokens>>, union."""
+    """Links between components. `rows` hold group, chunk, pivot, class, component, tokens, a chunk's pivots first.
+
+    A chunk's links are reduced to those that join what the chunk has not joined yet.
+    """
 
     def work(batches):
+        current, pivots, matrix, root = None, [], None, {}
+
+        def find(c):
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
         for batch in batches:
-            a, b = [], []
-            union_of = (None, None)
-            for query, tokens, pivots, union in zip(*(batch.column(k) for k in range(4))):
-                x = np.frombuffer(tokens.as_py(), np.uint64)
-                if union_of[0] != (raw := union.as_py()):
-                    union_of = raw, np.frombuffer(raw, np.uint64)
-                bound = len(np.intersect1d(x, union_of[1], assume_unique=True))
-                if WHOLE * bound < PART * len(x):
-                    continue  # no pivot can be linked
-                for p in pivots.as_py():
-                    y = np.frombuffer(p["tokens"], np.uint64)
-                    if linked(min(len(x), len(y)), len(x), len(y)) and linked(
-                            len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
-                        a.append(query.as_py())
-                        b.append(p["pivot"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return rows.select("query", "tokens", "pivots", "union").mapInArrow(work, "a long, b long")
-
-
-def token_union(tokens: list[bytes]) -> bytes:
-    return np.unique(np.concatenate([np.frombuffer(t, np.uint64) for t in tokens])).tobytes()
-
-
-def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
+            found = []
+            for group, chunk, is_pivot, of, component, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if (group, chunk) != current:
+                    current, pivots, matrix, root = (group, chunk), [], None, {}
+                tokens = np.frombuffer(raw, np.uint64)
+                if is_pivot:
+                    pivots.append((component, tokens))
+                    continue
+                matrix = matrix or GroupMatrix([t for _, t in pivots])
+                for k in matrix.linked(tokens).tolist():
+                    x, y = find(component), find(pivots[k][0])
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        found.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    columns = rows.select("group", "chunk", "pivot", "class", "component", "tokens")
+    return columns.mapInArrow(work, "a long, b long")
+
+
+def components(nodes: DataFrame, edges: DataFrame, tables: Tables) -> DataFrame:
     """(node, root): the smallest node reachable over edges (a, b), by hooking to the least neighbour and jumping."""
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct()
-    both = materialize(both, "edges")
-    label = nodes.select(F.col(node).alias("node"), F.col(node).alias("root"))
+    both = tables.write(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    label = nodes.select("node", F.col("node").alias("root"))
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        hooked = label.join(near, label.node == near.a, "left").select(
-            "node", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root"))
-        hooked = materialize(hooked, "hooked")
+        hooked = tables.write(label.join(near, label.node == near.a, "left").select(
+            "node", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root")), "hooked")
         jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        jumped = hooked.join(jump, "root").select("node", "was", F.least("root", "far").alias("root"))
-        jumped = materialize(jumped, "labels")
+        jumped = tables.write(hooked.join(jump, "root").select("node", "was", F.least("root", "far").alias("root")), "jumped")
         label = jumped.select("node", "root")
         if jumped.where("was <> root").isEmpty():
             return label
 
 
 def similar_classes(groups: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(class, component) of the classes in `groups` (group, class), given their token sets."""
-    label = materialize(groups.select("class").distinct().select("class", F.col("class").alias("component")), "component")
-    members, pivots_each = groups, 1
+    """(class, component) of the classes in `groups` (group, class, lead), given their token sets."""
+    spark, old = groups.sparkSession, None
+    label = groups.select("class").distinct().select("class", F.col("class").alias("component"))
+    members, pivots_each, number = groups, 1, 0
     while True:
-        members = materialize(members.select("group", "class").join(label, "class"), "members")
+        tables = Tables(spark, "jaccard")
+        members = tables.write(members.select("group", "class", "lead").join(label, "class"), "members")
+        label = tables.write(label, "component")
+        if old:
+            old.drop()
+        old, number = tables, number + 1
         open_ = members.groupBy("group").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"),
-            *(F.min_by("class", F.xxhash64("class", F.lit(k))).alias(f"p{k}") for k in range(pivots_each)),
-        ).where("low <> high")
-        chosen = materialize(open_.select(
-            "group", F.array_distinct(F.array(*(f"p{k}" for k in range(pivots_each)))).alias("pivots")), "pivots")
-        if chosen.isEmpty():
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"),
+            F.max("lead").alias("led"), F.min_by("class", F.xxhash64("class", F.lit(number))).alias("picked"),
+        ).where("low <> high").select("group", "n", "led", "picked")
+        open_ = tables.write(open_, "open")
+        if open_.isEmpty():
             return label
-        # A set of pivots shared by several groups is one row of the matrix.
-        chosen = chosen.withColumn("matrix", F.xxhash64(F.array_sort("pivots")))
-        rows = chosen.groupBy("matrix").agg(F.first("pivots").alias("pivots")).select("matrix", F.explode("pivots").alias("class"))
-        matrix = rows.join(tokens, "class").join(label, "class").groupBy("matrix").agg(
-            F.collect_list(F.struct(F.col("class").alias("pivot"), "tokens", "component")).alias("pivots"))
-        matrix = materialize(matrix.withColumn("union", F.udf(token_union, "binary")("pivots.tokens")), "matrix")
-        asked = members.join(chosen, "group").select("matrix", F.col("class").alias("query"), "component").distinct()
-        asked = asked.join(tokens.withColumnRenamed("class", "query"), "query").join(matrix, "matrix")
-        asked = asked.withColumn("pivots", F.filter("pivots", lambda p: p["component"] != F.col("component")))
-        links = materialize(open_groups(asked.where(F.size("pivots") > 0)), "links")
-        ends = label.select(F.col("class").alias("a"), F.col("component").alias("ca"))
-        other = label.select(F.col("class").alias("b"), F.col("component").alias("cb"))
-        joined = links.join(ends, "a").join(other, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-        joined = materialize(joined, "joined")
-        if not joined.isEmpty():
-            root = components(label.select("component").distinct(), joined, "component")
-            label = materialize(label.join(root, label.component == root.node).select("class", F.col("root").alias("component")), "component")
+        # The lead first; later about so many members, picked by hash, and always one.
+        one_of = F.greatest(F.ceil(F.col("n") / pivots_each), F.lit(1))
+        picked = F.pmod(F.xxhash64("class", F.lit(-number)), one_of) == 0
+        pivot = F.when(F.col("led"), F.col("lead")).otherwise((F.col("class") == F.col("picked")) | picked)
+        chunks = F.ceil(F.col("n") / CHUNK)
+        asked = tables.write(members.join(open_, "group").select(
+            "group", "class", "component", pivot.alias("pivot"), chunks.alias("chunks")), "asked")
+        queries = asked.select("group", F.pmod(F.xxhash64("class"), "chunks").alias("chunk"), "class", "component", F.lit(False).alias("pivot"))
+        sent = asked.where("pivot").select(
+            "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "class", "component", "pivot")
+        rows = queries.unionByName(sent).join(tokens, "class").repartition("group", "chunk").sortWithinPartitions(
+            "group", "chunk", F.desc("pivot"))
+        links = tables.write(open_groups(rows).distinct(), "links")
+        if not links.isEmpty():
+            root = components(label.select(F.col("component").alias("node")).distinct(), links, tables)
+            label = label.join(root, label.component == root.node).select("class", F.col("root").alias("component"))
         # Pivots have met everyone in their groups.
-        left = members.join(chosen.select("group", "pivots"), "group").where(~F.array_contains("pivots", F.col("class")))
-        members = left.select("group", "class")
-        pivots_each = min(2 * pivots_each, MOST_PIVOTS)
+        members = asked.where("NOT pivot").select("group", "class", F.lit(False).alias("lead"))
+        pivots_each = MOST_PIVOTS
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,8 +286,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = span.where("low <> high").select("key", "class").distinct()
     # Keys with the same members make one group.
     print_of = [F.bit_xor(F.xxhash64("class", F.lit(k))).over(same) for k in (1, 2)]
-    groups = shared.withColumn("group", F.xxhash64(*print_of, F.count(F.lit(1)).over(same)))
-    groups = materialize(groups.select("group", "class").distinct(), "groups")
+    equal = shared.withColumn("equal", F.xxhash64(*print_of, F.count(F.lit(1)).over(same)))
+    equal = materialize(equal.select("equal", "class").distinct(), "equal-parts")
+    # All that meet the same lead, the member that most others meet, are one group.
+    often = equal.groupBy("class").agg((F.count(F.lit(1)) * 2**20 + F.pmod(F.xxhash64("class"), F.lit(2**20))).alias("weight"))
+    leads = equal.join(often, "class").groupBy("equal").agg(F.max_by("class", "weight").alias("group"))
+    groups = equal.join(leads, "equal").select("group", "class").distinct()
+    groups = materialize(groups.withColumn("lead", F.col("group") == F.col("class")), "groups")
     wanted = groups.select("class").distinct().join(filled, "class").groupBy("class").agg(F.min("doc_id").alias("want"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.want), "left_semi")
@@ -290,11 +327,11 @@ WITH RECURSIVE words AS (
 ), sizes AS (
   SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
 ), pairs AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
   FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
 ), links AS (
   SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-  WHERE 100 * both >= 80 * (x.n + y.n - both)
+  WHERE 100 * c >= 80 * (x.n + y.n - c)
 ), reach AS (
   SELECT doc_id, doc_id AS other FROM documents
   UNION

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import exact_dedup, jaccard_join, mixing, rule_quality, sentencepieces
-from pulsegrid.llm.shared import read_table
+from pulsegrid.llm import chat_format, exact_dedup, jaccard_join, mixing, robust_rules, rule_quality, sentencepieces, token_files
+from pulsegrid.llm.shared import Tables, read_table
 from pulsegrid.session import prepare
 
 # Where the vocabulary files lie; every executor has them installed.
@@ -34,6 +34,13 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(read_table(spark, sf_dir, "documents"))
 
 
+@query()
+def op2_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = Tables(spark, "token-files")
+    blocks = token_files.write_documents(read_table(spark, sf_dir, "documents"), vocabulary(WORD_PIECES), tables)
+    return token_files.read_documents(blocks).drop("ids")
+
+
 @query()
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.taken_words(read_table(spark, sf_dir, "documents"))
@@ -51,11 +58,26 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query(chat_format.SQL)
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit(chat_format.HOSTILE)
+    added = spark.range(2).select(
+        F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), said)
+    return chat_format.digests(chat_format.format_conversations(turns.union(added)))
+
+
 @query()
 def op6_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query()
+def op7_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = robust_rules.quality_rules(read_table(spark, sf_dir, "documents"))
+    return rated.drop("lang", "source")
+
+
 @query()
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepieces.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary(PIECES))

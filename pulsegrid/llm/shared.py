@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.session import materialize
+from pulsegrid.session import materialize, scratch_dir
 
 # The characters that separate words.
 WHITESPACE = " \t\n\x0b\x0c\r"
@@ -63,3 +65,25 @@ def in_order(df: DataFrame, order: list[Column], value: Column, start: str) -> D
     inside = ranged.withColumn(start, F.coalesce(F.sum("__value").over(within), F.lit(0)))
     return inside.join(F.broadcast(offsets), "shard").withColumn(start, F.col(start) + F.col("__offset")).drop(
         "__value", "__row", "__offset")  # one row per range: at most as many as shuffle partitions
+
+
+class Tables:
+    """Written tables of an iteration, under the shared folder of the session; those no longer read can go."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.count = spark, 0
+        self.folder = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{name}-{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self):
+        """Deletes the tables and lets Spark drop the shuffle files of finished plans."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
