@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat_format, exact_dedup, jaccard_join, mixing, robust_rules, rule_quality, sentencepieces, token_files
+from pulsegrid.llm import chat_format, exact_dedup, jaccard_join, mixing, robust_rules, rule_quality, sentencepieces, suffix_dedup, token_files
 from pulsegrid.llm.shared import Tables, read_table
 from pulsegrid.session import prepare
 
@@ -78,6 +78,12 @@ def op7_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.drop("lang", "source")
 
 
+@query()
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query()
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepieces.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary(PIECES))

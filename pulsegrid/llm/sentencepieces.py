@@ -176,30 +176,35 @@ class TextEncoder:
         return [np.concatenate([first, flat[a:b], last]).astype("<u4") for a, b in zip(cut[:-1], cut[1:])]
 
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(
+    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None,
+) -> DataFrame:
     """Ids and decoded text of every document, one row each; no shuffle.
 
     `model` is the path of a SentencePiece BPE model that every executor has. Only words that a task has not seen lately
     are merged, all at once in rounds: each round replaces in every word the leftmost pair of the best score, and words
     without a pair leave.
 
-    Returns doc_id, ids (binary, little-endian unsigned 32-bit, begin and end ids included), decoded. A null or empty
+    Returns doc_id, the columns named by `carry`, ids (binary, little-endian unsigned 32-bit, begin and end ids
+    included), decoded. A null or empty
     text has the begin and end ids only. Texts of any length are encoded whole; ids that repeat or are null are kept as
     they are; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    carry = carry or []
+    rows = docs.select(F.col(id_col).alias("doc_id"), *carry, whole_text(text_col).alias("__text"))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ["doc_id", *carry])
 
     def work(batches):
         encode = TextEncoder(model)
         for batch in batches:
             at = 0
-            for texts in grouped(batch.column(1).to_pylist()):
+            for texts in grouped(batch.column(len(carry) + 1).to_pylist()):
                 pieces = encode(texts)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(at, len(texts)),
+                    *(batch.column(k).slice(at, len(texts)) for k in range(len(carry) + 1)),
                     pa.array([p.tobytes() for p in pieces], pa.binary()),
                     pa.array([encode.merger.model.decode(p.tolist()) for p in pieces], pa.string()),
-                ], names=["doc_id", "ids", "decoded"])
+                ], names=["doc_id", *carry, "ids", "decoded"])
                 at += len(texts)
 
-    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
+    return rows.mapInArrow(work, f"{kinds}, ids binary, decoded string")
