@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat_format, exact_dedup, jaccard_join, mixing, robust_rules, rule_quality, sentencepieces, suffix_dedup, token_files
+from pulsegrid.llm import (
+    chat_format, exact_dedup, jaccard_join, mixing, page_text, robust_rules, rule_quality, sentencepieces, suffix_dedup,
+    token_files,
+)
 from pulsegrid.llm.shared import Tables, read_table
 from pulsegrid.session import prepare
 
@@ -78,6 +81,13 @@ def op7_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.drop("lang", "source")
 
 
+@query()
+def op8_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    said = page_text.extract(pages, page_text.learn(pages))
+    return said.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query()
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
