@@ -11,7 +11,8 @@
    Rounds go on until no group spans two components: then every pair of linked sets either was compared or lies in one
    component.
 
-Queries of a large group are dealt out in chunks, each with the pivots; a chunk passes on only links that join parts.
+Members of a large group are dealt out in chunks, each with the pivots; a small group is one chunk, all its members are
+pivots, and it is worked off in one round. A chunk passes on only links that join components.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import Tables, grouped, whole_text
+from pulsegrid.llm.shared import Tables, grouped, release, whole_text
 from pulsegrid.llm.shingles import mixed, shingle_sets
 from pulsegrid.session import materialize
 
@@ -37,9 +38,9 @@ TINY = 11
 # Linked sets that differ in d tokens at most agree in CHOICES[d] - d of so many parts at least, and are met through
 # all choices of that many. Sets that may differ in more tokens are met through single parts.
 CHOICES = {1: 3, 2: 5, 3: 7, 4: 8, 5: 8, 6: 9, 7: 9, 8: 10, 9: 11, 10: 12, 11: 13, 12: 14}
-# Pivots of a group in a round after the first, and queries of a chunk.
-MOST_PIVOTS = 64
-CHUNK = 512
+# Pivots of a group in a round after the first, and members of a chunk.
+MOST_PIVOTS = 128
+CHUNK = 1024
 
 
 def _class_bounds() -> list[int]:
@@ -180,61 +181,97 @@ class GroupMatrix:
         return np.flatnonzero(linked(both, len(query), self.sizes))
 
 
+class Roots(dict):
+    """Components that a task has joined."""
+
+    def find(self, c):
+        while self.get(c, c) != c:
+            c = self[c]
+        return c
+
+    def join(self, x, y):
+        """The two components if they were apart, else nothing."""
+        x, y = self.find(x), self.find(y)
+        if x == y:
+            return []
+        self[max(x, y)] = min(x, y)
+        return [(min(x, y), max(x, y))]
+
+
+def links_within(members: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Links that join the components of a group's members (component, tokens)."""
+    while True:
+        # What a member shares with the union of all others bounds what it shares with any of them.
+        tokens, count = np.unique(np.concatenate([t for _, t in members]), return_counts=True) if members else (None, None)
+        left = [m for m in members if WHOLE * (count[np.searchsorted(tokens, m[1])] > 1).sum() >= PART * len(m[1])]
+        if len(left) == len(members):
+            break
+        members = left
+    roots, found = Roots(), []
+    for a in range(0, len(members), MOST_PIVOTS):
+        pivots = members[a:a + MOST_PIVOTS]
+        matrix = GroupMatrix([t for _, t in pivots])
+        for k in range(a, len(members)):
+            component, tokens = members[k]
+            for j in matrix.linked(tokens).tolist():
+                found += roots.join(component, pivots[j][0])
+    return found
+
+
 def open_groups(rows: DataFrame) -> DataFrame:
-    """Links between components. `rows` hold group, chunk, pivot, class, component, tokens, a chunk's pivots first.
+    """Links between components. `rows` hold group, chunk, pivot, whole, component, tokens; a chunk's pivots come first.
 
-    A chunk's links are reduced to those that join what the chunk has not joined yet.
+    A group that is whole in its chunk is worked off. Otherwise the chunk's queries meet the pivots. Only links that join
+    what the chunk has not joined yet are passed on.
     """
 
     def work(batches):
-        current, pivots, matrix, root = None, [], None, {}
-
-        def find(c):
-            while root.get(c, c) != c:
-                c = root[c]
-            return c
-
+        current, pivots, members, matrix, roots = None, [], [], None, Roots()
         for batch in batches:
             found = []
-            for group, chunk, is_pivot, of, component, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for group, chunk, is_pivot, whole, component, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if (group, chunk) != current:
-                    current, pivots, matrix, root = (group, chunk), [], None, {}
+                    found += links_within(members)
+                    current, pivots, members, matrix, roots = (group, chunk), [], [], None, Roots()
                 tokens = np.frombuffer(raw, np.uint64)
-                if is_pivot:
+                if whole:
+                    members.append((component, tokens))
+                elif is_pivot:
                     pivots.append((component, tokens))
-                    continue
-                matrix = matrix or GroupMatrix([t for _, t in pivots])
-                for k in matrix.linked(tokens).tolist():
-                    x, y = find(component), find(pivots[k][0])
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-                        found.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    columns = rows.select("group", "chunk", "pivot", "class", "component", "tokens")
+                else:
+                    matrix = matrix or GroupMatrix([t for _, t in pivots])
+                    for k in matrix.linked(tokens).tolist():
+                        found += roots.join(component, pivots[k][0])
+            yield batch_of(found)
+        yield batch_of(links_within(members))
+
+    def batch_of(found):
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    columns = rows.select("group", "chunk", "pivot", "whole", "component", "tokens")
     return columns.mapInArrow(work, "a long, b long")
 
 
 def components(nodes: DataFrame, edges: DataFrame, tables: Tables) -> DataFrame:
-    """(node, root): the smallest node reachable over edges (a, b), by hooking to the least neighbour and jumping."""
+    """(node, root): the smallest node reachable over edges (a, b). Every node takes the least root among its own, its
+    neighbours' and its root's, until none changes."""
     both = tables.write(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
     label = nodes.select("node", F.col("node").alias("root"))
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        hooked = tables.write(label.join(near, label.node == near.a, "left").select(
-            "node", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root")), "hooked")
-        jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        jumped = tables.write(hooked.join(jump, "root").select("node", "was", F.least("root", "far").alias("root")), "jumped")
-        label = jumped.select("node", "root")
-        if jumped.where("was <> root").isEmpty():
-            return label
+        far = label.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        label = tables.write(label.join(near, label.node == near.a, "left").join(far, "root").select(
+            "node", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root"), "far").alias("root")), "labels")
+        if label.where("was <> root").isEmpty():
+            return label.select("node", "root")
+        label = label.select("node", "root")
 
 
 def similar_classes(groups: DataFrame, tokens: DataFrame) -> DataFrame:
     """(class, component) of the classes in `groups` (group, class, lead), given their token sets."""
     spark, old = groups.sparkSession, None
     label = groups.select("class").distinct().select("class", F.col("class").alias("component"))
-    members, pivots_each, number = groups, 1, 0
+    members, number = groups, 0
     while True:
         tables = Tables(spark, "jaccard")
         members = tables.write(members.select("group", "class", "lead").join(label, "class"), "members")
@@ -242,32 +279,35 @@ def similar_classes(groups: DataFrame, tokens: DataFrame) -> DataFrame:
         if old:
             old.drop()
         old, number = tables, number + 1
-        open_ = members.groupBy("group").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"),
-            F.max("lead").alias("led"), F.min_by("class", F.xxhash64("class", F.lit(number))).alias("picked"),
-        ).where("low <> high").select("group", "n", "led", "picked")
+        # Groups that span components, and the component of which each has most members.
+        shares = members.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n"), F.max("lead").alias("led"))
+        open_ = shares.groupBy("group").agg(
+            F.count(F.lit(1)).alias("spans"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max("led").alias("led"),
+            F.max_by("component", "n").alias("main")).where("spans > 1").drop("spans")
         open_ = tables.write(open_, "open")
         if open_.isEmpty():
             return label
-        # The lead first; later about so many members, picked by hash, and always one.
-        one_of = F.greatest(F.ceil(F.col("n") / pivots_each), F.lit(1))
-        picked = F.pmod(F.xxhash64("class", F.lit(-number)), one_of) == 0
-        pivot = F.when(F.col("led"), F.col("lead")).otherwise((F.col("class") == F.col("picked")) | picked)
+        # Groups of one chunk are worked off at once. In others the lead is the first pivot; later pivots are some that
+        # are not of the main component, picked by hash: once all those have met everyone, the group is done.
+        others = F.greatest(F.ceil((F.col("n") - F.col("most")) / MOST_PIVOTS), F.lit(1))
+        picked = (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("class", F.lit(number)), others) == 0)
         chunks = F.ceil(F.col("n") / CHUNK)
+        pivot = F.when(chunks == 1, F.lit(False)).when(F.col("led"), F.col("lead")).otherwise(picked)
         asked = tables.write(members.join(open_, "group").select(
             "group", "class", "component", pivot.alias("pivot"), chunks.alias("chunks")), "asked")
-        queries = asked.select("group", F.pmod(F.xxhash64("class"), "chunks").alias("chunk"), "class", "component", F.lit(False).alias("pivot"))
+        whole = (F.col("chunks") == 1).alias("whole")
+        queries = asked.select("group", F.pmod(F.xxhash64("class"), "chunks").alias("chunk"), "class", "component", F.lit(False).alias("pivot"), whole)
         sent = asked.where("pivot").select(
-            "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "class", "component", "pivot")
-        rows = queries.unionByName(sent).join(tokens, "class").repartition("group", "chunk").sortWithinPartitions(
-            "group", "chunk", F.desc("pivot"))
+            "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "class", "component", "pivot", whole)
+        sent = sent.unionByName(queries.join(asked.where("pivot").select("group").distinct().withColumn("has", F.lit(True)), "group", "left").where(
+            "whole OR has").drop("has"))
+        rows = sent.join(tokens, "class").repartition("group", "chunk").sortWithinPartitions("group", "chunk", F.desc("pivot"))
         links = tables.write(open_groups(rows).distinct(), "links")
         if not links.isEmpty():
             root = components(label.select(F.col("component").alias("node")).distinct(), links, tables)
             label = label.join(root, label.component == root.node).select("class", F.col("root").alias("component"))
         # Pivots have met everyone in their groups.
-        members = asked.where("NOT pivot").select("group", "class", F.lit(False).alias("lead"))
-        pivots_each = MOST_PIVOTS
+        members = asked.where("chunks > 1 AND NOT pivot").select("group", "class", F.lit(False).alias("lead"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,6 +328,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     print_of = [F.bit_xor(F.xxhash64("class", F.lit(k))).over(same) for k in (1, 2)]
     equal = shared.withColumn("equal", F.xxhash64(*print_of, F.count(F.lit(1)).over(same)))
     equal = materialize(equal.select("equal", "class").distinct(), "equal-parts")
+    release(docs.sparkSession)  # the shuffle of the parts is the largest of all
     # All that meet the same lead, the member that most others meet, are one group.
     often = equal.groupBy("class").agg((F.count(F.lit(1)) * 2**20 + F.pmod(F.xxhash64("class"), F.lit(2**20))).alias("weight"))
     leads = equal.join(often, "class").groupBy("equal").agg(F.max_by("class", "weight").alias("group"))

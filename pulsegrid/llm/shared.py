@@ -85,5 +85,10 @@ class Tables:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        jvm.System.gc()
+        release(self.spark)
+
+
+def release(spark: SparkSession):
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, instead of at its next chance."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
