@@ -91,7 +91,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     first = in_order(sources.select("number", "source_size"), [F.col("number")], F.col("source_size"), "first")
     placed = placed.join(first.select("number", "first"), "number").withColumn("start", F.col("total") - F.col("first"))
     placed = materialize(placed.drop("total", "first"), "placed")
-    slots = _slots(sources, p)
+    slots = materialize(_slots(sources, p), "slots")  # its size can't be told from the sources it is made from
     blocks = F.sequence(F.floor(F.col("start") / p.block), F.floor((F.col("start") + F.col("size") - 1) / p.block))
     pieces = placed.where("size > 0").select("number", "start", "size", F.explode(blocks).alias("block"))
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * p.block)
@@ -130,7 +130,7 @@ def _slots(sources: DataFrame, p: MixParams) -> DataFrame:
 def taken_words(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", p: MixParams = MixParams()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every document: slots joined with blocks, summed."""
     placed, slots, pieces = mix(docs, id_col, source_col, text_col, p)
-    used = slots.join(pieces, ["number", "block"]).groupBy("number", "start").agg(F.sum("words").alias("taken"))
+    used = pieces.hint("merge").join(slots, ["number", "block"]).groupBy("number", "start").agg(F.sum("words").alias("taken"))
     used = used.withColumnRenamed("number", "in_number").withColumnRenamed("start", "at")
     same = (F.col("number") == F.col("in_number")) & (F.col("start") == F.col("at")) & (F.col("size") > 0)
     return placed.join(used, same, "left").select(
