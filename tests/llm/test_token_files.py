@@ -34,7 +34,11 @@ def test_blocks_round_trip():
             a, b = sorted(rng.integers(0, len(flat) + 1, 2).tolist())
             if a < b:
                 assert block.tokens(a, b).tolist() == flat[a:b].tolist()
-    assert len(block.rules) and len(payload) < 2 * len(flat)
+    phrases = [rng.integers(0, 40_000, 6) for _ in range(30)]
+    flat = np.concatenate([phrases[k] for k in rng.integers(0, 30, 3000)]).astype(np.uint32)
+    payload = tf.compress(flat, np.array([len(flat)]), 49_408)
+    assert tf.Block(payload).document(0).tolist() == flat.tolist()
+    assert len(payload) < 0.8 * len(flat)  # a phrase of six ids takes one or two symbols of two bytes
 
 
 def test_documents(spark):
