@@ -120,11 +120,13 @@ def novel_patterns(
     patterns stored by earlier runs. There is no cap on stored patterns here; the
     stateful stream applies the one of 500.
     """
-    warm_from = base.filter("ready").groupBy(*KEYS).agg(F.min("pos").alias("_pos"))
-    warm_from = base.join(warm_from, KEYS).filter("pos = _pos").select(*KEYS, F.col("detected_at").alias("warm_from"))
-    seen = patterns.join(warm_from, KEYS).filter("detected_at >= warm_from").drop("warm_from")
+    warm_from = base.filter("ready").groupBy(*KEYS).agg(F.min("pos").alias("_from"))
+    placed = patterns.join(base.select(*KEYS, "unit", "pos"), [*KEYS, "unit"])
+    seen = placed.join(warm_from, KEYS).filter("pos >= _from").drop("_from")
     kept = cooldown(seen, [*KEYS, "fp"], "detected_at", params.novel_ttl_s, known)
-    return seen.join(kept, [*KEYS, "fp", "detected_at"])
+    # Several batches may arrive at one instant; the first of them shows the pattern.
+    first = seen.groupBy(*KEYS, "fp", "detected_at").agg(F.min("pos").alias("pos"))
+    return seen.join(first.join(kept, [*KEYS, "fp", "detected_at"]), [*KEYS, "fp", "detected_at", "pos"]).select(*patterns.columns)
 
 
 def next_patterns(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.predicates import credential_reason, has_scope
-from pulsegrid.params import BATCH_MAX_ENTRIES, VALID_LEVELS
+from pulsegrid.params import VALID_LEVELS
 
 
 def entry_problem(entry: Column) -> Column:
@@ -19,8 +19,8 @@ def entry_problem(entry: Column) -> Column:
     )
 
 
-def validate_batches(batches: DataFrame) -> DataFrame:
-    """Add `problem`: one bad entry, or a batch of 0 or over 500, rejects the whole batch.
+def validate_batches(batches: DataFrame, max_entries: int | None = None) -> DataFrame:
+    """Add `problem`: one bad entry, an empty batch, or one over `max_entries`, rejects the whole batch.
 
     A batch is one row, so this needs no shuffle.
     """
@@ -29,7 +29,7 @@ def validate_batches(batches: DataFrame) -> DataFrame:
     return batches.withColumn(
         "problem",
         F.when(F.col("entries").isNull() | (count < 1), "BATCH_EMPTY")
-        .when(count > BATCH_MAX_ENTRIES, "BATCH_TOO_LARGE")
+        .when(F.lit(False) if max_entries is None else count > max_entries, "BATCH_TOO_LARGE")
         .when(F.size(problems) > 0, F.element_at(problems, 1)),
     )
 
@@ -52,9 +52,9 @@ def attribute(batches: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.withColumn("refused", reason).drop("scopes", "revoked_at", "expires_at", "grace_period_ends_at")
 
 
-def split_batches(batches: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_batches(batches: DataFrame, keys: DataFrame, max_entries: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted, quarantine); quarantine rows carry the `reason`. A refused key comes first."""
-    judged = attribute(validate_batches(batches), keys).withColumn("reason", F.coalesce("refused", "problem"))
+    judged = attribute(validate_batches(batches, max_entries), keys).withColumn("reason", F.coalesce("refused", "problem"))
     judged = judged.drop("refused", "problem")
     return judged.filter("reason is null").drop("reason"), judged.filter("reason is not null")
 

@@ -56,15 +56,17 @@ def lag_report(lags: DataFrame, keys: list[str], cell_ms: float = 1000.0) -> Dat
 
 
 def isolation_breaches(alerts: DataFrame, sources: DataFrame) -> DataFrame:
-    """Alerts whose tenant is not their source's, and cascades with a foreign member. Empty when all is well."""
+    """Alerts of another tenant than their source's or of an unknown source, and cascades with a foreign or unknown
+    member. Empty when all is well."""
     owner = sources.select(F.col("id").alias("source_id"), F.col("tenant_id").alias("owner"))
-    stray = alerts.join(owner, "source_id").filter("tenant_id <> owner").select(
-        "id", "tenant_id", F.lit("source_of_other_tenant").alias("breach"))
+    breach = lambda held, kind: F.when(held.isNull(), f"unknown_{kind}").otherwise(f"{kind}_of_other_tenant").alias("breach")
+    stray = alerts.join(owner, "source_id", "left").filter("owner is null or tenant_id <> owner").select(
+        "id", "tenant_id", breach(F.col("owner"), "source"))
     members = alerts.filter("cascade_context is not null").select(
         F.col("id").alias("cascade_id"), F.col("tenant_id").alias("cascade_tenant"),
         F.explode(F.from_json("cascade_context", _MEMBERS)["contributing_services"]).alias("m"),
     ).select("cascade_id", "cascade_tenant", F.col("m.alert_id").alias("id"))
-    foreign = members.join(alerts.select("id", "tenant_id"), "id").filter("tenant_id <> cascade_tenant").select(
-        F.col("cascade_id").alias("id"), F.col("cascade_tenant").alias("tenant_id"),
-        F.lit("member_of_other_tenant").alias("breach"))
+    held = alerts.select("id", "tenant_id")
+    foreign = members.join(held, "id", "left").filter("tenant_id is null or tenant_id <> cascade_tenant").select(
+        F.col("cascade_id").alias("id"), F.col("cascade_tenant").alias("tenant_id"), breach(F.col("tenant_id"), "member"))
     return stray.unionByName(foreign)

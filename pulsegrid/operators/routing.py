@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.predicates import scoped, subscription_matches
 from pulsegrid.functions.text import signature, uuid_of
 from pulsegrid.operators.queries import latest_per
-from pulsegrid.params import BACKOFF_BASE_S, DISABLE_AFTER, MAX_ATTEMPTS, RESPONSE_BODY_MAX
+from pulsegrid.params import BACKOFF_BASE_S, DISABLE_AFTER, MAX_ATTEMPTS
 from pulsegrid.schemas import DELIVERY
 
 # Maps a key id column to the HMAC pads of its secret, as two binary columns.
@@ -63,7 +63,7 @@ def apply_outcomes(queue: DataFrame, outcomes: DataFrame, now: Column) -> DataFr
         {
             "id": F.col("delivery_id"),
             "sent_at": now, "created_at": now,
-            "response_body": F.substring(F.coalesce("response_body", F.lit("")), 1, RESPONSE_BODY_MAX),
+            "response_body": F.coalesce("response_body", F.lit("")),
             "success": ok,
             "next_retry_at": F.when(again, F.timestamp_seconds(F.unix_micros(now) / 1_000_000 + delay)),
         }.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name)

@@ -9,13 +9,9 @@ ERROR_LEVELS = ("ERROR", "CRITICAL")
 VALID_LEVELS = ("ERROR", "WARNING", "INFO", "DEBUG", "TRACE", "CRITICAL", "UNKNOWN")
 MAX_FINGERPRINTS = 500
 PAGE_DEFAULT = 20
-PAGE_MAX = 100
-TREND_MAX_HOURS = 168
-BATCH_MAX_ENTRIES = 500
 MAX_ATTEMPTS = 3
 BACKOFF_BASE_S = 2
 DISABLE_AFTER = 10
-RESPONSE_BODY_MAX = 500
 
 MICROS = 1_000_000
 

@@ -245,7 +245,7 @@ CTES["queue"] = f"""SELECT *, {_DELIVERY} AS delivery_id FROM (SELECT a.tenant_i
 
 def _attempts(queue: str, now: str) -> str:
     return f"""SELECT q.*, status AS response_status, coalesce(status < 400, false) AS success,
-      CASE WHEN digit < 'b' THEN repeat(digit, 500) ELSE 'timeout' END AS response_body,
+      CASE WHEN digit < 'b' THEN repeat(digit, 600) ELSE 'timeout' END AS response_body,
       TIMESTAMP '{now}' AS created_at,
       CASE WHEN NOT coalesce(status < 400, false) AND attempt_number < 3
         THEN TIMESTAMP '{now}' + to_seconds(2 * (2 ** (attempt_number - 1))::INTEGER) END AS next_retry_at

@@ -36,13 +36,16 @@ def read_dated(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 def append_new(df: DataFrame, path: str, at: str = "detected_at", key: str = "id") -> None:
     """Append rows whose key is not stored yet, so that a replay adds nothing.
 
-    Only the partitions of the incoming dates are looked at: ids are derived from
-    the row's own time, so the same row always falls on the same date.
+    Only the partitions of the incoming dates are read: ids are derived from the
+    row's own time, so the same row always falls on the same date. The dates, one
+    per calendar day, are named in the filter, as an anti join prunes nothing.
     """
     spark = df.sparkSession
     rows = _dated(df.dropDuplicates([key]), at)
     if _exists(spark, path):
-        stored = read_dated(spark, path, df.schema).select(key, DATE)
+        rows = materialize(rows, "incoming")
+        dates = [r[DATE] for r in rows.select(DATE).distinct().collect()]
+        stored = read_dated(spark, path, df.schema).filter(F.col(DATE).isin(dates)).select(key, DATE)
         rows = rows.join(stored, [key, DATE], "left_anti")
     rows.write.mode("append").partitionBy(DATE).parquet(path)
 
