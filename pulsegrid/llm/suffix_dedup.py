@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.anchors import Hashes, window_runs
-from pulsegrid.llm.shared import Tables, grouped, whole_text
+from pulsegrid.llm.shared import Tables, grouped, release, whole_text
 from pulsegrid.llm.shingles import mixed
 
 LENGTH = 400
 PERIOD = 32
-BLOCK = 4096  # runs of a block
+BLOCK = 2048  # runs of a block
 
 
 def difference_cover(period: int) -> list[int]:
@@ -73,17 +73,18 @@ def repeated_suffixes(texts: list[bytes], anchors: np.ndarray, counts: np.ndarra
     # Ranks of the sample: of 32 bytes by sorting, then of twice as many by pairs of ranks, up to 256.
     cover = np.zeros(PERIOD, dtype=bool)
     cover[difference_cover(PERIOD)] = True
-    own = np.zeros(len(word), dtype=np.int64)  # bytes of its text that follow a place
+    own = np.zeros(len(word), dtype=np.int32)  # bytes of its text that follow a place
     for b, n in zip(base.tolist(), sizes.tolist()):
         own[b:b + n] = np.arange(n, 0, -1)
     place = np.flatnonzero(cover[np.arange(len(word)) % PERIOD] & (own >= PERIOD))
-    ranks = {PERIOD: np.full(len(word), -1, dtype=np.int64)}
-    ranks[PERIOD][place] = dense(*(word[place + k] for k in range(0, PERIOD, 8)))
+    ranks = np.full(len(word), -1, dtype=np.int32)
+    ranks[place] = dense(*(word[place + k] for k in range(0, PERIOD, 8)))
     step = PERIOD
     while 2 * step <= length - 2 * PERIOD and step < 256:
         place = place[own[place] >= 2 * step]
-        ranks[2 * step] = np.full(len(word), -1, dtype=np.int64)
-        ranks[2 * step][place] = dense(ranks[step][place], ranks[step][place + step])
+        doubled = dense(ranks[place], ranks[place + step])
+        ranks = np.full(len(word), -1, dtype=np.int32)
+        ranks[place] = doubled
         step *= 2
     ahead = np.array([next(k for k in range(PERIOD) if cover[(r + k) % PERIOD]) for r in range(PERIOD)])
     behind = np.array([next(k for k in range(PERIOD) if cover[(r - k) % PERIOD]) for r in range(PERIOD)])
@@ -110,11 +111,11 @@ def repeated_suffixes(texts: list[bytes], anchors: np.ndarray, counts: np.ndarra
         refine(lambda p: np.where(ahead[p % PERIOD] > k, masked(p + k, ahead[p % PERIOD] - k), np.uint64(0)))
     covered = 0
     while covered < length - step and covered + step + PERIOD <= length:  # whole ranks one after another
-        refine(lambda p: ranks[step][first(p) + covered])
+        refine(lambda p: ranks[first(p) + covered])
         covered += step
     # One rank that ends as near to the end as the sample allows, and the bytes behind it.
     last = lambda p: (lambda q: q - behind[q % PERIOD])(end(p) - step)
-    refine(lambda p: ranks[step][last(p)])
+    refine(lambda p: ranks[last(p)])
     for k in range(0, PERIOD, 8):  # between the two, if they do not meet
         gap = lambda p: last(p) - first(p) - covered - k
         refine(lambda p: np.where(gap(p) > 0, masked(first(p) + covered + k, gap(p)), np.uint64(0)))
@@ -242,23 +243,25 @@ def _sorted_blocks(runs: DataFrame, length: int) -> DataFrame:
 
 def repeated_starts(texts: DataFrame, tables: Tables, length: int = LENGTH) -> DataFrame:
     """rid, first, last: ranges of starts whose `length` bytes start elsewhere too. `texts`: rid, text (binary)."""
-    runs = tables.write(_runs(texts, length), "runs")
+    early = Tables(texts.sparkSession, "suffix-runs")
+    runs = early.write(_runs(texts, length), "runs")
     within = runs.where("bucket IS NULL").select("rid", "first", "last")
     real = runs.where("bucket IS NOT NULL")
     kinds = real.groupBy("bucket", "whole").agg(
         F.sum("times").alias("times"), *(F.first(c).alias(c) for c in ("rid", "first", "last", "anchor")))
-    kinds = tables.write(kinds, "kinds")
+    kinds = early.write(kinds, "kinds")
     often = kinds.where("times > 1").select("bucket", "whole")
-    whole = tables.write(real.join(often, ["bucket", "whole"]).select("rid", "first", "last"), "whole")
+    whole = tables.write(within.union(real.join(often, ["bucket", "whole"]).select("rid", "first", "last")), "whole")
     several = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("times").alias("least")).where("n > 1 AND least = 1")
     several = several.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     wanted = kinds.join(several, "bucket").withColumn("block", F.pmod("whole", "blocks"))
     wanted = tables.write(wanted.select("rid", "first", "last", "anchor", "bucket", "block", "blocks"), "wanted")
+    early.drop()
     parts = tables.write(_sorted_blocks(_bytes_of(texts, wanted, length), length), "sorted")
     alone = parts.where("name IS NOT NULL")
     met = alone.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
     across = alone.where("rid IS NOT NULL").join(met, "name").select("rid", "first", "last")
-    return within.union(whole).union(parts.where("name IS NULL").select("rid", "first", "last")).union(across)
+    return whole.union(parts.where("name IS NULL").select("rid", "first", "last")).union(across)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -273,6 +276,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("doc_id"), F.encode(whole_text(text_col), "utf-8").alias("text"))
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "text"))
     starts = tables.write(repeated_starts(rows.select("rid", "text"), tables, length), "starts")
+    release(docs.sparkSession)
     per_text = starts.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
 
     def work(batches):
