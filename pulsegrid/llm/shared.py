@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import sys
 import uuid
 from collections.abc import Iterator
+from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -88,6 +90,15 @@ class Tables:
         release(self.spark)
 
 
+def kept_by_worker(key: tuple, make):
+    """A value that a Python worker keeps from task to task, such as a loaded vocabulary. Functions of this folder are
+    pickled by value, so their own globals last for one task."""
+    state = sys.modules.setdefault("pulsegrid_worker_state", ModuleType("pulsegrid_worker_state")).__dict__
+    if key not in state:
+        state[key] = make()
+    return state[key]
+
+
 def release(spark: SparkSession):
     """Lets Spark delete the shuffle files of plans that nothing refers to any more, instead of at its next chance."""
     gc.collect()

@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.sentencepieces import REMEMBERED_WORDS, Words
-from pulsegrid.llm.shared import Tables, grouped, whole_text
+from pulsegrid.llm.shared import Tables, grouped, kept_by_worker, whole_text
 
 MAGIC = b"RPG1"
-BLOCK_TOKENS = 1_000_000  # a block ends with the document that reaches so many
+BLOCK_TOKENS = 500_000  # a block ends with the document that reaches so many
 LEAST_COUNT = 24  # a pair is replaced if a block has it so often
 PAIRS_A_ROUND = 8192
 LEAST_GAIN = 0.01  # of the symbols, that a round must save for another to follow
@@ -230,7 +230,7 @@ def write_documents(docs: DataFrame, vocabulary: str, tables: Tables, end: int =
     ranged = ranged.withColumn("shard", F.spark_partition_id())
 
     def work(batches):
-        encode = WordEncoder(vocabulary, end)
+        encode = kept_by_worker((WordEncoder.__name__, vocabulary, end), lambda: WordEncoder(vocabulary, end))
         held, block = [], 0
 
         def flush(shard):
