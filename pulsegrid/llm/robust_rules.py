@@ -31,10 +31,10 @@ class OutlierParams:
     variance that the shortness of a text adds."""
 
     part: float = 0.75
-    rare: float = 1e-6
+    rare: float = 1e-9
     prior: float = 20.0
     least: tuple[float, ...] = (0.05, 0.3, 0.5, 0.5)
-    noise: tuple[float, ...] = (0.5, 10.0, 10.0, 10.0)
+    noise: tuple[float, ...] = (0.5, 10.0, 60.0, 60.0)
     steps: int = 20
     settled: float = 1e-4
 
