@@ -117,8 +117,7 @@ def novel_patterns(
     """Error patterns not stored for the time to live, after warm-up.
 
     A stored pattern's time runs from the alert and is not refreshed. `known` holds
-    patterns stored by earlier runs. There is no cap on stored patterns here; the
-    stateful stream applies the one of 500.
+    patterns stored by earlier runs. There is no cap on stored patterns, in the stream neither.
     """
     warm_from = base.filter("ready").groupBy(*KEYS).agg(F.min("pos").alias("_from"))
     placed = patterns.join(base.select(*KEYS, "unit", "pos"), [*KEYS, "unit"])

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 # Fixed values.
 ERROR_LEVELS = ("ERROR", "CRITICAL")
 VALID_LEVELS = ("ERROR", "WARNING", "INFO", "DEBUG", "TRACE", "CRITICAL", "UNKNOWN")
-MAX_FINGERPRINTS = 500
 PAGE_DEFAULT = 20
 MAX_ATTEMPTS = 3
 BACKOFF_BASE_S = 2
