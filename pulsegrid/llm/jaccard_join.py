@@ -339,6 +339,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.want), "left_semi")
     tokens = _sets(texts, "doc_id", "text", _tokens, "class long, tokens binary")
     tokens = materialize(tokens.select("class", "tokens").dropDuplicates(["class"]), "tokens")
+    release(docs.sparkSession)  # texts went by document, once
     label = similar_classes(groups, tokens)
     joined = filled.select("doc_id", "class").join(label, "class", "left").select(
         "doc_id", "class", F.coalesce("component", "class").alias("component"))
