@@ -5,6 +5,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import text
 from pulsegrid.operators import lifecycle, quality, queries, registry, retention, routing
 from pulsegrid.schemas import ALERT, API_KEY, DELIVERY, LOG_SOURCE, TENANT, USER
 from pulsegrid.sources import tables
@@ -57,8 +58,10 @@ def test_trend_may_have_one_label_more(spark):
     rows = queries.trend(df, "t", NOW, 24).collect()
     assert len(rows) == 25 and [r.label for r in rows] == sorted(r.label for r in rows)
     assert sum(r.alerts for r in rows) == 2 and rows[0].label == "2026-01-31T12:00"
-    assert queries.trend(df, "t", NOW, 1000).count() == 168
-    assert queries.trend(df, "t", NOW, 0).agg(F.count("*")).collect()[0][0] == 1
+    assert queries.trend(df, "t", NOW, 1000).count() == 1000  # every hour asked for
+    for ask in (lambda: queries.trend(df, "t", NOW, 0), lambda: queries.list_alerts(df, "t", 0)):
+        with pytest.raises(ValueError):
+            ask()
 
 
 def deliveries(spark, *rows, **common):
@@ -83,7 +86,7 @@ def test_delivery_rounds(spark):
     assert [r.success for r in routing.apply_outcomes(queue, outcome(queue, 399), now).collect()] == [True]
     failed = routing.apply_outcomes(queue, outcome(queue, 500), now).cache()
     row = failed.collect()[0]
-    assert (row.success, len(row.response_body), row.next_retry_at) == (False, 500, NOW.replace(tzinfo=None) + timedelta(seconds=2))
+    assert (row.success, len(row.response_body), row.next_retry_at) == (False, 600, NOW.replace(tzinfo=None) + timedelta(seconds=2))
     assert routing.retry_queue(failed, keys, F.lit(NOW + timedelta(seconds=1))).count() == 0
     due = F.lit(NOW + timedelta(seconds=2))
     second = routing.retry_queue(failed, keys, due)
@@ -166,6 +169,18 @@ def test_isolation(spark):
                  {"id": "c", "source_id": "s2", "tenant_id": "t2", "cascade_context": '{"contributing_services":[{"service_name":"x","alert_id":"a"}]}'})
     assert {(r.id, r.breach) for r in quality.isolation_breaches(bad, sources).collect()} == {
         ("b", "source_of_other_tenant"), ("c", "member_of_other_tenant")}
+    lost = alerts(spark, {"id": "a", "source_id": "gone"},
+                  {"id": "c", "cascade_context": '{"contributing_services":[{"service_name":"x","alert_id":"none"}]}'})
+    assert {(r.id, r.breach) for r in quality.isolation_breaches(lost, sources).collect()} == {
+        ("a", "unknown_source"), ("c", "unknown_member")}
+
+
+def test_cursors_name_one_instant_in_every_zone():
+    at = datetime(2026, 2, 1, 12, 0, 0, 5, tzinfo=timezone.utc)
+    tokyo = at.astimezone(timezone(timedelta(hours=9)))
+    assert text.decode_cursor(text.encode_cursor(tokyo, "x")) == text.decode_cursor(text.encode_cursor(at, "x")) == (at, "x")
+    assert text.decode_cursor(text.encode_cursor(at.replace(tzinfo=None), "y")) == (at, "y")
+    assert [text.decode_cursor(c) for c in (None, "", "bad", "e30=", "W10=", "bnVsbA==", "é")] == [None] * 7
 
 
 def test_append_is_idempotent_and_expiry_rewrites(spark, tmp_path):
