@@ -155,7 +155,10 @@ def learn(stats: DataFrame, labels: DataFrame, label_col: str = "quality", p: Fi
     """Fit on the labelled rows that are not held out. Labels that are null or of unknown ids are passed over; of
     labels repeated for one id the least counts."""
     known = labels.where(~held_out("doc_id", p.folds)).groupBy("doc_id").agg(F.min(label_col).cast("double").alias("y"))
-    rows = stats.join(known.where("y IS NOT NULL"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.fit_rows)
+    known = known.where("y IS NOT NULL")
+    # Thinned first by hash, so that tasks send the driver about as many rows as are fitted, however many there are.
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, known.count() // (2 * p.fit_rows)))) == 0)
+    rows = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.fit_rows)
     got = rows.select(*FEATURES, "y").toPandas().to_numpy(dtype=float)
     return fit(got[:, :-1], got[:, -1], p)
 
