@@ -20,6 +20,7 @@ from pulsegrid.session import materialize
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 AXES = ["length", "symbols", "lines", "repeats"]
+NOISE = [*(f"noise{i}" for i in range(len(AXES))), "together"]
 PAIRS = [(i, j) for i in range(len(AXES)) for j in range(i + 1)]
 
 
@@ -27,14 +28,12 @@ PAIRS = [(i, j) for i in range(len(AXES)) for j in range(i + 1)]
 class OutlierParams:
     """`part` of a group's documents is trusted. `rare` is the share of normal documents beyond the bound, were they
     Gaussian. `prior` documents of the language's estimate stand beside a group's own, so a small group leans on its
-    language. `least` are the smallest deviations that count, per axis; `noise` over the number of words is the
-    variance that the shortness of a text adds."""
+    language. `least` are the smallest deviations that count, per axis."""
 
     part: float = 0.75
-    rare: float = 1e-9
+    rare: float = 1e-3
     prior: float = 20.0
     least: tuple[float, ...] = (0.05, 0.3, 0.5, 0.5)
-    noise: tuple[float, ...] = (0.5, 10.0, 60.0, 60.0)
     steps: int = 20
     settled: float = 1e-4
 
@@ -85,16 +84,54 @@ def transformed(base: DataFrame) -> DataFrame:
     })
 
 
+def with_noise(rows: DataFrame, p: OutlierParams) -> DataFrame:
+    """Adds NOISE, the variance of each axis that a text's shortness explains, as measured in its language.
+
+    One symbol, repeated line or passage said twice moves a short text far. The documents of a length class (a power of
+    two of words) that have any are a binomial draw; its variance is in units of one such event, so documents with many
+    do not widen it. A passage said twice is often a line said twice: `together` is the correlation of the two draws.
+    A mean word length varies by 1/n_words, with the factor of the median document.
+    """
+    n, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
+    one = {"symbols": F.log1p(100 / chars), "lines": F.log1p(1000 / n), "repeats": F.log1p(100 * F.least(F.lit(2 * WINDOW), n) / n)}
+    rows = rows.withColumns({"language": F.xxhash64(F.struct("lang", F.col("lang").isNull())), "class": F.floor(F.log2(n))})
+    passed = rows.where("NOT base_failed")
+    seen = {a: F.col(a) > 0 for a in one} | {"both": (F.col("lines") > 0) & (F.col("repeats") > 0)}
+    counts = [F.count(F.lit(1)).alias("size"), *(F.count_if(seen[a]).alias(f"any_{a}") for a in seen)]
+    of_class = passed.groupBy("language", "class").agg(*counts)
+    of_lang = of_class.groupBy("language").agg(*(F.sum(c).alias(f"all_{c}") for c in of_class.columns[2:]))
+    share = lambda a: (F.col(f"any_{a}") + p.prior * F.col(f"all_any_{a}") / F.col("all_size")) / (F.col("size") + p.prior)
+    shares = of_class.join(of_lang, "language").select("language", "class", *(share(a).alias(f"share_{a}") for a in seen))
+    mid = lower_part(passed, ["language"], F.floor(F.col("length") * 512), 0.5).select("language", (F.col("bound") / 512).alias("mid"))
+    off = F.sqrt(n) * F.abs(F.col("length") - F.col("mid"))
+    off = lower_part(passed.join(mid, "language"), ["language"], F.floor(off * 64), 0.5).select("language", ((F.col("bound") + 1) / 64 * 1.4826).alias("off"))
+    out = rows.join(shares, ["language", "class"], "left").join(off, "language", "left")
+    draw = lambda a: F.col(f"share_{a}") * (1 - F.col(f"share_{a}"))
+    shared = F.col("share_both") - F.col("share_lines") * F.col("share_repeats")
+    together = F.try_divide(shared, F.sqrt(draw("lines") * draw("repeats")))
+    noise = [F.col("off") ** 2 / n, *(draw(a) * one[a] ** 2 for a in AXES[1:]), together]
+    return out.select(*rows.columns[:-2], *(F.coalesce(v, F.lit(0.0)).alias(c) for c, v in zip(NOISE, noise)))
+
+
 def distances(rows: DataFrame, estimates: DataFrame, p: OutlierParams) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance, by a Cholesky factor written out in columns."""
+    """Adds d2, the squared Mahalanobis distance, by a Cholesky factor written out in columns.
+
+    NOISE, if the rows have it, makes up what a group's variance without its floor lacks of it.
+    """
     out = rows.join(estimates, ["g"])
     low = {}
+    noisy = NOISE[0] in rows.columns
+    lacks = lambda i: F.greatest(F.col(NOISE[i]) - (F.col(f"c{i}{i}") - p.least[i] ** 2), F.lit(0.0))
     for i, axis in enumerate(AXES):
         for j in range(i + 1):
             name = f"l{i}{j}"
             value = F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+            if noisy and i == j:
+                value = value + lacks(i)
+            elif noisy and (AXES[i], AXES[j]) == ("repeats", "lines"):
+                value = value + F.col("together") * F.sqrt(lacks(i) * lacks(j))
             if i == j:
-                value = F.sqrt(F.greatest(value + p.noise[i] / F.greatest("n_words", F.lit(1)), F.lit(p.least[i] ** 2 / 4)))
+                value = F.sqrt(F.greatest(value, F.lit(p.least[i] ** 2 / 4)))
             else:
                 value = value / F.col(f"l{j}{j}")
             low[name] = name
@@ -150,7 +187,7 @@ def spread(estimates: DataFrame, p: OutlierParams) -> DataFrame:
 
 
 def estimate(rows: DataFrame, p: OutlierParams) -> DataFrame:
-    """MCD of every group g of `rows` (g, lang, n_words, AXES)."""
+    """MCD of every group g of `rows` (g, lang, AXES, and NOISE if measured)."""
     # Medians and median deviations, to 1/64, start the search.
     median = rows.select("g").distinct()
     for i, axis in enumerate(AXES):
@@ -188,7 +225,8 @@ def quality_rules(
     base = base_rules(docs, id_col, text_col, lang_col, source_col)
     base = materialize(transformed(base).withColumn("g", F.xxhash64(
         F.struct("lang", F.col("lang").isNull(), "source", F.col("source").isNull()))), "quality-rules")
-    passed = base.where("NOT base_failed").select("g", "lang", "n_words", *AXES)
+    base = materialize(with_noise(base, p), "quality-noise")
+    passed = base.where("NOT base_failed").select("g", "lang", *AXES, *NOISE)
     rated = distances(base, estimate(passed, p), p)
     out = base.columns[:base.columns.index("base_failed") + 1]
     limit = chi2_at(1 - p.rare, len(AXES))

@@ -68,5 +68,28 @@ def test_documents(spark):
     assert passed > 0.99
 
 
+def test_one_bad_axis_alone_rejects_at_any_length(spark):
+    """Symbols, repeated lines or repeated passages reject a document by themselves; one of each in a rare text does not."""
+    rng = np.random.default_rng(4)
+    text = lambda n: "\n".join(" ".join(f"w{k:04d}" for k in rng.integers(0, 9999, 10)) for _ in range(n // 10))
+    rows = [(k, text(int(rng.choice([50, 100, 300, 1000]))), "en", "s") for k in range(400)]
+    rows = [(k, t + "\n" + "\n".join(t.split("\n")[:2]) if k % 25 == 0 else t, la, s) for k, t, la, s in rows]
+    bad = []
+    for n in (50, 100, 300, 1000):
+        t = text(n)
+        said = "".join("#" if k % 4 == 0 and c != "\n" else c for k, c in enumerate(t))
+        bad.append((10_000 + n, said, "en", "s"))  # a quarter symbols
+        bad.append((20_000 + n, "\n".join(f"{x}\nyes\nno" for x in t.split("\n")), "en", "s"))  # two of three lines are repeated
+        if n >= 300:  # 28 % of the words are in passages said again
+            part = t.split("\n")
+            k = round(0.14 * len(part) / 0.86)
+            bad.append((30_000 + n, "\n".join(x + " " for x in part) + "\n" + "  \n".join(part[:k]), "en", "s"))
+    got = rr.quality_rules(spark.createDataFrame(rows + bad, "doc_id long, text string, lang string, source string")).toPandas()
+    got = got.set_index("doc_id")
+    assert not got.loc[[r[0] for r in bad]].base_failed.any()
+    assert not got.loc[[r[0] for r in bad]].kept.any()
+    assert got.loc[[r[0] for r in rows]].kept.mean() > 0.97
+
+
 def test_empty_table(spark):
     assert rr.quality_rules(documents(spark).limit(0)).count() == 0
