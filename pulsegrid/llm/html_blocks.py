@@ -11,7 +11,14 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split())
-SILENT = "script|style|noscript|template|iframe|svg|math|object|textarea|select"
+# Formulas stand inside sentences; their parts are told apart by spaces.
+FORMULA = set(
+    "annotation annotation-xml maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow "
+    "ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+INLINE |= FORMULA | {"math"}
+# What is inside is no text. Those that are code or a field's value run to the page's end if they are not closed.
+TO_END = ("script", "style", "textarea")
+SILENT = "script|style|textarea|template|iframe|svg|select"
 ENDS_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
     "h6 header hr main menu nav ol p pre section table ul".split())
@@ -21,8 +28,9 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
         "option": ({"option"}, {"select"})}
 
 _PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:{SILENT})\b[^>]*?(?<=/)>|<({SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({SILENT})(?=[\s/>])[^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|[^<]+|<""", re.S | re.I)
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in SILENT.split("|")}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -71,8 +79,23 @@ def blocks_of(html: str) -> list[Block]:
             if stack[k][0] in stops:
                 return
 
-    for m in _PIECE.finditer(html):
+    at = 0
+    unclosed = set()  # kinds that no end follows, so that each is looked for once
+    while at < len(html):
+        m = _PIECE.match(html, at)
+        at = m.end()
         name = m.group(3)
+        if m.group(1):
+            silent = m.group(1).lower()
+            if not m.group().endswith("/>") and silent not in unclosed:
+                end = _END[silent].search(html, at)
+                if end:
+                    at = end.end()
+                elif silent in TO_END:
+                    at = len(html)
+                else:
+                    unclosed.add(silent)
+            continue
         if name is None:
             piece = m.group()
             if piece[0] != "<" or piece == "<":
@@ -83,7 +106,7 @@ def blocks_of(html: str) -> list[Block]:
         name = name.lower()
         if name not in INLINE:
             flush()
-        elif name == "br":
+        elif name == "br" or name in FORMULA:
             text.append(" ")
         if m.group(2):
             close_kind({name})

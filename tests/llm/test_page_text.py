@@ -34,6 +34,23 @@ def test_blocks():
     assert block.path == (("nav", ".main", ".menu", ".top"),) and block.linked == 4
 
 
+def test_silent_elements_end_where_they_end():
+    page = "<article><p>one {} two</p><p>three</p></article>"
+    whole = [("one two", "article/p"), ("three", "article/p")]
+    for silent in ('<svg-icon name="x"></svg-icon>', "<svg>", "<svg><title>t</title></svg>", "<select><option>a</select>", "<svg/>",
+                   "<iframe>", "<template><p>no</template>", "<script>no</script >", "<style-x>", "<svg></svg-icon></svg>"):
+        got = texts(page.format(silent))
+        assert " ".join(t for t, _ in got) == "one two three", silent
+        assert got == whole or "-" in silent, silent
+    assert texts(page.format("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>"))[0] == ("one x = 1 two", "article/p")
+    assert texts(page.format("<math>"))[1:] == [("three", "article/p")]
+    for kind in ("noscript", "object"):
+        assert texts(page.format(f"<{kind}>held</{kind}>"))[:3] == [("one", "article/p"), ("held", f"article/p/{kind}"), ("two", "article/p")]
+        assert [t for t, _ in texts(page.format(f"<{kind}>"))] == ["one", "two", "three"]
+    assert [t for t, _ in texts("<p>a<select><option>b<option>c<p>d")] == ["a", "b", "c", "d"]
+    assert texts("<p>a<textarea>b<p>c") == [("a", "p")]
+
+
 def test_gradients_are_those_of_the_loss():
     draw = pt.Layouts(["some words of a text that is long enough to be a paragraph here, or more than that"], random.Random(1))
     pages_ = [draw.page() for _ in range(3)]
