@@ -2,9 +2,10 @@
 
 The mean m = a*x + (1-a)*m is, within a block of rows, the weighted running sum
 (1-a)^s * sum(a * x_i * (1-a)^-i). All terms are non-negative, so the sum loses
-no precision; blocks are short enough for the weights to stay finite, and each
-block is led by enough earlier rows (its halo) that what came before those has a
-weight below 1e-22. The variance is the same mean over squared innovations.
+no precision; blocks are short enough for the weights to stay finite. A block
+maps the mean it starts from to fade * mean + total, so one small row per block,
+folded in order, gives every block its exact start. The variance is the same mean
+over squared innovations, with a fold of its own.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.observe import KEYS
-from pulsegrid.operators.ordered import halo_blocks, time_cell, with_position
+from pulsegrid.operators.ordered import BLOCK_ROWS, halo_blocks, time_cell, with_position
 from pulsegrid.params import COMPARE_PLACES, DetectorParams
+from pulsegrid.session import materialize
 
-_BLOCK_DIGITS, _HALO_DIGITS = 200, 22
+_BLOCK_DIGITS = 200
 
 
 def above(value: Column, bound: Column) -> Column:
@@ -46,34 +48,53 @@ def with_settings(obs: DataFrame, params: DetectorParams, state: DataFrame | Non
 
 
 def _blocks(df: DataFrame, pos: str) -> DataFrame:
-    """Halo blocks sized by the smoothing factor: its weights fade `digits` decimal places per row."""
+    """Blocks sized by the smoothing factor: its weights fade `digits` decimal places per row.
+
+    Each is led by the row before it, for the marks that look one row back. `next_origin` is where the next one begins.
+    """
     digits = -F.log10(1 - F.least(F.col("alpha"), F.lit(0.999999)))
-    block = F.greatest(F.floor(F.lit(_BLOCK_DIGITS) / digits), F.lit(8))
-    halo = F.ceil(F.lit(_HALO_DIGITS) / digits) + 1
-    return halo_blocks(df, pos, F.greatest(block, halo), halo)
+    block = F.least(F.greatest(F.floor(F.lit(_BLOCK_DIGITS) / digits), F.lit(8)), F.lit(BLOCK_ROWS))
+    return halo_blocks(df, pos, block, F.lit(1)).withColumn("next_origin", (F.col("blk") + 1) * block - 1)
+
 
+def _smooth(rows: DataFrame, pos: str, specs: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Add weighted means up to the current row: `specs` maps a name to (seed column, value).
 
-def _smooth(x: Column, pos: str, seed: Column, upto: Window) -> Column:
-    """Weighted mean of `x` up to the current row of the block."""
-    a, decay = F.col("alpha"), 1 - F.col("alpha")
-    step = F.col(pos) - F.col("origin")
-    inside = F.pow(decay, step) * F.sum(a * x * F.pow(decay, -step)).over(upto)
-    carried = F.when(F.col("origin") == 0, F.pow(decay, F.col(pos) + 1) * seed).otherwise(F.lit(0.0))
-    return F.when(a >= 1, x).otherwise(inside + carried)
+    Adds `from_<name>` too, the mean before the block's first row. `rows` is read twice, so it should be a written table.
+    """
+    a, decay, step = F.col("alpha"), 1 - F.col("alpha"), F.col(pos) - F.col("origin")
+    upto = Window.partitionBy(*KEYS, "blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    part = {name: a * x * F.pow(decay, -step) for name, (_, x) in specs.items()}
+    blocks = rows.filter(F.col(pos) < F.col("next_origin")).groupBy(*KEYS, "blk").agg(
+        F.pow(F.first(decay), F.max(step) + 1).alias("fade"),
+        *[(F.pow(F.first(decay), F.max(step)) * F.sum(x)).alias(f"t_{name}") for name, x in part.items()],
+        *[F.first(seed).alias(f"s_{name}") for name, (seed, _) in specs.items()])
+    at = lambda blk, value: F.struct(blk.alias("blk"), *[value(name).cast("double").alias(f"from_{name}") for name in specs])
+
+    def next_start(starts: Column, b: Column) -> Column:
+        last = F.element_at(starts, -1)
+        return F.concat(starts, F.array(at(
+            b["blk"] + 1, lambda name: b[f"t_{name}"] + b["fade"] * last[f"from_{name}"])))
+
+    totals = blocks.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct(
+        "blk", "fade", *[f"{k}_{name}" for k in "ts" for name in specs]))).alias("totals"))
+    first = F.array(at(F.lit(0).cast("bigint"), lambda name: F.get("totals", F.lit(0))[f"s_{name}"]))
+    starts = totals.select(*KEYS, F.inline(F.aggregate("totals", first, next_start)))
+    out = rows.join(starts, [*KEYS, "blk"])
+    return out.withColumns({
+        name: F.when(a >= 1, x).otherwise(
+            F.pow(decay, step) * F.sum(part[name]).over(upto) + F.pow(decay, step + 1) * F.col(f"from_{name}"))
+        for name, (_, x) in specs.items()
+    })
 
 
-def _innovations(df: DataFrame, x: str, pos: str, mean: str, var: str, m0: str, v0: str) -> DataFrame:
-    """Given the mean, add its previous value, the variance and the variance's previous value."""
+def _innovations(df: DataFrame, x: str, pos: str, mean: str, var: str, v0: str) -> DataFrame:
+    """Given the mean, add its previous value, the variance and the variance's previous value. Writes `df` once."""
     order = Window.partitionBy(*KEYS, "blk").orderBy(pos)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    before = F.when(F.col("origin") == 0, F.col(m0)).otherwise(F.lit(0.0))
-    prev = F.coalesce(F.col("_before"), before)
-    return (
-        df.withColumns({f"prev_{mean}": prev, "_d2": F.pow(F.col(x) - prev, 2)})
-        .withColumn(var, _smooth(F.col("_d2"), pos, F.col(v0), upto))
-        .withColumn(f"prev_{var}", F.coalesce(F.lag(var).over(order), F.col(v0)))
-        .drop("_d2", "_before")
-    )
+    df = materialize(df.withColumn(f"prev_{mean}", F.coalesce(F.lag(mean).over(order), F.col(f"from_{mean}"))), "means")
+    df = _smooth(df, pos, {var: (v0, F.pow(F.col(x) - F.col(f"prev_{mean}"), 2))})
+    return df.withColumn(f"prev_{var}", F.coalesce(F.lag(var).over(order), F.col(f"from_{var}"))).drop(
+        f"from_{mean}", f"from_{var}", "next_origin")
 
 
 def _spikes(x: str, mean: str, var: str, ready: Column) -> dict[str, Column]:
@@ -98,25 +119,22 @@ def error_baseline(obs: DataFrame, params: DetectorParams, state: DataFrame | No
     Adds `pos`, mean `m`, variance `v`, `vol`, their previous values, the warm-up
     count, `ready` (warm), spike marks, `is_up` (above the new mean) and the
     previous row's times; `pops` marks a clean row after a clean row. `obs` is read
-    twice: pass a written table or its cheap aggregate.
+    twice: pass a written table or its cheap aggregate. Positions and means are written.
     """
     placed = with_position(
         obs, KEYS, ["detected_at", "unit"], time_cell(F.col("detected_at"), params.cell_s)
     )
-    rows = _blocks(with_settings(placed, params, state), "pos")
+    rows = materialize(_blocks(with_settings(placed, params, state), "pos"), "blocks")
     order = Window.partitionBy(*KEYS, "blk").orderBy("pos")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({
-        "m": _smooth(F.col("error_rate"), "pos", F.col("ewma_value"), upto),
-        "vol": _smooth(F.col("n").cast("double"), "pos", F.col("log_volume_ewma"), upto),
+    rows = _smooth(rows, "pos", {
+        "m": ("ewma_value", F.col("error_rate")), "vol": ("log_volume_ewma", F.col("n").cast("double")),
     }).withColumns({
-        "_before": F.lag("m").over(order),
-        "prev_vol": F.coalesce(F.lag("vol").over(order), F.col("log_volume_ewma")),
+        "prev_vol": F.coalesce(F.lag("vol").over(order), F.col("from_vol")),
         "prev_max_ts": F.coalesce(F.lag("max_ts").over(order), F.col("last_log_at")),
         "prev_detected_at": F.lag("detected_at").over(order),
         "warm": F.col("warmup_count") + F.col("pos") + 1,
-    })
-    rows = _innovations(rows, "error_rate", "pos", "m", "v", "ewma_value", "ewma_variance")
+    }).drop("from_vol")
+    rows = _innovations(rows, "error_rate", "pos", "m", "v", "ewma_variance")
     ready = F.col("warm") >= F.col("warmup_required")
     rows = rows.withColumns({
         **_spikes("error_rate", "m", "v", ready), "is_up": ready & above(F.col("error_rate"), F.col("m")),
@@ -142,13 +160,11 @@ def latency_baseline(base: DataFrame, params: DetectorParams) -> DataFrame:
     placed = with_position(
         bearing, KEYS, ["pos"], time_cell(F.col("detected_at"), params.cell_s), name="lat_pos"
     )
-    rows = _blocks(placed, "lat_pos")
+    rows = materialize(_blocks(placed, "lat_pos"), "latency-blocks")
     order = Window.partitionBy(*KEYS, "blk").orderBy("lat_pos")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("lm", _smooth(F.col("lat_mean"), "lat_pos", F.col("latency_ewma"), upto)).withColumns({
-        "_before": F.lag("lm").over(order), "lat_warm": F.col("latency_warmup") + F.col("lat_pos") + 1,
-    })
-    rows = _innovations(rows, "lat_mean", "lat_pos", "lm", "lv", "latency_ewma", "latency_variance")
+    rows = _smooth(rows, "lat_pos", {"lm": ("latency_ewma", F.col("lat_mean"))}).withColumn(
+        "lat_warm", F.col("latency_warmup") + F.col("lat_pos") + 1)
+    rows = _innovations(rows, "lat_mean", "lat_pos", "lm", "lv", "latency_variance")
     need = F.col("warmup_required")
     ready = (F.col("warm") >= need) & (F.col("lat_warm") >= need)
     rows = rows.withColumns(_spikes("lat_mean", "lm", "lv", ready)).withColumn(

@@ -123,6 +123,21 @@ def test_two_runs_with_state_equal_one(spark):
     assert payloads and all(json.loads(r[0])["resolution"]["auto_resolved"] for r in payloads)
 
 
+def test_smoothing_forgets_nothing(spark):
+    """One huge latency shows in every later window, also far into the next blocks."""
+    from pulsegrid.operators import baseline
+
+    lat = [50.0 + k % 3 for k in range(1400)]
+    lat[1143] = 1e13
+    d = Detection(frame(spark, [(60.0 * k, "INFO", "m", "s", "t", "svc", x) for k, x in enumerate(lat)]), DetectorParams())
+    got = [(r.lm, r.lv) for r in baseline.latency_baseline(d.base, d.params).orderBy("lat_pos").collect()]
+    m = v = 0.0
+    for x, (gm, gv) in zip(lat, got):
+        m, v = 0.3 * x + 0.7 * m, 0.3 * (x - m) ** 2 + 0.7 * v
+        assert (gm, gv) == (pytest.approx(m, rel=1e-9), pytest.approx(v, rel=1e-6))
+    assert len(got) == 1400
+
+
 BATCHES = replace(DetectorParams(), batch_col="batch_id")
 
 
