@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import (
-    chat_format, exact_dedup, jaccard_join, mixing, page_text, robust_rules, rule_quality, sentencepieces, suffix_dedup,
-    token_files,
+    chat_format, exact_dedup, jaccard_join, mixing, page_text, periodic_runs, robust_rules, rule_quality, sentencepieces,
+    suffix_dedup, token_counts, token_files, vector_codes,
 )
 from pulsegrid.llm.shared import Tables, read_table
 from pulsegrid.session import prepare
@@ -101,3 +101,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query(vector_codes.SQL)
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(read_table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary(PIECES))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(read_table(spark, sf_dir, "documents"), planted=True))
