@@ -228,7 +228,7 @@ def _round_sql(k: int) -> str:
     return f"""
     near{k} AS MATERIALIZED (
         SELECT p, s, n, CAST(min(d * {ENTRIES} + e) % {ENTRIES} AS BIGINT) AS e FROM (
-            SELECT x.p, x.s, x.n, b.e, list_sum(list_transform(list_zip(x.s, b.s), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS d
+            SELECT x.p, x.s, x.n, b.e, list_sum(list_transform(list_zip(x.s, b.s), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
             FROM distinct_parts x JOIN book{k} b ON x.p = b.p) GROUP BY p, s, n),
     sums{k} AS (
         SELECT p, e, i, sum(n * x) AS total, sum(n) AS n FROM (
@@ -242,10 +242,10 @@ def _round_sql(k: int) -> str:
 SQL = f"""
     WITH kept AS MATERIALIZED (
         SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r,
-            list_transform(embedding, x -> CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
         FROM embeddings
         WHERE embedding IS NOT NULL AND len(embedding) > 0
-            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     parts AS MATERIALIZED (
         SELECT r, p, list_slice(v, p * (len(v) // {PARTS}) + 1, (p + 1) * (len(v) // {PARTS})) AS s
         FROM kept, range({PARTS}) AS positions(p)),
@@ -254,7 +254,7 @@ SQL = f"""
     {"".join(map(_round_sql, range(ROUNDS)))}
     nearest_last AS (
         SELECT p, s, min(d * {ENTRIES} + e) AS d FROM (
-            SELECT x.p, x.s, b.e, list_sum(list_transform(list_zip(x.s, b.s), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS d
+            SELECT x.p, x.s, b.e, list_sum(list_transform(list_zip(x.s, b.s), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
             FROM distinct_parts x JOIN book{ROUNDS} b ON x.p = b.p) GROUP BY p, s),
     coded AS (
         SELECT r, string_agg(printf('%02x', CAST(d % {ENTRIES} AS BIGINT)), '' ORDER BY p) AS code,
