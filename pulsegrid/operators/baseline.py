@@ -1,28 +1,35 @@
 """Exponentially weighted baselines over each source's observations.
 
-The mean m = a*x + (1-a)*m is, within a block of rows, the weighted running sum
-(1-a)^s * sum(a * x_i * (1-a)^-i). All terms are non-negative, so the sum loses
-no precision; blocks are short enough for the weights to stay finite. A block
-maps the mean it starts from to fade * mean + total, so one small row per block,
-folded in order, gives every block its exact start. The variance is the same mean
-over squared innovations, with a fold of its own.
+The mean is m = a*x + (1-a)*m and the variance the same over squared innovations, each row rounded as this recurrence
+rounds it: a steady rate and its mean differ by less than any rounding of a rearranged sum, and detectors compare them
+as they are. So rows are walked in order, in two passes. The first reads the bare numbers of a source as a stream and
+notes the state at the start of every time cell. The second walks all cells at the same time, each from its start, and
+has the whole rows. Neither holds more than one row and one state.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.operators.observe import KEYS
-from pulsegrid.operators.ordered import BLOCK_ROWS, halo_blocks, time_cell, with_position
-from pulsegrid.params import COMPARE_PLACES, DetectorParams
-from pulsegrid.session import materialize
-
-_BLOCK_DIGITS = 200
-
+from pulsegrid.operators.ordered import time_cell
+from pulsegrid.params import DetectorParams
 
-def above(value: Column, bound: Column) -> Column:
-    return F.round(value, COMPARE_PLACES) > F.round(bound, COMPARE_PLACES)
+# What a source's state starts from: name -> (type, value of a source that was never seen).
+_NEVER = {
+    "ewma_value": ("double", 0.0), "ewma_variance": ("double", 0.0), "warmup_count": ("int", 0),
+    "log_volume_ewma": ("double", 0.0), "last_log_at": ("timestamp", None), "last_detected_at": ("timestamp", None),
+    "last_error_rate": ("double", None), "last_ewma_value": ("double", None), "last_ewma_variance": ("double", None),
+    "up_since": ("timestamp", None), "latency_ewma": ("double", 0.0), "latency_variance": ("double", 0.0),
+    "latency_warmup": ("int", 0), "last_latency": ("double", None), "last_latency_ewma": ("double", None),
+    "last_latency_variance": ("double", None), "last_latency_warm": ("bigint", None),
+}
 
 
 def upper_bound(mean: Column, variance: Column, k: Column | float) -> Column:
@@ -31,170 +38,233 @@ def upper_bound(mean: Column, variance: Column, k: Column | float) -> Column:
 
 def with_settings(obs: DataFrame, params: DetectorParams, state: DataFrame | None = None) -> DataFrame:
     """Join each source's stored smoothing state and settings, or the defaults."""
-    start = {
-        "ewma_value": 0.0, "ewma_variance": 0.0, "alpha": params.alpha, "sensitivity": params.sensitivity,
-        "warmup_count": 0, "warmup_required": params.warmup_required, "log_volume_ewma": 0.0,
-        "last_log_at": None, "latency_ewma": 0.0, "latency_variance": 0.0, "latency_warmup": 0,
-        "warn_k": params.warn_k, "crit_k": params.crit_k,
+    start = _NEVER | {
+        "alpha": ("double", params.alpha), "sensitivity": ("double", params.sensitivity),
+        "warmup_required": ("int", params.warmup_required), "warn_k": ("double", params.warn_k),
+        "crit_k": ("double", params.crit_k),
     }
     known = set(state.columns) if state is not None else set()
     if state is not None:
         obs = obs.join(state.select(*KEYS, *[c for c in start if c in known]), KEYS, "left")
-    return obs.withColumns({
-        name: F.coalesce(F.col(name), F.lit(value)) if name in known
-        else F.lit(value).cast("timestamp") if value is None else F.lit(value)
-        for name, value in start.items()
-    })
+    given = lambda name, default: F.coalesce(F.col(name), default) if name in known else default
+    return obs.withColumns({name: given(name, F.lit(value).cast(kind)) for name, (kind, value) in start.items()})
 
 
-def _blocks(df: DataFrame, pos: str) -> DataFrame:
-    """Blocks sized by the smoothing factor: its weights fade `digits` decimal places per row.
+@dataclass(frozen=True)
+class Walk:
+    """A sequence to smooth: its value, the names of its results, and the columns that it starts from.
 
-    Each is led by the row before it, for the marks that look one row back. `next_origin` is where the next one begins.
+    `seeds` are the mean, the variance, the mean and the variance before the last row, and the last row's value.
+    `kept` maps a name to (column, seed): the previous row's value of a bigint column. `volume` is a second value,
+    with its name and seed, of which only the mean is kept.
     """
-    digits = -F.log10(1 - F.least(F.col("alpha"), F.lit(0.999999)))
-    block = F.least(F.greatest(F.floor(F.lit(_BLOCK_DIGITS) / digits), F.lit(8)), F.lit(BLOCK_ROWS))
-    return halo_blocks(df, pos, block, F.lit(1)).withColumn("next_origin", (F.col("blk") + 1) * block - 1)
-
 
-def _smooth(rows: DataFrame, pos: str, specs: dict[str, tuple[str, Column]]) -> DataFrame:
-    """Add weighted means up to the current row: `specs` maps a name to (seed column, value).
-
-    Adds `from_<name>` too, the mean before the block's first row. `rows` is read twice, so it should be a written table.
+    value: str
+    mean: str
+    variance: str
+    position: str
+    seeds: tuple[str, str, str, str, str]
+    kept: dict[str, tuple[Column, Column]]
+    volume: tuple[str, str, str] | None = None
+    names: tuple[str, ...] = field(init=False)
+
+    def __post_init__(self):
+        m, v = self.mean, self.variance
+        names = [f"prev_{m}", f"prev_{v}", f"before_{m}", f"before_{v}", f"prev_{self.value}"]
+        object.__setattr__(self, "names", (*names, f"prev_{self.volume[1]}" if self.volume else "_none"))
+
+
+def _step(state: tuple, a: float, x: float, n: float) -> tuple:
+    """(mean, variance, mean and variance before, value, volume) after a row."""
+    mean, variance, _, _, _, volume = state
+    d = x - mean
+    return a * x + (1.0 - a) * mean, a * (d * d) + (1.0 - a) * variance, mean, variance, x, a * n + (1.0 - a) * volume
+
+
+_START = "_from array<double>, _kept array<bigint>"
+
+
+def _cell_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state before the first row of every cell, of rows in order."""
+    key = cell = state = kept = None
+    for batch in batches:
+        out = []
+        for tenant, source, at, a, x, n, keeps, seed, first in zip(*(c.to_pylist() for c in batch.columns)):
+            if (tenant, source) != key:
+                key, cell, state, kept = (tenant, source), None, tuple(seed), first
+            if at != cell:
+                cell = at
+                out.append((tenant, source, at, state, kept))
+            state, kept = _step(state, a, x, n), [kept[0] + 1, *keeps]
+        made = list(zip(*out)) or [[]] * 5
+        types = [batch.schema.field(k).type for k in range(3)] + [pa.list_(pa.float64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v, t) for v, t in zip(made, types)], names=[*KEYS, "_cell", "_from", "_kept"])
+
+
+def walked(rows: DataFrame, cell: Column, order: list[str], walk: Walk) -> DataFrame:
+    """Add the walk's position, its mean and variance after every row and the state before it.
+
+    `cell` must not decrease along `order`. `rows` is read twice. The state before a row is prev_<mean>,
+    prev_<variance>, the same before the previous row (before_...), the previous row's value and its kept columns;
+    null where there is none.
     """
-    a, decay, step = F.col("alpha"), 1 - F.col("alpha"), F.col(pos) - F.col("origin")
-    upto = Window.partitionBy(*KEYS, "blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    part = {name: a * x * F.pow(decay, -step) for name, (_, x) in specs.items()}
-    blocks = rows.filter(F.col(pos) < F.col("next_origin")).groupBy(*KEYS, "blk").agg(
-        F.pow(F.first(decay), F.max(step) + 1).alias("fade"),
-        *[(F.pow(F.first(decay), F.max(step)) * F.sum(x)).alias(f"t_{name}") for name, x in part.items()],
-        *[F.first(seed).alias(f"s_{name}") for name, (seed, _) in specs.items()])
-    at = lambda blk, value: F.struct(blk.alias("blk"), *[value(name).cast("double").alias(f"from_{name}") for name in specs])
-
-    def next_start(starts: Column, b: Column) -> Column:
-        last = F.element_at(starts, -1)
-        return F.concat(starts, F.array(at(
-            b["blk"] + 1, lambda name: b[f"t_{name}"] + b["fade"] * last[f"from_{name}"])))
-
-    totals = blocks.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct(
-        "blk", "fade", *[f"{k}_{name}" for k in "ts" for name in specs]))).alias("totals"))
-    first = F.array(at(F.lit(0).cast("bigint"), lambda name: F.get("totals", F.lit(0))[f"s_{name}"]))
-    starts = totals.select(*KEYS, F.inline(F.aggregate("totals", first, next_start)))
-    out = rows.join(starts, [*KEYS, "blk"])
-    return out.withColumns({
-        name: F.when(a >= 1, x).otherwise(
-            F.pow(decay, step) * F.sum(part[name]).over(upto) + F.pow(decay, step + 1) * F.col(f"from_{name}"))
-        for name, (_, x) in specs.items()
+    volume = walk.volume or ("_none", "_none", "_none")
+    rows = rows.withColumns({
+        "_cell": cell, "_a": F.col("alpha"), "_x": F.col(walk.value).cast("double"),
+        "_n": F.col(volume[0]).cast("double") if walk.volume else F.lit(0.0),
+        "_keeps": F.array(*[c.cast("bigint") for c, _ in walk.kept.values()]),
     })
-
-
-def _innovations(df: DataFrame, x: str, pos: str, mean: str, var: str, v0: str) -> DataFrame:
-    """Given the mean, add its previous value, the variance and the variance's previous value. Writes `df` once."""
-    order = Window.partitionBy(*KEYS, "blk").orderBy(pos)
-    df = materialize(df.withColumn(f"prev_{mean}", F.coalesce(F.lag(mean).over(order), F.col(f"from_{mean}"))), "means")
-    df = _smooth(df, pos, {var: (v0, F.pow(F.col(x) - F.col(f"prev_{mean}"), 2))})
-    return df.withColumn(f"prev_{var}", F.coalesce(F.lag(var).over(order), F.col(f"from_{var}"))).drop(
-        f"from_{mean}", f"from_{var}", "next_origin")
-
-
-def _spikes(x: str, mean: str, var: str, ready: Column) -> dict[str, Column]:
-    """Marks of a row against the previous baseline."""
-    bound = upper_bound(F.col(f"prev_{mean}"), F.col(f"prev_{var}"), F.col("warn_k"))
-    critical = upper_bound(F.col(f"prev_{mean}"), F.col(f"prev_{var}"), F.col("crit_k"))
-    spike = ready & above(F.col(x), bound)
+    seeds = [*(F.col(c).cast("double") for c in walk.seeds), F.col(volume[2]) if walk.volume else F.lit(0.0)]
+    firsts = [F.lit(0).cast("bigint"), *(c.cast("bigint") for _, c in walk.kept.values())]
+    helpers = ["_cell", "_a", "_x", "_n", "_keeps"]
+    bare = rows.select(*KEYS, *helpers, *order, F.array(*seeds).alias("_from"), F.array(*firsts).alias("_kept"))
+    bare = bare.repartition(*KEYS).sortWithinPartitions(*KEYS, *order).select(*KEYS, *helpers, "_from", "_kept")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*KEYS, "_cell").schema)
+    starts = bare.mapInArrow(_cell_starts, f"{kinds}, {_START}")
+
+    kept_columns = [c for c in rows.columns if c not in helpers]
+    doubles = [walk.mean, walk.variance, *walk.names[:5], *([volume[1], walk.names[5]] if walk.volume else [])]
+    longs = [walk.position, *walk.kept]
+    schema = T.StructType([
+        *(rows.schema[c] for c in kept_columns), *(T.StructField(c, T.DoubleType()) for c in doubles),
+        *(T.StructField(c, T.LongType()) for c in longs)])
+    both = rows.unionByName(starts, allowMissingColumns=True).repartition(*KEYS, "_cell").sortWithinPartitions(
+        *KEYS, "_cell", *order)  # the start has no place in the order and comes first
+    both = both.select(*helpers, "_from", "_kept", *kept_columns)
+    has_volume = walk.volume is not None
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = kept = None
+        for batch in batches:
+            real, numbers, places = [], [], []
+            lead = (batch.column(k).to_pylist() for k in range(1, 7))
+            for a, x, n, keeps, start, first in zip(*lead):
+                real.append(start is None)
+                if start is not None:
+                    state, kept = tuple(start), first
+                    continue
+                before, (m, v, *_, volume) = state, (state := _step(state, a, x, n))
+                numbers.append((m, v, *before[:5], *((volume, before[5]) if has_volume else ())))
+                places.append(kept)
+                kept = [kept[0] + 1, *keeps]
+            rest = pa.Table.from_batches([batch.select(range(7, batch.num_columns))]).filter(pa.array(real))
+            made = list(zip(*numbers)) or [[]] * len(doubles)
+            whole = list(zip(*places)) or [[]] * len(longs)
+            for name, values in zip(doubles, made):
+                rest = rest.append_column(name, pa.array(values, pa.float64()))
+            for name, values in zip(longs, whole):
+                rest = rest.append_column(name, pa.array(values, pa.int64()))
+            yield from rest.to_batches()
+
+    return both.mapInArrow(within, schema)
+
+
+def _spikes(x: str, mean: str, var: str, ready: Column, was_ready: Column) -> dict[str, Column]:
+    """Marks of a row against the previous baseline; `pops` marks a clean row after a clean row."""
+    before = lambda k: upper_bound(F.col(f"prev_{mean}"), F.col(f"prev_{var}"), F.col(k))
+    spike = ready & (F.col(x) > before("warn_k"))
+    was_spike = F.col(f"prev_{x}") > upper_bound(F.col(f"before_{mean}"), F.col(f"before_{var}"), F.col("warn_k"))
     return {
-        "ready": ready, "bound": bound, "is_spike": spike, "is_critical": above(F.col(x), critical),
-        "is_clean": ready & ~spike,
+        "ready": ready, "bound": before("warn_k"), "is_spike": spike, "is_critical": F.col(x) > before("crit_k"),
+        "is_clean": ready & ~spike, "pops": ready & ~spike & F.coalesce(was_ready & ~was_spike, F.lit(False)),
     }
 
 
-def _after(flag: str, order: Window) -> Column:
-    """The flag of the previous row, false at the start."""
-    return F.coalesce(F.lag(flag).over(order), F.lit(False))
-
-
 def error_baseline(obs: DataFrame, params: DetectorParams, state: DataFrame | None = None) -> DataFrame:
     """Error-rate and volume baselines with the row-local facts all detectors need.
 
-    Adds `pos`, mean `m`, variance `v`, `vol`, their previous values, the warm-up
-    count, `ready` (warm), spike marks, `is_up` (above the new mean) and the
-    previous row's times; `pops` marks a clean row after a clean row. `obs` is read
-    twice: pass a written table or its cheap aggregate. Positions and means are written.
+    Adds `pos`, mean `m`, variance `v`, `vol`, their previous values, the warm-up count, `ready` (warm), spike marks,
+    `is_up` (above the new mean), `starts_up` (and the row before was not) and the previous row's times. `state` may
+    hold what an earlier run left, the last row's facts included. `obs` is read twice: pass a written table or its
+    cheap aggregate.
     """
-    placed = with_position(
-        obs, KEYS, ["detected_at", "unit"], time_cell(F.col("detected_at"), params.cell_s)
-    )
-    rows = materialize(_blocks(with_settings(placed, params, state), "pos"), "blocks")
-    order = Window.partitionBy(*KEYS, "blk").orderBy("pos")
-    rows = _smooth(rows, "pos", {
-        "m": ("ewma_value", F.col("error_rate")), "vol": ("log_volume_ewma", F.col("n").cast("double")),
-    }).withColumns({
-        "prev_vol": F.coalesce(F.lag("vol").over(order), F.col("from_vol")),
-        "prev_max_ts": F.coalesce(F.lag("max_ts").over(order), F.col("last_log_at")),
-        "prev_detected_at": F.lag("detected_at").over(order),
-        "warm": F.col("warmup_count") + F.col("pos") + 1,
-    }).drop("from_vol")
-    rows = _innovations(rows, "error_rate", "pos", "m", "v", "ewma_variance")
-    ready = F.col("warm") >= F.col("warmup_required")
+    micros = lambda c: F.unix_micros(c)
+    rows = walked(with_settings(obs, params, state), time_cell(F.col("detected_at"), params.cell_s), ["detected_at", "unit"], Walk(
+        "error_rate", "m", "v", "pos",
+        ("ewma_value", "ewma_variance", "last_ewma_value", "last_ewma_variance", "last_error_rate"),
+        {"prev_max_ts": (micros("max_ts"), micros("last_log_at")),
+         "prev_detected_at": (micros("detected_at"), micros("last_detected_at"))},
+        ("n", "vol", "log_volume_ewma")))
     rows = rows.withColumns({
-        **_spikes("error_rate", "m", "v", ready), "is_up": ready & above(F.col("error_rate"), F.col("m")),
-    }).withColumns({
-        "pops": F.col("is_clean") & _after("is_clean", order),
-        "starts_up": F.col("is_up") & ~_after("is_up", order),
+        **{c: F.timestamp_micros(c) for c in ("prev_max_ts", "prev_detected_at")},
+        "warm": F.col("warmup_count") + F.col("pos") + 1,
     })
-    return rows.filter("is_main").drop(
-        "blk", "is_main", "origin", "ewma_value", "ewma_variance", "warmup_count", "log_volume_ewma", "last_log_at",
+    ready, was_ready = F.col("warm") >= F.col("warmup_required"), F.col("warm") - 1 >= F.col("warmup_required")
+    was_up = F.coalesce(was_ready & (F.col("prev_error_rate") > F.col("prev_m")), F.lit(False))
+    return rows.withColumns({
+        **_spikes("error_rate", "m", "v", ready, was_ready), "is_up": ready & (F.col("error_rate") > F.col("m")),
+    }).withColumn("starts_up", F.col("is_up") & ~was_up).drop(
+        "ewma_value", "ewma_variance", "warmup_count", "log_volume_ewma", "last_log_at", "last_detected_at",
+        "last_error_rate", "last_ewma_value", "last_ewma_variance", "prev_error_rate", "before_m", "before_v",
     )
 
 
+_LATENCY_STATE = ["latency_ewma", "latency_variance", "last_latency_ewma", "last_latency_variance", "last_latency"]
+
+
 def latency_baseline(base: DataFrame, params: DetectorParams) -> DataFrame:
     """Latency baselines over the observations that carry a latency.
 
-    They form their own sequence with their own warm-up; a row inside either
-    warm-up changes no counter. `base` is read twice.
+    They form their own sequence with their own warm-up; a row inside either warm-up changes no counter. `base` is
+    read twice.
     """
     keep = [*KEYS, "unit", "pos", "detected_at", "n", "lat_mean", "min_ts", "max_ts", "service_name",
-            "environment", "m", "v", "warm", "alpha", "sensitivity", "warmup_required", "warn_k",
-            "crit_k", "latency_ewma", "latency_variance", "latency_warmup"]
-    bearing = base.filter("n_lat > 0").select(*keep)
-    placed = with_position(
-        bearing, KEYS, ["pos"], time_cell(F.col("detected_at"), params.cell_s), name="lat_pos"
-    )
-    rows = materialize(_blocks(placed, "lat_pos"), "latency-blocks")
-    order = Window.partitionBy(*KEYS, "blk").orderBy("lat_pos")
-    rows = _smooth(rows, "lat_pos", {"lm": ("latency_ewma", F.col("lat_mean"))}).withColumn(
-        "lat_warm", F.col("latency_warmup") + F.col("lat_pos") + 1)
-    rows = _innovations(rows, "lat_mean", "lat_pos", "lm", "lv", "latency_variance")
+            "environment", "m", "v", "warm", "alpha", "sensitivity", "warmup_required", "warn_k", "crit_k",
+            "latency_warmup", "last_latency_warm", *_LATENCY_STATE]
+    rows = walked(
+        base.filter("n_lat > 0").select(*keep), time_cell(F.col("detected_at"), params.cell_s), ["pos"], Walk(
+            "lat_mean", "lm", "lv", "lat_pos", tuple(_LATENCY_STATE),
+            {"prev_warm": (F.col("warm"), F.col("last_latency_warm"))}))
+    rows = rows.withColumn("lat_warm", F.col("latency_warmup") + F.col("lat_pos") + 1)
     need = F.col("warmup_required")
     ready = (F.col("warm") >= need) & (F.col("lat_warm") >= need)
-    rows = rows.withColumns(_spikes("lat_mean", "lm", "lv", ready)).withColumn(
-        "pops", F.col("is_clean") & _after("is_clean", order))
-    return rows.filter("is_main").drop("blk", "is_main", "origin")
+    was_ready = (F.col("prev_warm") >= need) & (F.col("lat_warm") - 1 >= need)
+    return rows.withColumns(_spikes("lat_mean", "lm", "lv", ready, was_ready)).drop(
+        "prev_warm", "prev_lat_mean", "before_lm", "before_lv", "last_latency_warm", *_LATENCY_STATE)
 
 
 def next_state(base: DataFrame, latency: DataFrame | None = None) -> DataFrame:
-    """Smoothing state after the last observation of each source, to seed the next run.
+    """State after the last observation of each source, to seed the next run.
 
-    Stored error patterns are a table of their own (`detectors.next_patterns`): they
-    are too many for one row per source.
+    It holds the last row's facts too, so that counts of clean rows and the start of an elevation go on. Sources
+    without a row in this run keep the state that they had: see `carried_state`. Stored error patterns are a table of
+    their own (`detectors.next_patterns`): they are too many for one row per source.
     """
 
     def last(df: DataFrame, pos: str) -> DataFrame:
         return df.join(df.groupBy(*KEYS).agg(F.max(pos).alias(pos)), [*KEYS, pos])
 
-    out = last(base, "pos").select(
+    began = base.groupBy(*KEYS).agg(F.max(F.when(F.col("starts_up"), F.col("detected_at"))).alias("_began"))
+    out = last(base, "pos").join(began, KEYS).select(
         *KEYS, F.col("m").alias("ewma_value"), F.col("v").alias("ewma_variance"), "alpha", "sensitivity",
         F.col("warm").cast("int").alias("warmup_count"), "warmup_required",
         F.col("vol").alias("log_volume_ewma"), F.col("max_ts").alias("last_log_at"),
+        F.col("detected_at").alias("last_detected_at"), F.col("error_rate").alias("last_error_rate"),
+        F.col("prev_m").alias("last_ewma_value"), F.col("prev_v").alias("last_ewma_variance"),
+        F.when(F.col("is_up"), F.coalesce("_began", "up_since")).alias("up_since"),
     )
     if latency is None:
         return out
-    return out.join(
-        last(latency, "lat_pos").select(
-            *KEYS, F.col("lm").alias("latency_ewma"), F.col("lv").alias("latency_variance"),
-            F.col("lat_warm").cast("int").alias("latency_warmup"),
-        ), KEYS, "left",
-    )
+    # A source without a latency in this run keeps its latency state.
+    held = last(base, "pos").select(*KEYS, "latency_warmup", "last_latency_warm", *_LATENCY_STATE)
+    fresh = last(latency, "lat_pos").select(
+        *KEYS, F.col("lm").alias("latency_ewma"), F.col("lv").alias("latency_variance"),
+        F.col("lat_warm").cast("int").alias("latency_warmup"), F.col("lat_mean").alias("last_latency"),
+        F.col("prev_lm").alias("last_latency_ewma"), F.col("prev_lv").alias("last_latency_variance"),
+        F.col("warm").alias("last_latency_warm"))
+    names = ["latency_warmup", "last_latency_warm", *_LATENCY_STATE]
+    marked = fresh.withColumnsRenamed({c: f"_{c}" for c in names}).withColumn("_fresh", F.lit(True))
+    either = held.join(marked, KEYS, "left").select(
+        *KEYS, *[F.when(F.col("_fresh"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in names])
+    return out.join(either, KEYS)
+
+
+def carried_state(state: DataFrame, before: DataFrame | None) -> DataFrame:
+    """The state of all sources: of those with new rows `state`, of the others what was stored `before`."""
+    if before is None:
+        return state
+    return state.unionByName(before.join(state, KEYS, "left_anti"), allowMissingColumns=True)
 
 
 def fixed_settings(config: DataFrame, sources: DataFrame, names: dict[str, str]) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import ordered
 from pulsegrid.operators.observe import KEYS
-from pulsegrid.operators.ordered import cooldown, running, stack_matches, time_cell, with_position
+from pulsegrid.operators.ordered import (
+    cooldown, running, stack_matches, stack_matches_with_removals, time_cell, with_position,
+)
 from pulsegrid.params import MICROS, DetectorParams
 from pulsegrid.session import materialize
 
@@ -90,10 +92,11 @@ def sustained_elevations(base: DataFrame, params: DetectorParams) -> DataFrame:
     """
     rows = running(
         base, KEYS, F.floor(F.col("pos") / F.lit(ordered.BLOCK_ROWS)), ["pos"],
-        {"up_since": ("max", F.when(F.col("starts_up"), F.col("detected_at")))},
+        {"began": ("max", F.when(F.col("starts_up"), F.col("detected_at")))},
     ).filter("is_up and not starts_up")
-    age = _seconds(F.col("detected_at"), F.col("up_since"))
-    prev_age = _seconds(F.col("prev_detected_at"), F.col("up_since"))
+    since = F.coalesce("began", "up_since")  # an elevation may have begun in an earlier run
+    age = _seconds(F.col("detected_at"), since)
+    prev_age = _seconds(F.col("prev_detected_at"), since)
     passes = lambda limit: (age >= limit) & (prev_age < limit)
     critical = passes(params.sustained_crit_s)
     # A row at or past the critical age gets no warning.
@@ -177,19 +180,30 @@ def resolution_ops(base: DataFrame, latency: DataFrame, sustained: DataFrame) ->
     )
 
 
-def resolutions(ops: DataFrame, open_alerts: DataFrame | None = None) -> DataFrame:
+def resolutions(ops: DataFrame, open_alerts: DataFrame | None = None, acked: DataFrame | None = None) -> DataFrame:
     """Which alert each clean row resolves: newest first, one per row.
 
-    `open_alerts` are still-open alerts of earlier runs (acknowledged ones are not
-    open); they lie below this run's alerts, oldest at the bottom. Returns keys,
-    anomaly_type, `pos` of the alert (negative for earlier ones) and `resolved_at`.
+    `open_alerts` are still-open alerts of earlier runs (acknowledged ones are not open); they lie below this run's
+    alerts, oldest at the bottom. `acked` (keys, anomaly_type, pos, `acked_at`) are alerts that someone takes over: from
+    then on no row resolves them. Returns keys, anomaly_type, `pos` of the alert (negative for earlier ones) and
+    `resolved_at`.
     """
+    kinds = [*KEYS, "anomaly_type"]
     if open_alerts is not None:
         ops = ops.unionByName(placed_open_alerts(open_alerts).select(
-            *KEYS, "anomaly_type", "pos", F.lit(1).alias("op"), F.col("detected_at").alias("at")))
-    matched = stack_matches(ops, [*KEYS, "anomaly_type"])
-    return matched.select(
-        *KEYS, "anomaly_type", F.col("push_pos").alias("pos"), F.col("pop_at").alias("resolved_at"))
+            *kinds, "pos", F.lit(1).alias("op"), F.col("detected_at").alias("at")))
+    if acked is None:
+        matched = stack_matches(ops, kinds)
+    else:
+        gone = acked.select(*kinds, "pos", F.lit(1).alias("op"), F.col("acked_at").alias("gone_at"))
+        matched = stack_matches_with_removals(ops.join(gone, [*kinds, "pos", "op"], "left"), kinds)
+    return matched.select(*kinds, F.col("push_pos").alias("pos"), F.col("pop_at").alias("resolved_at"))
+
+
+def requested(alerts: DataFrame, acks: DataFrame) -> DataFrame:
+    """The first request for each of `alerts` (DETECTION rows with `id`): keys, anomaly_type, pos, acked_at."""
+    first = acks.groupBy("tenant_id", F.col("alert_id").alias("id")).agg(F.min("acked_at").alias("acked_at"))
+    return alerts.select(*KEYS, "anomaly_type", "pos", "id").join(first, ["tenant_id", "id"]).drop("id")
 
 
 def placed_open_alerts(alerts: DataFrame) -> DataFrame:
@@ -208,12 +222,12 @@ def open_services(spikes: DataFrame, params: DetectorParams) -> DataFrame:
     """At each spike, how many distinct services of the tenant have a recent open one.
 
     A spike counts for its service from its own instant through `cascade_window_s`
-    later, or until it is resolved. Spikes of one instant are taken in source
+    later, or until it is resolved or acknowledged. Spikes of one instant are taken in source
     order. A sweep over starts and ends replaces any pairing of spikes. `spikes`
-    holds detections with `resolved_at` and `id`; pass a written table.
+    holds detections with `resolved_at`, `acked_at` and `id`; pass a written table.
     """
     at = F.unix_micros("detected_at")
-    end = F.least(at + params.cascade_window_s * MICROS + 1, F.unix_micros("resolved_at"))
+    end = F.least(at + params.cascade_window_s * MICROS + 1, F.unix_micros("resolved_at"), F.unix_micros("acked_at"))
     base = spikes.select(
         "tenant_id", "service_name", "source_id", "pos", "detected_at",
         at.alias("start"), F.greatest(end, at + 1).alias("end"),
@@ -244,7 +258,7 @@ def cascades(
 ) -> DataFrame:
     """Spikes that complete a cascade, with `contributing`: the earliest open spike of every service.
 
-    `spikes` holds detections with `id` and `resolved_at`; those of earlier runs
+    `spikes` holds detections with `id`, `resolved_at` and `acked_at`; those of earlier runs
     (`pos` below zero) count but do not trigger.
     """
     crowded = open_services(spikes, params).filter(
@@ -283,13 +297,13 @@ def cascade_members(trigger: DataFrame, spikes: DataFrame, params: DetectorParam
         bucket(F.col("detected_at")).alias("bucket"),
     )
     near = spikes.select(
-        "tenant_id", "service_name", "source_id", "detected_at", "resolved_at", "id",
+        "tenant_id", "service_name", "source_id", "detected_at", F.least("resolved_at", "acked_at").alias("closed_at"), "id",
         F.explode(F.array(bucket(F.col("detected_at")), bucket(F.col("detected_at")) + 1)).alias("bucket"),
     )
     at, fired_at = F.col("detected_at"), F.col("fired_at")
     age = _seconds(fired_at, at)
     seen = ((age > 0) | ((age == 0) & (F.col("source_id") <= F.col("by_source"))))
-    still_open = F.col("resolved_at").isNull() | (F.col("resolved_at") > fired_at) | (age == 0)
+    still_open = F.col("closed_at").isNull() | (F.col("closed_at") > fired_at) | (age == 0)
     return (
         near.join(fired, ["tenant_id", "bucket"])
         .filter(seen & (age <= width) & still_open)

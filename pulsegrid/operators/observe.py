@@ -86,10 +86,15 @@ def representative_messages(entries: DataFrame, units: DataFrame, params: Detect
     Only error entries of those units are read, reduced to one row per message on
     the map side and to `keep` rows per unit before the final sort.
     """
+    errors = with_unit(entries.filter(is_error(F.col("level"))), params)
+    return first_messages(errors.select(*KEYS, "unit", "message", "seq"), units, keep)
+
+
+def first_messages(seen: DataFrame, units: DataFrame, keep: int = 3) -> DataFrame:
+    """The first `keep` messages of the given units; `seen` holds keys, unit, message and seq."""
     wanted = units.select(*KEYS, "unit").distinct()
     first = (
-        with_unit(entries.filter(is_error(F.col("level"))), params)
-        .join(wanted, [*KEYS, "unit"], "left_semi")
+        seen.join(wanted, [*KEYS, "unit"], "left_semi")
         .groupBy(*KEYS, "unit", "message").agg(F.min("seq").alias("seq"))
     )
     rank = F.row_number().over(Window.partitionBy(*KEYS, "unit").orderBy("seq", "message"))
@@ -103,14 +108,64 @@ def representative_messages(entries: DataFrame, units: DataFrame, params: Detect
 
 def first_entries(entries: DataFrame, patterns: DataFrame, params: DetectorParams) -> DataFrame:
     """Message, time and service of the entry that showed each given pattern first."""
-    wanted = patterns.select(*KEYS, "unit", "fp", F.col("first_seq").alias("seq"))
     errors = with_unit(entries.filter(is_error(F.col("level"))), params)
     # Matched by arrival first: fingerprints are computed for the few matches only.
+    found = errors.select(*KEYS, "unit", "seq", "message", "occurred_at", "service_name", "environment").join(
+        _showing(patterns), [*KEYS, "unit", "seq"])
+    return _earliest(found.filter(fingerprint(F.col("message")) == F.col("fp")))
+
+
+def _showing(patterns: DataFrame) -> DataFrame:
+    return patterns.select(*KEYS, "unit", "fp", F.col("first_seq").alias("seq"))
+
+
+def _earliest(found: DataFrame) -> DataFrame:
     return (
-        errors.select(*KEYS, "unit", "seq", "message", "occurred_at", "service_name", "environment")
-        .join(wanted, [*KEYS, "unit", "seq"])
-        .filter(fingerprint(F.col("message")) == F.col("fp"))
-        .groupBy(*KEYS, "unit", "fp")
+        found.groupBy(*KEYS, "unit", "fp")
         .agg(F.min(F.struct("message", "occurred_at", "service_name", "environment")).alias("e"))
         .select(*KEYS, "unit", "fp", "e.*")
     )
+
+
+# -- windows as mergeable rows -------------------------------------------------
+
+
+def window_rows(entries: DataFrame, params: DetectorParams) -> DataFrame:
+    """`fine_observations` per error message too, so that windows of several deliveries can be merged.
+
+    Whatever part of a window's entries a row covers, `merged_windows` of all parts is the row of all entries.
+    """
+    rows = with_unit(entries, params)
+    arrived = F.col("received_at") if "received_at" in rows.columns else F.col("occurred_at")
+    rows = rows.withColumn("fp", F.when(is_error(F.col("level")), fingerprint(F.col("message")))).withColumns({
+        "message": F.when(F.col("fp").isNotNull(), F.col("message")), "n": F.lit(1).cast("bigint"),
+        "n_lat": F.col("latency_ms").isNotNull().cast("bigint"), "lat_sum": F.col("latency_ms"),
+        "min_ts": F.col("occurred_at"), "max_ts": F.col("occurred_at"), "arrived_at": arrived,
+        "first_seq": F.col("seq").cast("bigint"), "first_ts": F.col("occurred_at"),
+    })
+    return merged_windows(rows)
+
+
+def merged_windows(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEYS, "unit", "fp", "message", "service_name", "environment").agg(
+        F.sum("n").alias("n"), F.sum("n_lat").alias("n_lat"), F.sum("lat_sum").alias("lat_sum"),
+        F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"), F.max("arrived_at").alias("arrived_at"),
+        F.min_by("first_ts", "first_seq").alias("first_ts"), F.min("first_seq").alias("first_seq"),
+    )
+
+
+def fine_of_windows(windows: DataFrame) -> DataFrame:
+    """`fine_observations` out of window rows."""
+    return windows.groupBy(*KEYS, "unit", "fp", "service_name", "environment").agg(
+        F.sum("n").alias("n"), F.sum("n_lat").alias("n_lat"), F.sum("lat_sum").alias("lat_sum"),
+        F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"), F.max("arrived_at").alias("arrived_at"),
+        F.min("first_seq").alias("first_seq"),
+    )
+
+
+def first_entries_of_windows(windows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """`first_entries` out of window rows."""
+    errors = windows.filter("fp is not null").select(
+        *KEYS, "unit", "fp", F.col("first_seq").alias("seq"), "message", F.col("first_ts").alias("occurred_at"),
+        "service_name", "environment")
+    return _earliest(errors.join(_showing(patterns), [*KEYS, "unit", "fp", "seq"]))

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +18,6 @@ from pulsegrid.params import MICROS
 from pulsegrid.session import materialize
 
 BLOCK_ROWS = 4096
-# Groups up to this many distinct instants are folded as one array; larger ones
-# take the chunked path in `cooldown`.
-FOLD_LIMIT = 10_000
 
 _UNBOUNDED = Window.unboundedPreceding
 
@@ -90,36 +88,14 @@ def running(
     ).drop("_cell", *args, *[f"_{p}_{name}" for name in specs for p in "cr"])
 
 
-def halo_blocks(df: DataFrame, pos: str, block: Column, halo: Column) -> DataFrame:
-    """Cut a key's rows into blocks of `block` rows, each led by the `halo` rows before it.
+def _leveled(ops: DataFrame, keys: list[str]) -> DataFrame:
+    """Pushes and the pops that find something, each with the stack level it fills or empties.
 
-    Adds `blk`, `is_main` (false on halo rows) and `origin`, the position of the
-    block's first row. A function whose memory fades within `halo` rows can then
-    be evaluated block by block.
+    With S the running sum of op and M its running minimum, the depth is S - min(0, M); a pop at depth L undoes the
+    latest push to depth L.
     """
-    home = F.floor(F.col(pos) / block)
-    into = F.when(F.col(pos) % block >= block - halo, F.array(home, home + 1)).otherwise(F.array(home))
-    return (
-        df.withColumn("_home", home)
-        .withColumn("blk", F.explode(into))
-        .withColumn("is_main", F.col("blk") == F.col("_home"))
-        .withColumn("origin", F.greatest(F.col("blk") * block - halo, F.lit(0)))
-        .drop("_home")
-    )
-
-
-def stack_matches(ops: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Match each pop to the newest unmatched push of its key (last in, first out).
-
-    `ops` holds keys, `pos` (one row per place), `op` (+1 push, -1 pop) and `at`.
-    A pop on an empty stack does nothing. Returns keys, `push_pos`, `pop_at`.
-
-    With S the running sum of op and M its running minimum, the depth is
-    S - min(0, M); a pop at depth L undoes the latest push to depth L.
-    """
-    keys = list(keys)
     cell = F.floor(F.col("pos") / F.lit(BLOCK_ROWS))
-    rows = ops.select(*keys, "pos", "op", "at", cell.alias("_cell"))
+    rows = ops.withColumn("_cell", cell)
     in_cell = Window.partitionBy(*keys, "_cell").orderBy("pos").rowsBetween(_UNBOUNDED, 0)
     local = rows.withColumn("_s", F.sum("op").over(in_cell)).withColumn("_m", F.min("_s").over(in_cell))
     ends = local.groupBy(*keys, "_cell").agg(F.sum("op").alias("_total"), F.min("_s").alias("_low"))
@@ -131,7 +107,7 @@ def stack_matches(ops: DataFrame, keys: Sequence[str]) -> DataFrame:
         .select(*keys, "_cell", "_s0", "_m0")
     )
     s, low = F.col("_s0") + F.col("_s"), F.least(F.col("_m0"), F.col("_s0") + F.col("_m"))
-    leveled = (
+    return (
         local.withColumn("_pm", F.lag("_m").over(Window.partitionBy(*keys, "_cell").orderBy("pos")))
         .join(carried, [*keys, "_cell"])
         .withColumn("_S", s)
@@ -139,14 +115,65 @@ def stack_matches(ops: DataFrame, keys: Sequence[str]) -> DataFrame:
         .withColumn("_plow", F.least(F.col("_m0"), F.col("_s0") + F.coalesce("_pm", F.lit(0))))
         .filter((F.col("op") > 0) | (F.col("_S") >= F.col("_plow")))
         .withColumn("level", F.when(F.col("op") > 0, F.col("_depth")).otherwise(F.col("_depth") + 1))
-        .select(*keys, "level", "pos", "op", "at")
+        .select(*ops.columns, "level")
     )
+
+
+def stack_matches(ops: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Match each pop to the newest unmatched push of its key (last in, first out).
+
+    `ops` holds keys, `pos` (one row per place), `op` (+1 push, -1 pop) and `at`. A pop on an empty stack does
+    nothing. Returns keys, `push_pos`, `pop_at`.
+    """
+    keys = list(keys)
+    leveled = _leveled(ops.select(*keys, "pos", "op", "at"), keys)
     matched = running(
-        leveled, [*keys, "level"], cell, ["pos"], {"push_pos": ("max", F.when(F.col("op") > 0, F.col("pos")))}
+        leveled, [*keys, "level"], F.floor(F.col("pos") / F.lit(BLOCK_ROWS)), ["pos"],
+        {"push_pos": ("max", F.when(F.col("op") > 0, F.col("pos")))}
     )
     return matched.filter("op < 0").select(*keys, "push_pos", F.col("at").alias("pop_at"))
 
 
+def stack_matches_with_removals(ops: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`stack_matches` where a push may leave from the middle: from its `gone_at` on no pop finds it.
+
+    Removals only empty a stack sooner. So wherever it would be empty without them it is empty, and the pops that
+    find nothing without them find nothing. What lies between two such places is an episode of its own; episodes are
+    walked at the same time, each with one stack.
+    """
+    keys = list(keys)
+    leveled = _leveled(ops.select(*keys, "pos", "op", "at", "gone_at"), keys)
+    cell = F.floor(F.col("pos") / F.lit(BLOCK_ROWS))
+    opens = ((F.col("op") > 0) & (F.col("level") == 1)).cast("bigint")
+    rows = running(leveled, keys, cell, ["pos"], {"episode": ("sum", opens)})
+    rows = rows.repartition(*keys, "episode").sortWithinPartitions(*keys, "episode", "pos").select(
+        *keys, "episode", "pos", "op", F.unix_micros("at").alias("at"), F.unix_micros("gone_at").alias("gone_at"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema]
+
+    def walk(batches):
+        episode, stack = None, []
+        for batch in batches:
+            matched = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for row, (pos, op, at, gone_at) in zip(zip(*columns[:-4]), zip(*columns[-4:])):
+                if row != episode:
+                    episode, stack = row, []
+                if op > 0:
+                    stack.append((pos, gone_at))
+                    continue
+                while stack and stack[-1][1] is not None and stack[-1][1] <= at:
+                    stack.pop()
+                if stack:
+                    matched.append((*row[:-1], stack.pop()[0], at))
+            made = list(zip(*matched)) or [[]] * (len(keys) + 2)
+            types = [batch.schema.field(k).type for k in range(len(keys))] + [pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(made, types)], names=[*keys, "push_pos", "pop_at"])
+
+    found = rows.mapInArrow(walk, ", ".join([*kinds, "push_pos bigint, pop_at bigint"]))
+    return found.withColumn("pop_at", F.timestamp_micros("pop_at"))
+
+
 # -- greedy cooldown ---------------------------------------------------------
 
 
@@ -156,13 +183,14 @@ def cooldown(
     at: str,
     seconds: int,
     seed: DataFrame | None = None,
-    fold_limit: int = FOLD_LIMIT,
 ) -> DataFrame:
     """Keep an instant only if `seconds` have passed since the last one kept.
 
-    Returns the distinct (keys, at) kept. `seed` may hold keys and `last_at`, the
-    last instant kept earlier. The instants are written once; keys with more than
-    `fold_limit` of them take the chunked path, all others are folded as one array.
+    Returns the distinct (keys, at) kept. `seed` may hold keys and `last_at`, the last instant kept earlier. The
+    instants are written once. Which instant is kept next is a pointer, "the first instant at least so much later".
+    Chunks of time follow their pointers by doubling and tell, for every instant that could be the first one kept
+    there, the last one kept there; one pass over those few rows per key tells where each chunk really starts, and
+    each chunk marks its instants on its own. Keys of all sizes go this way.
     """
     keys = list(keys)
     gap = seconds * MICROS
@@ -172,47 +200,21 @@ def cooldown(
         last = seed.select(*keys, F.unix_micros("last_at").alias("_last"))
         instants = instants.join(last, keys, "left").filter(
             F.col("_last").isNull() | (F.col("t") - F.col("_last") >= gap)).drop("_last")
-    instants = materialize(instants, "instants")
-    hot = instants.groupBy(*keys).count().filter(F.col("count") > fold_limit).select(*keys)
-    any_hot = not hot.isEmpty()
-    grouped = instants.join(hot, keys, "left_anti") if any_hot else instants
-    small = grouped.groupBy(*keys).agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    kept = F.aggregate(
-        "ts",
-        F.array().cast("array<bigint>"),
-        lambda acc, t: F.when(
-            (F.size(acc) == 0) | (t - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(t))
-        ).otherwise(acc),
-    )
-    out = small.select(*keys, F.explode(kept).alias("t"))
-    if any_hot:
-        out = out.unionByName(_chunked_cooldown(instants.join(hot, keys, "left_semi"), keys, gap))
-    return out.select(*keys, F.timestamp_micros("t").alias(at))
-
-
-def _chunked_cooldown(instants: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """Cooldown for keys with too many instants for one task.
-
-    Per time chunk: for every instant that could be the first one kept there, find
-    the last one kept there. Then one pass over those few rows per key tells where
-    each chunk really starts, and each chunk marks its instants on its own.
-    """
     span = max(8 * gap, 86_400 * MICROS)
-    rows = instants.withColumn("chunk", F.floor(F.col("t") / F.lit(span)))
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in instants.select(*keys).schema)
+    rows = materialize(instants.withColumn("chunk", F.floor(F.col("t") / F.lit(span))), "instants")
+    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["t"].to_numpy())
-        nxt = np.searchsorted(t, t + gap)
-        last = np.arange(len(t))
-        for i in range(len(t) - 1, -1, -1):
-            if nxt[i] < len(t):
-                last[i] = last[nxt[i]]
+        here = np.arange(len(t))
+        after = np.searchsorted(t, t + gap)
+        last = np.where(after < len(t), after, here)
+        while (further := last[last]).tobytes() != last.tobytes():
+            last = further
         begin = int(pdf["chunk"].iloc[0]) * span
-        starters = np.arange(min(len(t), int(np.searchsorted(t, begin + gap)) + 1))
+        starters = here[:int(np.searchsorted(t, begin + gap)) + 1]
         # Neighbouring starters mostly share an exit: keep the last of each run.
-        ends = np.append(last[starters[:-1]] != last[starters[1:]], True)
-        pick = starters[ends]
+        pick = starters[np.append(last[starters[:-1]] != last[starters[1:]], True)]
         out = pdf[keys + ["chunk"]].iloc[[0] * len(pick)].copy()
         out["upto"], out["leaves"] = t[pick], t[last[pick]]
         return out
@@ -247,7 +249,5 @@ def _chunked_cooldown(instants: DataFrame, keys: list[str], gap: int) -> DataFra
         exits, f"{key_ddl}, chunk bigint, upto bigint, leaves bigint"
     )
     starts = steps.groupBy(*keys).applyInPandas(entries, f"{key_ddl}, chunk bigint, need bigint")
-    return (
-        rows.join(starts, [*keys, "chunk"]).groupBy(*keys, "chunk")
-        .applyInPandas(marks, f"{key_ddl}, t bigint")
-    )
+    kept = rows.join(starts, [*keys, "chunk"]).groupBy(*keys, "chunk").applyInPandas(marks, f"{key_ddl}, t bigint")
+    return kept.select(*keys, F.timestamp_micros("t").alias(at))

@@ -44,8 +44,3 @@ class DetectorParams:
         rate, so their cells are short.
         """
         return 60 if self.batch_col else 4096 * self.window_s
-
-
-# Comparisons against smoothed values are made on numbers rounded to this many
-# places, so that the order in which doubles were added cannot flip an alert.
-COMPARE_PLACES = 9

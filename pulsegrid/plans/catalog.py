@@ -705,18 +705,80 @@ def isolation_breaches(spark, sf_dir):
 # -- streams -----------------------------------------------------------------
 
 
+_STREAMED: dict[tuple[str, str, bool], str] = {}
+
+
+def _streamed(spark: SparkSession, sf_dir: str, late: bool = False) -> str:
+    """The events run as a stream of two micro-batches, then closed, once per session; where its tables lie."""
+    key = (spark.sparkContext.applicationId, sf_dir, late)
+    if key in _STREAMED:
+        return _STREAMED[key]
+    root = f"{scratch_dir(spark)}/pulsegrid/stream-{uuid.uuid4().hex}"
+    entries = fx.as_entries(fx.event_slices(spark, sf_dir, f"{root}/in", late))
+    engine.start(entries, f"{root}/out", f"{root}/cp", fx.EVENT_PARAMS, "0 seconds", trigger={"availableNow": True}).awaitTermination()
+    engine.Run(spark, f"{root}/out", fx.EVENT_PARAMS).close()
+    _STREAMED[key] = f"{root}/out"
+    return _STREAMED[key]
+
+
 @query(f"""SELECT tenant_id, source_id, unit, fp, count(*) AS n, round(sum(latency_ms) + 1e-9, 4) AS lat_sum, min(seq) AS first_seq,
     CASE WHEN fp IS NOT NULL THEN arg_min(message, seq) END AS message
     FROM (SELECT *, CASE WHEN level = 'ERROR' THEN {o.fp_sql('message')} END AS fp FROM entries)
-    WHERE unit + {o.H} <= (SELECT epoch_ms(max(ts)) * 1000 FROM events) GROUP BY tenant_id, source_id, unit, fp""")
+    GROUP BY tenant_id, source_id, unit, fp""")
 def streamed_windows(spark, sf_dir):
-    """The events as a stream: closed windows per source and pattern, each emitted once."""
-    schema = fx.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    root = f"{scratch_dir(spark)}/pulsegrid/stream-{uuid.uuid4().hex}"
-    rows = engine.window_rows(fx.as_entries(events), fx.EVENT_PARAMS, "0 seconds")
-    q = (rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    out = spark.read.schema(rows.schema).parquet(f"{root}/out")
-    return out.select("tenant_id", "source_id", "unit", "fp", "n", rounded("lat_sum", 4), "first_seq", "message")
+    """The events as a stream, a tenth of the first half late: windows per source and pattern as they stand in the end."""
+    rows = engine.stored_windows(spark, _streamed(spark, sf_dir, late=True))
+    return rows.groupBy("tenant_id", "source_id", "unit", "fp").agg(
+        F.sum("n").alias("n"), F.sum("lat_sum").alias("lat_sum"), F.min_by("message", "first_seq").alias("message"),
+        F.min("first_seq").alias("first_seq"),
+    ).select("tenant_id", "source_id", "unit", "fp", "n", rounded("lat_sum", 4), "first_seq", "message")
+
+
+@query(f"""SELECT {_BRIEF_SQL}, tenant_id, round(current_value, 4) AS current_value, round(upper_bound, 4) AS upper_bound,
+    {o.stamp('resolved_at')} AS resolved_at,
+    CASE WHEN a.fp IS NOT NULL THEN to_json([message])::VARCHAR WHEN sample_count = 0 THEN '[]'
+      ELSE coalesce(to_json(messages)::VARCHAR, '[]') END AS representative_msgs
+    FROM (SELECT a.*, u.messages, e.message FROM alerts a
+      LEFT JOIN unit_messages u ON u.tenant_id = a.tenant_id AND u.source_id = a.source_id AND u.unit = a.unit_id
+      LEFT JOIN patterns p ON p.tenant_id = a.tenant_id AND p.source_id = a.source_id AND p.unit = a.unit_id AND p.fp = a.fp
+      LEFT JOIN entries e ON e.seq = p.first_seq) a""")
+def streamed_alerts(spark, sf_dir):
+    """All six detectors over the events as a stream: the alerts of one batch run."""
+    return _brief(
+        engine.stored_alerts(spark, _streamed(spark, sf_dir)), "tenant_id", rounded("current_value", 4), rounded("upper_bound", 4),
+        stamp("resolved_at"), "representative_msgs")
+
+
+@query(f"""SELECT tenant_id, source_id, {o.stamp('max_ts')} AS last_log_at, {o.stamp(f'max_ts + to_seconds({fx.EVENT_PARAMS.silence_s})')} AS due_at
+    FROM (SELECT *, lead(min_ts) OVER (PARTITION BY tenant_id, source_id ORDER BY unit) AS next_ts FROM obs)
+    WHERE max_ts + to_seconds({fx.EVENT_PARAMS.silence_s}) <= coalesce(next_ts, (SELECT max(ts) FROM events))""")
+def streamed_silences(spark, sf_dir):
+    """Silences reported when they fall due, with or without an entry after them."""
+    rows = engine.stored_silences(spark, _streamed(spark, sf_dir))
+    return rows.select("tenant_id", "source_id", stamp("last_log_at"), stamp("due_at"))
+
+
+# -- runs that resume, requests inside a run ---------------------------------
+
+
+@query(f"SELECT {_BRIEF_SQL}, {o.stamp('resolved_at')} AS resolved_at FROM alerts")
+def resumed_alerts(spark, sf_dir):
+    """Two runs, the second from what the first one left, raise and resolve what one run does."""
+    entries, p = fx.log_entries(spark, sf_dir), fx.EVENT_PARAMS
+    cut = F.timestamp_seconds(F.lit(1_705_233_600))  # the start of a window
+    first = Detection(entries.filter(F.col("occurred_at") < cut), p)
+    early = materialize(first.alerts, "early-alerts")
+    fired = early.filter(F.col("anomaly_type") == detectors.CASCADE).groupBy("tenant_id").agg(F.max("detected_at").alias("last_at"))
+    second = Detection(
+        entries.filter(F.col("occurred_at") >= cut), p, state=materialize(first.next_state, "state"),
+        open_alerts=early.filter("status = 'open'"), last_cascades=fired, patterns=materialize(first.next_patterns, "patterns"))
+    done = early.filter("status <> 'open'")
+    return _brief(done.unionByName(second.earlier_alerts).unionByName(second.alerts), stamp("resolved_at"))
+
+
+@query(f"SELECT {_BRIEF_SQL}, {o.stamp('resolved_at')} AS resolved_at, {o.stamp('acknowledged_at')} AS acknowledged_at FROM ack_alerts")
+def alerts_with_acks(spark, sf_dir):
+    """Requests take alerts over while the run goes on: rows resolve others, and cascades count them no longer."""
+    acks = fx.run_acks(stored_alerts(spark, sf_dir).filter(F.col("anomaly_type") != detectors.CASCADE))
+    run = Detection(fx.log_entries(spark, sf_dir), fx.EVENT_PARAMS, acks=materialize(acks, "acks"))
+    return _brief(run.alerts, stamp("resolved_at"), stamp("acknowledged_at"))

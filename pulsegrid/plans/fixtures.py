@@ -41,6 +41,18 @@ def as_entries(e: DataFrame) -> DataFrame:
     )
 
 
+def event_slices(spark: SparkSession, sf_dir: str, folder: str, late: bool = False) -> DataFrame:
+    """The events as a stream of two files, in order of time; with `late`, some of the first come with the second."""
+    events = table(spark, sf_dir, "events")
+    middle = F.timestamp_seconds(F.lit(1_705_276_800))  # mid January 2024
+    early = F.col("ts").cast("timestamp") < middle
+    if late:
+        early = early & (F.col("event_id") % 10 != 7)
+    for i, part in enumerate((events.filter(early), events.filter(~early))):
+        part.coalesce(1).write.parquet(f"{folder}/part={i}")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
+
+
 def _text(name: str):
     return F.col(name).cast("string")
 
@@ -267,3 +279,12 @@ def outcomes(queue: DataFrame) -> DataFrame:
         F.when(digit < "b", F.repeat(digit, 600)).otherwise("timeout").alias("response_body"),
         F.when(digit < "b", 12).alias("latency_ms"),
     )
+
+
+def run_acks(alerts: DataFrame) -> DataFrame:
+    """Requests soon after two alerts in five: at the end of the next window, or half a window after the alert."""
+    first = F.substring("id", 1, 1)
+    delay = F.when(first < "3", 3600).when(first < "6", 1800)
+    return alerts.filter(delay.isNotNull()).select(
+        "tenant_id", F.col("id").alias("alert_id"), F.lit("u-2").alias("user_id"),
+        F.timestamp_micros(F.unix_micros("detected_at") + delay.cast("bigint") * 1_000_000).alias("acked_at"))

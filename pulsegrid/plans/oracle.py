@@ -1,7 +1,7 @@
 """The registered queries again, as SQL over the given tables.
 
-Written from the definitions, not from the Spark plans: smoothing is a weighted
-self-join, last-in-first-out matching is "first later place where the running sum
+Written from the definitions, not from the Spark plans: smoothing is a
+recursive walk, last-in-first-out matching is "first later place where the running sum
 falls below the alert's", and cooldowns are recursive.
 """
 
@@ -34,10 +34,16 @@ def fp_sql(message: str) -> str:
     return f"substr(sha256(regexp_replace({stripped}, '\\p{{Nd}}+', 'N', 'g')), 1, 16)"
 
 
-def _smooth(name: str, source: str, x: str, pos: str, out: str) -> str:
-    return f"""SELECT b.tenant_id, b.source_id, b.{pos}, sum({A} * pow({1 - A}, b.{pos} - a.{pos}) * a.{x}) AS {out}
-    FROM {source} a JOIN {source} b ON a.tenant_id = b.tenant_id AND a.source_id = b.source_id AND a.{pos} <= b.{pos}
-    GROUP BY ALL"""
+def _walk(name: str, source: str, pos: str, x: str, means: dict[str, str], m: str, v: str) -> str:
+    """The recurrence row by row: means of `x` and of `means`' values, the variance of `x`, and all before the row."""
+    a, b = f"{A}::DOUBLE", f"{1 - A}::DOUBLE"
+    every = {m: x} | means
+    first = ", ".join(f"{a} * {c} + {b} * 0 AS {o}, 0::DOUBLE AS prev_{o}" for o, c in every.items())
+    then = ", ".join(f"{a} * p.{c} + {b} * w.{o}, w.{o}" for o, c in every.items())
+    return f"""SELECT tenant_id, source_id, {pos}, {first}, {a} * ({x} * {x}) + {b} * 0 AS {v}, 0::DOUBLE AS prev_{v}
+      FROM {source} WHERE {pos} = 0
+    UNION ALL SELECT p.tenant_id, p.source_id, p.{pos}, {then}, {a} * ((p.{x} - w.{m}) * (p.{x} - w.{m})) + {b} * w.{v}, w.{v}
+      FROM {name} w JOIN {source} p ON p.tenant_id = w.tenant_id AND p.source_id = w.source_id AND p.{pos} = w.{pos} + 1"""
 
 
 _K = "PARTITION BY tenant_id, source_id"
@@ -58,36 +64,22 @@ CTES["obs"] = f"""SELECT tenant_id, source_id, unit, make_timestamp(unit + {H})
     FROM entries GROUP BY tenant_id, source_id, unit"""
 
 CTES["placed"] = f"SELECT *, row_number() OVER ({_K} ORDER BY unit) - 1 AS pos FROM obs"
-CTES["means"] = _smooth("means", "placed", "error_rate", "pos", "m")
-CTES["steps"] = f"""SELECT p.*, m, lag(m, 1, 0.0) OVER ({_K} ORDER BY pos) AS prev_m,
-    pow(error_rate - lag(m, 1, 0.0) OVER ({_K} ORDER BY pos), 2) AS d2
-    FROM placed p JOIN means USING (tenant_id, source_id, pos)"""
-CTES["variances"] = _smooth("variances", "steps", "d2", "pos", "v")
-CTES["volumes"] = _smooth("volumes", "placed", "n", "pos", "vol")
-CTES["smoothed"] = f"""SELECT s.*, v, lag(v, 1, 0.0) OVER ({_K} ORDER BY pos) AS prev_v, vol,
-    lag(vol, 1, 0.0) OVER ({_K} ORDER BY pos) AS prev_vol, lag(max_ts) OVER ({_K} ORDER BY pos) AS prev_max_ts,
-    pos + 1 AS warm, pos + 1 >= {P.warmup_required} AS ready
-    FROM steps s JOIN variances USING (tenant_id, source_id, pos) JOIN volumes USING (tenant_id, source_id, pos)"""
-CTES["judged"] = f"""SELECT *, prev_m + {P.warn_k} * sqrt(prev_v) AS bound,
-    ready AND round(error_rate, 9) > round(prev_m + {P.warn_k} * sqrt(prev_v), 9) AS is_spike,
-    round(error_rate, 9) > round(prev_m + {P.crit_k} * sqrt(prev_v), 9) AS is_critical,
-    ready AND round(error_rate, 9) > round(m, 9) AS is_up FROM smoothed"""
+CTES["walk"] = _walk("walk", "placed", "pos", "error_rate", {"vol": "n"}, "m", "v")
+CTES["judged"] = f"""SELECT *, prev_m + {P.warn_k}::DOUBLE * sqrt(prev_v) AS bound,
+    ready AND error_rate > prev_m + {P.warn_k}::DOUBLE * sqrt(prev_v) AS is_spike,
+    error_rate > prev_m + {P.crit_k}::DOUBLE * sqrt(prev_v) AS is_critical, ready AND error_rate > m AS is_up
+    FROM (SELECT p.*, m, prev_m, v, prev_v, vol, prev_vol, lag(max_ts) OVER ({_K} ORDER BY pos) AS prev_max_ts,
+      pos + 1 AS warm, pos + 1 >= {P.warmup_required} AS ready FROM placed p JOIN walk USING (tenant_id, source_id, pos))"""
 CTES["base"] = f"""SELECT *, ready AND NOT is_spike AND
     coalesce(lag(ready AND NOT is_spike) OVER ({_K} ORDER BY pos), false) AS pops FROM judged"""
 
 CTES["lat_placed"] = f"SELECT *, row_number() OVER ({_K} ORDER BY pos) - 1 AS lat_pos FROM base WHERE n_lat > 0"
-CTES["lat_means"] = _smooth("lat_means", "lat_placed", "lat_mean", "lat_pos", "lm")
-CTES["lat_steps"] = f"""SELECT p.*, lm, lag(lm, 1, 0.0) OVER ({_K} ORDER BY lat_pos) AS prev_lm,
-    pow(lat_mean - lag(lm, 1, 0.0) OVER ({_K} ORDER BY lat_pos), 2) AS ld2
-    FROM lat_placed p JOIN lat_means USING (tenant_id, source_id, lat_pos)"""
-CTES["lat_variances"] = _smooth("lat_variances", "lat_steps", "ld2", "lat_pos", "lv")
+CTES["lat_walk"] = _walk("lat_walk", "lat_placed", "lat_pos", "lat_mean", {}, "lm", "lv")
 CTES["lat_judged"] = f"""SELECT *, ready AND lat_pos + 1 >= {P.warmup_required} AS lat_ready,
-    prev_lm + {P.warn_k} * sqrt(prev_lv) AS lat_bound,
-    ready AND lat_pos + 1 >= {P.warmup_required}
-      AND round(lat_mean, 9) > round(prev_lm + {P.warn_k} * sqrt(prev_lv), 9) AS lat_spike,
-    round(lat_mean, 9) > round(prev_lm + {P.crit_k} * sqrt(prev_lv), 9) AS lat_critical
-    FROM (SELECT s.*, lv, lag(lv, 1, 0.0) OVER ({_K} ORDER BY lat_pos) AS prev_lv
-          FROM lat_steps s JOIN lat_variances USING (tenant_id, source_id, lat_pos))"""
+    prev_lm + {P.warn_k}::DOUBLE * sqrt(prev_lv) AS lat_bound,
+    ready AND lat_pos + 1 >= {P.warmup_required} AND lat_mean > prev_lm + {P.warn_k}::DOUBLE * sqrt(prev_lv) AS lat_spike,
+    lat_mean > prev_lm + {P.crit_k}::DOUBLE * sqrt(prev_lv) AS lat_critical
+    FROM lat_placed JOIN lat_walk USING (tenant_id, source_id, lat_pos)"""
 CTES["lat_base"] = f"""SELECT *, lat_ready AND NOT lat_spike AND
     coalesce(lag(lat_ready AND NOT lat_spike) OVER ({_K} ORDER BY lat_pos), false) AS lat_pops FROM lat_judged"""
 
@@ -190,6 +182,42 @@ CTES["alerts"] = f"""SELECT *, CASE WHEN resolved_at IS NULL THEN 'open' ELSE 'r
       CASE WHEN anomaly_type = 'SERVICE_SILENCE' THEN detected_at ELSE r.resolved_at END AS resolved_at
      FROM detections d LEFT JOIN resolved r USING (tenant_id, source_id, anomaly_type, pos))"""
 
+# -- requests inside a run
+
+CTES["run_acks"] = """SELECT tenant_id, source_id, anomaly_type, pos, id,
+    detected_at + CASE WHEN id < '3' THEN INTERVAL 60 MINUTE ELSE INTERVAL 30 MINUTE END AS acked_at
+    FROM alerts WHERE id < '6' AND anomaly_type <> 'CASCADE'"""
+CTES["ack_ops"] = """SELECT o.*, acked_at, row_number() OVER (
+      PARTITION BY o.tenant_id, o.source_id, o.anomaly_type ORDER BY o.pos) AS k
+    FROM ops o LEFT JOIN run_acks r ON o.op = 1 AND r.tenant_id = o.tenant_id AND r.source_id = o.source_id
+      AND r.anomaly_type = o.anomaly_type AND r.pos = o.pos"""
+CTES["ack_walk"] = """SELECT DISTINCT tenant_id, source_id, anomaly_type, 0::BIGINT AS k,
+      CAST([] AS STRUCT(pos BIGINT, acked_at TIMESTAMP)[]) AS stack, NULL::BIGINT AS found, NULL::TIMESTAMP AS popped_at FROM ops
+    UNION ALL SELECT tenant_id, source_id, anomaly_type, k, CASE WHEN op = 1
+        THEN list_append(live, struct_pack(pos := CAST(pos AS BIGINT), acked_at := CAST(acked_at AS TIMESTAMP))) ELSE live[1:len(live) - 1] END,
+      CASE WHEN op = -1 THEN live[-1].pos END, op_at
+    FROM (SELECT o.tenant_id, o.source_id, o.anomaly_type, o.k, o.op, o.pos, o.acked_at, CAST(o.at AS TIMESTAMP) AS op_at,
+        list_filter(w.stack, lambda s: s.acked_at IS NULL OR s.acked_at > CAST(o.at AS TIMESTAMP)) AS live
+      FROM ack_walk w JOIN ack_ops o ON o.tenant_id = w.tenant_id AND o.source_id = w.source_id
+        AND o.anomaly_type = w.anomaly_type AND o.k = w.k + 1)"""
+CTES["ack_resolved"] = """SELECT tenant_id, source_id, anomaly_type, found AS pos, popped_at AS resolved_at FROM ack_walk
+    WHERE found IS NOT NULL"""
+CTES["ack_known_spikes"] = f"""SELECT s.*, resolved_at, acked_at, {ALERT_ID} AS id
+    FROM spikes s LEFT JOIN ack_resolved USING (tenant_id, source_id, anomaly_type, pos)
+    LEFT JOIN (SELECT tenant_id, source_id, anomaly_type, pos, acked_at FROM run_acks) USING (tenant_id, source_id, anomaly_type, pos)"""
+_ACK_CHAIN = ["known_spikes", "crowds", "counts", "candidates", "fired", "triggers", "trigger_facts", "cascades"]
+for _name in _ACK_CHAIN[1:]:
+    CTES[f"ack_{_name}"] = re.sub(rf"\b(FROM|JOIN) ({'|'.join(_ACK_CHAIN)})\b", r"\1 ack_\2", CTES[_name])
+CTES["ack_crowds"] += " AND (p.acked_at IS NULL OR p.acked_at > s.detected_at)"
+CTES["ack_alerts"] = f"""SELECT a.id, a.source_id, a.anomaly_type, severity, detected_at, resolved_at,
+    CASE WHEN resolved_at IS NULL THEN acked_at END AS acknowledged_at,
+    CASE WHEN resolved_at IS NOT NULL THEN 'resolved' WHEN acked_at IS NOT NULL THEN 'acknowledged' ELSE 'open' END AS status
+    FROM (SELECT d.*, {ALERT_ID} AS id,
+        CASE WHEN d.anomaly_type = 'SERVICE_SILENCE' THEN d.detected_at ELSE k.resolved_at END AS resolved_at
+      FROM (SELECT * FROM detections WHERE anomaly_type <> 'CASCADE' UNION ALL BY NAME SELECT * FROM ack_cascades) d
+      LEFT JOIN ack_resolved k USING (tenant_id, source_id, anomaly_type, pos)) a
+    LEFT JOIN run_acks r ON r.id = a.id"""
+
 # -- registry and logs
 
 CTES["tenants"] = """SELECT 't-' || n_nationkey AS id, CASE WHEN n_nationkey % 9 = 8 THEN ' ' ELSE n_name END AS name,
@@ -319,7 +347,7 @@ CTES["judged_pushes"] = """SELECT p.*, k.id AS api_key_id, k.tenant_id, coalesce
     FROM pushes p LEFT JOIN keys k USING (key_hash)"""
 
 
-_RECURSIVE = ("kept_patterns", "fired", "kept_visits")
+_RECURSIVE = ("walk", "lat_walk", "kept_patterns", "fired", "kept_visits", "ack_walk", "ack_fired")
 
 
 def with_ctes(select: str) -> str:

@@ -36,6 +36,19 @@ ALERT = _table(
     ("auto_resolved", _B), ("created_at", _TS),
 )
 
+# Tables of a stream: parts of windows, closings, silences, and how far the micro-batches came (microseconds).
+WINDOW_PART = _table(
+    ("tenant_id", _S), ("source_id", _S), ("unit", _L), ("fp", _S), ("message", _S), ("service_name", _S),
+    ("environment", _S), ("n", _L), ("n_lat", _L), ("lat_sum", _D), ("min_ts", _TS), ("max_ts", _TS),
+    ("arrived_at", _TS), ("first_ts", _TS), ("first_seq", _L), ("late", _B),
+)
+
+CLOSING = _table(("id", _S), ("resolved_at", _TS))
+
+SILENCE = _table(("tenant_id", _S), ("source_id", _S), ("last_log_at", _TS), ("due_at", _TS))
+
+PROGRESS = _table(("newest", _L), ("watermark", _L), ("judged", _L), ("kept", _L))
+
 TENANT = _table(
     ("id", _S), ("name", _S), ("plan", _S), ("contact_email", _S), ("max_sources", _I),
     ("retention_days", _I), ("log_retention_days", _I), ("active", _B), ("created_at", _TS),

@@ -16,10 +16,6 @@ def fp_of(message):
     return hashlib.sha256(re.sub(r"\d+", "N", message.lower().strip()).encode()).hexdigest()[:16]
 
 
-def gt(a, b):
-    return round(a, 9) > round(b, 9)
-
-
 @dataclass
 class Source:
     m: float = 0.0
@@ -76,16 +72,16 @@ class Model:
         if s.n < p.warmup_required:
             return
         bound = pm + p.warn_k * math.sqrt(pv)
-        if gt(x, bound):
+        if x > bound:
             s.clean = 0
-            sev = "CRITICAL" if gt(x, pm + p.crit_k * math.sqrt(pv)) else "WARNING"
+            sev = "CRITICAL" if x > pm + p.crit_k * math.sqrt(pv) else "WARNING"
             self.emit(key, now, "ERROR_RATE_SPIKE", sev, x, s.m, bound, service)
             self.cascade(key, now)
         else:
             s.clean += 1
             if s.clean >= 2:
                 self.resolve(key, "ERROR_RATE_SPIKE", now)
-        if not gt(x, s.m):
+        if not x > s.m:
             s.since = s.fired = None
             self.resolve(key, "SUSTAINED_ELEVATION", now)
         elif s.since is None:
@@ -100,9 +96,9 @@ class Model:
                 self.emit(key, now, "SUSTAINED_ELEVATION", "WARNING", x, s.m, s.m, "unknown")
         if lats and s.ln >= p.warmup_required:
             lb = plm + p.warn_k * math.sqrt(plv)
-            if gt(y, lb):
+            if y > lb:
                 s.lclean = 0
-                sev = "CRITICAL" if gt(y, plm + p.crit_k * math.sqrt(plv)) else "WARNING"
+                sev = "CRITICAL" if y > plm + p.crit_k * math.sqrt(plv) else "WARNING"
                 self.emit(key, now, "LATENCY_SPIKE", sev, y, s.lm, lb, service)
             else:
                 s.lclean += 1

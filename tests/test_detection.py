@@ -92,12 +92,9 @@ PARAMS = DetectorParams(silence_s=300, novel_ttl_s=3600)
 
 @pytest.mark.parametrize("seed,block", [(1, None), (2, 16)])
 def test_pipeline_equals_sequential_model(spark, monkeypatch, seed, block):
-    import pulsegrid.operators.baseline as baseline
-
-    if block:  # force many blocks, cells and the chunked cooldown
-        monkeypatch.setattr(baseline, "_BLOCK_DIGITS", 23)
+    if block:  # force many blocks and cells
+        monkeypatch.setattr(DetectorParams, "cell_s", property(lambda p: 60 * block))
         monkeypatch.setattr(ordered, "BLOCK_ROWS", block)
-        monkeypatch.setattr(ordered.cooldown, "__defaults__", (None, 3))
     rows = random_entries(seed)
     got = facts_of_alerts(Detection(frame(spark, rows), PARAMS).alerts)
     want = sorted(facts_of_model(run_model(rows, PARAMS)), key=lambda t: tuple(str(x) for x in t))
@@ -123,19 +120,55 @@ def test_two_runs_with_state_equal_one(spark):
     assert payloads and all(json.loads(r[0])["resolution"]["auto_resolved"] for r in payloads)
 
 
-def test_smoothing_forgets_nothing(spark):
-    """One huge latency shows in every later window, also far into the next blocks."""
+def test_smoothing_is_the_recurrence(spark, monkeypatch):
+    """To the last bit, over cells of any size, with a huge latency and a steady end."""
     from pulsegrid.operators import baseline
 
-    lat = [50.0 + k % 3 for k in range(1400)]
-    lat[1143] = 1e13
-    d = Detection(frame(spark, [(60.0 * k, "INFO", "m", "s", "t", "svc", x) for k, x in enumerate(lat)]), DetectorParams())
-    got = [(r.lm, r.lv) for r in baseline.latency_baseline(d.base, d.params).orderBy("lat_pos").collect()]
-    m = v = 0.0
-    for x, (gm, gv) in zip(lat, got):
-        m, v = 0.3 * x + 0.7 * m, 0.3 * (x - m) ** 2 + 0.7 * v
-        assert (gm, gv) == (pytest.approx(m, rel=1e-9), pytest.approx(v, rel=1e-6))
-    assert len(got) == 1400
+    monkeypatch.setattr(DetectorParams, "cell_s", property(lambda p: 60 * 100))
+    lat = [50.0 + k % 3 for k in range(1000)] + [20.1] * 400
+    lat[743] = 1e13
+    for alpha in (0.3, 0.9, 0.001, 1.0):
+        d = Detection(frame(spark, [(60.0 * k, "INFO", "m", "s", "t", "svc", x) for k, x in enumerate(lat)]),
+                      DetectorParams(alpha=alpha))
+        rows = baseline.latency_baseline(d.base, d.params).orderBy("lat_pos").collect()
+        m = v = 0.0
+        for k, (x, r) in enumerate(zip(lat, rows)):
+            assert (r.lat_pos, r.prev_lm, r.prev_lv) == (k, m, v)
+            m, v = alpha * x + (1 - alpha) * m, alpha * ((x - m) * (x - m)) + (1 - alpha) * v
+            assert (r.lm, r.lv) == (m, v)
+        assert len(rows) == 1400
+
+
+def test_steady_rate_stays_above_its_mean(spark):
+    """A rate that never falls keeps its elevation open: the mean comes near from below and does not reach it."""
+    rows = [(60.0 * k + i, "ERROR" if i < 2 else "INFO", "m", "s", "t", "svc", None) for k in range(200) for i in range(10)]
+    d = Detection(frame(spark, rows), DetectorParams())
+    m = 0.0
+    ups = []
+    for _ in range(200):
+        m = 0.3 * 0.2 + (1 - 0.3) * m
+        ups.append(0.2 > m)
+    got = d.base.orderBy("pos").collect()
+    assert [r.is_up for r in got] == [u and k >= 9 for k, u in enumerate(ups)]
+    sustained = d.alerts.filter("anomaly_type = 'SUSTAINED_ELEVATION'").collect()
+    assert [r.status for r in sustained] == ["open" if all(ups[9:]) else "resolved"] * 2
+
+
+def test_run_resumes_within_an_elevation(spark):
+    """Cut at any window, two runs give the alerts of one: clean rows are counted on, an elevation goes on."""
+    bad = [0.05] * 15 + [0.9, 0.05, 0.05, 0.9, 0.9] + [0.6 + 0.01 * k for k in range(25)] + [0.0, 0.0, 0.0]
+    rows = [(60.0 * k + i / 2, "ERROR" if i < round(100 * rate) else "INFO", "boom", "s", "t", "svc", 50.0 + 100 * (k % 9 == 4))
+            for k, rate in enumerate(bad) for i in range(100)]
+    whole = facts_of_alerts(Detection(frame(spark, rows), DetectorParams()).alerts)
+    assert {"SUSTAINED_ELEVATION", "ERROR_RATE_SPIKE", "LATENCY_SPIKE"} <= {r[0] for r in whole}
+    for cut in (17, 31, 40, 46):
+        first = Detection(frame(spark, [r for r in rows if r[0] < 60 * cut]), DetectorParams())
+        early = first.alerts.cache()
+        second = Detection(
+            frame(spark, [r for r in rows if r[0] >= 60 * cut]), DetectorParams(), state=first.next_state,
+            open_alerts=early.filter("status = 'open'"), patterns=first.next_patterns)
+        both = early.filter("status <> 'open'").unionByName(second.earlier_alerts).unionByName(second.alerts)
+        assert facts_of_alerts(both) == whole, cut
 
 
 BATCHES = replace(DetectorParams(), batch_col="batch_id")

@@ -52,19 +52,45 @@ def test_stack_matches(spark, monkeypatch, seed):
     assert {tuple(r) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("fold_limit", [10_000, 4])
-def test_cooldown(spark, fold_limit):
-    rows = [(k, t * 3000) for k, t, _ in series(2, 500)]
-    seed = {"hot": 100_000, "k1": 10**7}
+@pytest.mark.parametrize("seed", range(3))
+def test_stack_matches_with_removals(spark, monkeypatch, seed):
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 5)
+    rng = random.Random(seed)
+    rows, want = [], set()
+    for key in ("a", "b", "c"):
+        stack = []
+        for pos in range(300):
+            op = rng.choice([1, 1, -1, -1, 0])
+            if op == 0:
+                continue
+            gone = pos * 10 + rng.randrange(-5, 200) if op == 1 and rng.random() < 0.5 else None
+            rows.append((key, pos, op, pos * 10, gone))
+            if op == 1:
+                stack.append((pos, gone))
+                continue
+            stack = [(p, g) for p, g in stack if g is None or g > pos * 10]
+            if stack:
+                want.add((key, stack.pop()[0], pos * 10))
+    df = spark.createDataFrame(rows, "k string, pos bigint, op int, s bigint, g bigint").select(
+        "k", "pos", "op", F.timestamp_seconds("s").alias("at"), F.timestamp_seconds("g").alias("gone_at"))
+    got = ordered.stack_matches_with_removals(df, ["k"]).select("k", "push_pos", F.unix_seconds("pop_at"))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("spread", [3000, 40, 1])
+def test_cooldown(spark, spread):
+    rows = [(k, t * spread) for k, t, _ in series(2, 500)]
+    seed = {"hot": 100_000, "k1": 10**7} if spread > 1 else {}
     df = spark.createDataFrame(rows, "k string, s bigint").withColumn("ts", F.timestamp_seconds("s"))
     last = spark.createDataFrame(list(seed.items()), "k string, s bigint").select(
         "k", F.timestamp_seconds("s").alias("last_at"))
-    got = ordered.cooldown(df, ["k"], "ts", 40_000, last, fold_limit=fold_limit)
+    gap = {3000: 40_000, 40: 40_000, 1: 7}[spread]
+    got = ordered.cooldown(df, ["k"], "ts", gap, last)
     want = set()
     for key in {k for k, _ in rows}:
         kept = seed.get(key)
         for t in sorted({t for k, t in rows if k == key}):
-            if kept is None or t - kept >= 40_000:
+            if kept is None or t - kept >= gap:
                 kept = t
                 want.add((key, t))
     assert {tuple(r) for r in got.select("k", F.unix_seconds("ts")).collect()} == want
@@ -91,11 +117,3 @@ def test_nearest_rank(spark):
     total = nearest_rank(df, [], "v", {"p95": 0.95}, 10).collect()[0]
     flat = sorted(v for vs in values.values() for v in vs)
     assert (total.n, total.p95) == (len(flat), flat[int(len(flat) * 0.95)])
-
-
-def test_halo_blocks_cover_each_row_once(spark):
-    df = spark.range(1000).select(F.lit("k").alias("k"), F.col("id").alias("pos"))
-    out = ordered.halo_blocks(df, "pos", F.lit(100), F.lit(30))
-    assert out.filter("is_main").count() == 1000
-    block = out.filter("blk = 3").agg(F.min("pos"), F.max("pos"), F.max("origin")).collect()[0]
-    assert tuple(block) == (270, 399, 270)

@@ -113,10 +113,11 @@ def test_signature_equals_hmac(spark, secret):
 
 def test_cursors(spark):
     at = datetime(2026, 1, 1, 12, 0, 0, 250000)
-    assert text.decode_cursor(text.encode_cursor(at, "id-1")) == (at, "id-1")
+    zoned = at.replace(tzinfo=timezone.utc)  # a time without zone is taken as UTC
+    assert text.decode_cursor(text.encode_cursor(at, "id-1")) == (zoned, "id-1")
     assert text.decode_cursor("garbage") is None and text.decode_cursor(None) is None
-    row = spark.range(1).select(text.cursor_column(F.lit(at.replace(tzinfo=timezone.utc)), F.lit("id-1")).alias("c")).collect()[0]
-    assert text.decode_cursor(row.c) == (at, "id-1")
+    row = spark.range(1).select(text.cursor_column(F.lit(zoned), F.lit("id-1")).alias("c")).collect()[0]
+    assert text.decode_cursor(row.c) == (zoned, "id-1")
 
 
 def test_client_ip_and_hour_label(spark):
@@ -150,8 +151,9 @@ def test_push_validation(spark):
         10: ([entry()] * 500, None), 11: ([entry(message="")], "MESSAGE_EMPTY"),
     }
     df = spark.createDataFrame([(i, "h", NOW, e) for i, (e, _) in cases.items()], PUSHED_BATCH)
-    got = {r.batch_id: r.problem for r in ingest.validate_batches(df).collect()}
+    got = {r.batch_id: r.problem for r in ingest.validate_batches(df, max_entries=500).collect()}
     assert got == {i: p for i, (_, p) in cases.items()}
+    assert {r.problem for r in ingest.validate_batches(df.filter("batch_id = 9")).collect()} == {None}  # no limit of its own
 
 
 def test_push_attribution_and_entries(spark):

@@ -10,28 +10,69 @@ from pyspark.sql import functions as F
 from test_detection import ENTRY, PARAMS, at, facts_of_alerts, frame, random_entries
 
 
-def run(spark, folder, root, checkpoint, **kw):
+def deliver(spark, rows, cuts, folder):
+    """One file per stretch of `rows` between cuts; `seq` is the place among all rows."""
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        part = [(n, r) for n, r in enumerate(rows) if a <= r[0] < b]
+        made = frame(spark, [r for _, r in part]).withColumn("seq", F.col("seq") + part[0][0])
+        made.coalesce(1).write.parquet(f"{folder}/in-{i}")
+    return f"{folder}/in-*"
+
+
+def run(spark, folder, root, checkpoint, params=PARAMS, **kw):
     entries = spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", 1).parquet(folder)
-    q = engine.start(entries, root, checkpoint, PARAMS, delay="0 seconds", trigger={"availableNow": True}, **kw)
+    q = engine.start(entries, root, checkpoint, params, delay="0 seconds", trigger={"availableNow": True}, **kw)
     q.awaitTermination()
     assert q.exception() is None
 
 
-def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
+def test_stream_equals_batch(spark, tmp_path):
     rows = random_entries(3, minutes=150)
-    cuts = [0, 60 * 60, 61 * 60, 10**9]
-    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        part = [(n, r) for n, r in enumerate(rows) if a <= r[0] < b]
-        frame(spark, [r for _, r in part]).withColumn("seq", F.col("seq") + part[0][0]).coalesce(1).write.parquet(
-            f"{tmp_path}/in-{i}")
-    src = f"{tmp_path}/in-*"
+    src = deliver(spark, rows, [0, 60 * 60, 61 * 60, 10**9], tmp_path)
     run(spark, src, f"{tmp_path}/out", f"{tmp_path}/cp")
-    # Windows newer than the watermark stay open: compare closed ones only.
+    # The windows newer than the watermark are judged when the run is closed.
     end = int(max(r[0] for r in rows) // 60) * 60
-    want = Detection(frame(spark, [r for r in rows if r[0] < end]), PARAMS).alerts
+    got = engine.stored_alerts(spark, f"{tmp_path}/out")
+    assert facts_of_alerts(got) == facts_of_alerts(Detection(frame(spark, [r for r in rows if r[0] < end]), PARAMS).alerts)
+    engine.Run(spark, f"{tmp_path}/out", PARAMS).close()
+    want = Detection(frame(spark, rows), PARAMS).alerts
     got = engine.stored_alerts(spark, f"{tmp_path}/out")
     assert facts_of_alerts(got) == facts_of_alerts(want)
-    assert {r.id for r in got.collect()} == {r.id for r in want.collect()}
+    assert {(r.id, r.representative_msgs) for r in got.collect()} == {(r.id, r.representative_msgs) for r in want.collect()}
+    assert engine.late_windows(spark, f"{tmp_path}/out").count() == 0
+
+
+def windows_of(rows):
+    cols = ["tenant_id", "source_id", "unit", "fp", "message", "service_name", "n", "n_lat", "first_seq", "min_ts", "max_ts"]
+    return sorted((tuple(r) for r in rows.select(*cols, F.round("lat_sum", 6)).collect()), key=str)
+
+
+def test_late_entries_reach_their_windows(spark, tmp_path):
+    from pulsegrid.operators import observe
+
+    rows = random_entries(4, minutes=60, sources=3)
+    whole = frame(spark, rows)
+    early = (F.unix_seconds("occurred_at") < F.lit(at(1800).timestamp())) & (F.col("seq") % 5 != 2)
+    whole.filter(early).coalesce(1).write.parquet(f"{tmp_path}/in-0")
+    whole.filter(~early).coalesce(1).write.parquet(f"{tmp_path}/in-1")
+    run(spark, f"{tmp_path}/in-*", f"{tmp_path}/out", f"{tmp_path}/cp")
+    got = engine.stored_windows(spark, f"{tmp_path}/out")
+    assert windows_of(got) == windows_of(observe.window_rows(whole, PARAMS))
+    late = engine.late_windows(spark, f"{tmp_path}/out").agg(F.sum("n")).collect()[0][0]
+    judged = int(max(r[0] for n, r in enumerate(rows) if r[0] < 1800 and n % 5 != 2) // 60) * 60
+    assert late == sum(r[0] < judged and n % 5 == 2 for n, r in enumerate(rows)) > 0
+
+
+def test_silence_is_reported_when_due(spark, tmp_path):
+    entry = lambda t, source: (t, "INFO", "m", source, "t", "svc", None)
+    rows = [entry(60.0 * m, "steady") for m in range(40)]
+    rows += [entry(60.0 * m + 1, "gap") for m in (0, 1, 2, 14, 15, 39)] + [entry(60.0 * m + 2, "gone") for m in range(5)]
+    rows.sort()
+    src = deliver(spark, rows, [0, 300, 600, 1200, 10**9], tmp_path)
+    run(spark, src, f"{tmp_path}/out", f"{tmp_path}/cp")
+    seconds = lambda t: F.unix_seconds(t) - int(at(0).timestamp())
+    got = engine.stored_silences(spark, f"{tmp_path}/out").select("source_id", seconds("last_log_at"), seconds("due_at"))
+    assert sorted(map(tuple, got.collect())) == [("gap", 121, 421), ("gap", 901, 1201), ("gone", 242, 542)]
 
 
 def read_all(reader, start, end):
@@ -101,23 +142,49 @@ def test_tail_stream_resumes_without_rereading(spark, tmp_path):
 
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     rows = random_entries(3, minutes=80)
-    frame(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/in")
-    from pulsegrid.streaming.processor import EVENTS
-
-    d = Detection(frame(spark, rows), PARAMS)
-    opened = d.resolved_spikes.withColumn("kind", F.lit("opened")).withColumn("messages", F.array(F.lit("m")))
-    events = opened.select(*[F.col(f.name).cast(f.dataType) if f.name in opened.columns
-                             else F.lit(None).cast(f.dataType).alias(f.name) for f in EVENTS])
-    tables = engine.AlertTables(f"{tmp_path}/out")
-    for _ in range(2):
-        engine.write_batch(events, 0, tables, PARAMS)
-    got = engine.stored_alerts(spark, f"{tmp_path}/out")
-    assert got.count() == got.select("id").distinct().count() > 0
-
-
-def test_late_entries(spark):
-    df = spark.createDataFrame([(at(0), at(30)), (at(0), at(90))], "occurred_at timestamp, ingest_ts timestamp")
-    assert engine.late_entries(df, "ingest_ts", 60).count() == 1
+    parts = [frame(spark, [r for r in rows if a <= r[0] < b]) for a, b in ((0, 2400), (2400, 10**9))]
+    job = engine.Run(spark, f"{tmp_path}/out", PARAMS, "0 seconds")
+    seen = []
+    for batch, part in ((0, parts[0]), (1, parts[1]), (1, parts[1])):
+        job.add(part, batch)
+        seen.append(sorted(map(str, engine.stored_alerts(spark, f"{tmp_path}/out").collect())))
+    assert len(seen[0]) < len(seen[1]) and seen[1] == seen[2]
+    # A micro-batch that did not finish is not read.
+    job.tables.drop("progress", 1)
+    assert sorted(map(str, engine.stored_alerts(spark, f"{tmp_path}/out").collect())) == seen[0]
+    job.add(parts[1], 1)
+    assert sorted(map(str, engine.stored_alerts(spark, f"{tmp_path}/out").collect())) == seen[1]
+    job.add(parts[1].limit(0), 2)  # nothing new
+    assert sorted(map(str, engine.stored_alerts(spark, f"{tmp_path}/out").collect())) == seen[1]
+
+
+def test_acknowledged_alert_is_not_resolved(spark, tmp_path):
+    """Two open spikes, the newer acknowledged between micro-batches: clean windows resolve the older."""
+    minute = lambda m, bad: [(60.0 * m + i, "ERROR" if i < bad else "INFO", "boom", "s", "t", "svc", None) for i in range(10)]
+    rows = [r for m in range(12) for r in minute(m, 0)] + minute(12, 3) + minute(13, 9) + minute(14, 0)
+    more = [r for m in range(15, 20) for r in minute(m, 0)]
+    root, params = f"{tmp_path}/out", DetectorParams(warmup_required=1)
+    asked = []
+    requests = lambda: spark.createDataFrame(asked, "tenant_id string, alert_id string, user_id string, acked_at timestamp")
+    job = engine.Run(spark, root, params, "0 seconds", acks=requests)
+    job.add(frame(spark, rows), 0)
+    spikes = engine.stored_alerts(spark, root).filter("anomaly_type = 'ERROR_RATE_SPIKE'").orderBy("detected_at").collect()
+    assert [r.status for r in spikes] == ["open", "open"]
+    asked.append(("t", spikes[1].id, "u", at(14.5 * 60)))
+    job.add(frame(spark, more), 1)
+    now = {r.id: r.status for r in engine.stored_alerts(spark, root, requests()).collect()}
+    assert [now[r.id] for r in spikes] == ["resolved", "acknowledged"]
+
+
+def test_any_number_of_patterns_is_stored(spark, tmp_path):
+    """Every pattern alerts once, and again after a day."""
+    letters = [f"boom {'abcdefghijklmnopqrstuvwxyz'[i % 26]} {'abcdefghijklmnopqrstuvwxyz'[i // 26 % 26]} {'xyz'[i // 676]}" for i in range(1205)]
+    job = engine.Run(spark, f"{tmp_path}/out", DetectorParams(warmup_required=1), "0 seconds")
+    seen = []
+    for batch, minute in enumerate((0, 1, 1441, 1442, 1443)):
+        job.add(frame(spark, [(60.0 * minute, "ERROR", m, "s", "t", "svc", None) for m in letters]), batch)
+        seen.append(engine.stored_alerts(spark, f"{tmp_path}/out").filter("anomaly_type = 'NOVEL_ERROR'").count())
+    assert seen == [0, 1205, 1205, 2410, 2410]
 
 
 def test_landing_folder(spark, tmp_path):
@@ -128,85 +195,3 @@ def test_landing_folder(spark, tmp_path):
     row = landing.pushed_files(spark, str(tmp_path)).collect()[0]
     assert row.entries[0].message == "m" and row.entries[0].metadata == {"a": "b"}
     assert landing.pushed_stream(spark, str(tmp_path)).isStreaming
-
-
-class FakeState(dict):
-    """Just enough of value and map state to drive the processor without a stream."""
-
-    def get(self):
-        return dict.get(self, "v")
-
-    def update(self, value):
-        self["v"] = value
-
-    def updateValue(self, key, value):
-        self[key] = value
-
-    def containsKey(self, key):
-        return key in self
-
-    def removeKey(self, key):
-        del self[key]
-
-    def iterator(self):
-        return iter(list(self.items()))
-
-
-class FakeHandle:
-    def getValueState(self, name, schema):
-        return FakeState()
-
-    def getMapState(self, name, key, value):
-        return FakeState()
-
-
-def drive(processor, windows, acks=()):
-    """windows: (minute, errors, others); acks: (minute, alert_id)."""
-    import pandas as pd
-
-    rows = []
-    for minute, bad, good in windows:
-        unit = minute * 60_000_000
-        common = {"unit": unit, "service_name": "svc", "environment": "p", "n_lat": 0, "lat_sum": 0.0, "min_ts": unit + 1,
-                  "max_ts": unit + 50_000_000, "first_ts": unit + 1, "alert_id": None, "acked_at": None}
-        if bad:
-            rows.append(common | {"fp": "f", "message": "m", "n": bad, "first_seq": minute * 2})
-        if good:
-            rows.append(common | {"fp": None, "message": None, "n": good, "first_seq": minute * 2 + 1})
-    rows += [{"alert_id": i, "acked_at": m * 60_000_000} for m, i in acks]
-    return pd.concat(processor.handleInputRows(("t", "s"), iter([pd.DataFrame(rows)]), None))
-
-
-def test_acknowledged_alert_is_not_resolved():
-    from pulsegrid.streaming.processor import SourceDetector
-
-    processor = SourceDetector(DetectorParams(warmup_required=1))
-    processor.init(FakeHandle())
-    drive(processor, [(m, 0, 10) for m in range(12)])
-    out = drive(processor, [(12, 3, 7), (13, 9, 1)])
-    spikes = list(out[out.anomaly_type == "ERROR_RATE_SPIKE"]["id"])
-    assert len(spikes) == 2
-    out = drive(processor, [(15, 0, 10), (16, 0, 10), (17, 0, 10)], acks=[(14.5, spikes[1])])
-    closed = out[(out.kind == "closed") & (out.anomaly_type == "ERROR_RATE_SPIKE")]
-    assert list(closed["id"]) == [spikes[0]]
-
-
-def test_any_number_of_patterns_is_stored():
-    import pandas as pd
-
-    from pulsegrid.streaming.processor import SourceDetector
-
-    processor = SourceDetector(DetectorParams(warmup_required=1))
-    processor.init(FakeHandle())
-    n = 1205
-
-    def window(minute):
-        unit = minute * 60_000_000
-        frame = pd.DataFrame({"fp": [f"f{i}" for i in range(n)], "message": "m", "n": 1, "n_lat": 0, "lat_sum": 0.0,
-                              "min_ts": unit, "max_ts": unit, "first_ts": unit, "first_seq": range(n), "unit": unit,
-                              "service_name": "svc", "environment": "p"})
-        out = pd.concat(processor.handleInputRows(("t", "s"), iter([frame]), None))
-        return int((out.anomaly_type == "NOVEL_ERROR").sum())
-
-    # Every pattern alerts once, and again after a day.
-    assert [window(0), window(1), window(1441), window(1442)] == [n, 0, n, 0]
