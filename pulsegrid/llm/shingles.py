@@ -29,8 +29,8 @@ _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A hash of every word of all texts, and how many words each text has.
 
-    A word's hash depends on its lower-cased bytes only: a sum of byte values times powers of their distance from the
-    word's start, then mixed.
+    A word's hash depends on its lower-cased bytes only: a sum of byte values times an odd number of each place, which
+    follow no rule, then mixed. (Powers of one number would not do: they hash some long words alike, whatever the number.)
     """
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
@@ -40,8 +40,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.empty(0, np.uint64), np.zeros(len(texts), dtype=np.int64)
     place = np.arange(len(data)) - np.repeat(np.append(0, starts), np.diff(np.append(np.append(0, starts), len(data))))
-    powers = np.cumprod(np.append(np.uint64(1), np.full(int((ends - starts).max()), _MULTIPLIERS[0])), dtype=np.uint64)
-    value = _BYTE[_LOWER[data]] * powers[np.where(gap, 0, place)]
+    factors = mixed(np.arange(1, int((ends - starts).max()) + 2, dtype=np.uint64) * _MULTIPLIERS[0]) | np.uint64(1)
+    value = _BYTE[_LOWER[data]] * factors[np.where(gap, 0, place)]
     value[gap] = 0
     words = np.add.reduceat(value, starts)
     bounds = np.append(0, np.cumsum(sizes + 1))

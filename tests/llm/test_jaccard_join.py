@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 
 from pulsegrid.llm import jaccard_join as jj
+from pulsegrid.llm.shingles import word_hashes
 from tests_llm_data import documents
 
 
@@ -59,8 +61,11 @@ def test_awkward_documents(spark):
     assert result(jj.similar_documents(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_groups_of_near_copies(spark):
-    """Chains, stars and near misses around a few texts, with a passage that most share."""
+@pytest.mark.parametrize("chunk,pivots", [(jj.CHUNK, jj.MOST_PIVOTS), (5, 3)])
+def test_groups_of_near_copies(spark, monkeypatch, chunk, pivots):
+    """Chains, stars and near misses around a few texts, with a passage that most share; large groups go in rounds."""
+    monkeypatch.setattr(jj, "CHUNK", chunk)
+    monkeypatch.setattr(jj, "MOST_PIVOTS", pivots)
     pick = random.Random(11)
     word = lambda: "".join(pick.choices("abcdefg", k=4))
     passage = " ".join(word() for _ in range(20))
@@ -87,3 +92,15 @@ def test_null_ids_and_empty_table(spark):
     got = sorted(map(tuple, jj.similar_documents(docs).collect()), key=str)
     assert got == sorted([(None, 4, 4), (4, 4, 4), (None, 0, None), (7, 0, 7), (None, 1, 9), (9, 1, 9)], key=str)
     assert jj.similar_documents(docs.limit(0)).count() == 0
+
+
+def test_long_words(spark):
+    """Words that differ in a regular way: a sequence that balances all powers, its complement, and near ones."""
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = thue.translate({97: "b", 98: "a"})
+    words = [thue[:1024], other[:1024], thue, other, thue[:1023], "a" * 1024, "a" * 1025, "ab" * 512, "ba" * 512, thue[::-1][1:]]
+    rows = [(i, w) for i, w in enumerate(words)] + [(20 + i, " ".join([w] * 2 + ["x"] * 4)) for i, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(jj.similar_documents(docs)) == brute(rows)
+    hashes, _ = word_hashes([w.encode() for w in words])
+    assert len(set(hashes.tolist())) == len(words)
