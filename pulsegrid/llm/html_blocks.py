@@ -27,19 +27,47 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
         "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
         "option": ({"option"}, {"select"})}
 
+# Attributes up to the end of a tag: only after an equals sign does a quote open a value, and a bare value may hold quotes.
+_ATTRIBUTES = r"""(?:=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*)?|[^>=])*+"""
 _PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SILENT})(?=[\s/>])[^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|[^<]+|<""", re.S | re.I)
-_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in SILENT.split("|")}
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<({SILENT})(?=[\s/>]){_ATTRIBUTES}(?:>|\Z)|<(?:[!?]|/(?![a-zA-Z]|\Z))[^>]*(?:>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)|[^<]+|<", re.S | re.I)
+_END = {name: re.compile(rf"</{name}(?=[\s/>]){_ATTRIBUTES}(?:>|\Z)", re.I) for name in SILENT.split("|")}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
+class Place:
+    """A block-level element and, through `outer`, those around it. `names` are its name and its class, id and role words."""
+
+    __slots__ = ("names", "outer", "depth", "seen")
+
+    def __init__(self, names: tuple[str, ...], outer: Place | None):
+        self.names, self.outer, self.seen = names, outer, None
+        self.depth = 1 if outer is None else outer.depth + 1
+
+
+def place_of(path) -> Place | None:
+    place = None
+    for names in path:
+        place = Place(names, place)
+    return place
+
+
 class Block(NamedTuple):
-    path: tuple[tuple[str, ...], ...]  # of every element: its name and the words of its class, id and role
+    place: Place | None  # the innermost element around the text; none at the top
     text: str
     linked: int  # characters of the text inside links
 
+    @property
+    def path(self) -> tuple[tuple[str, ...], ...]:
+        """The names of every element around the text, the outermost first."""
+        out, place = [], self.place
+        while place is not None:
+            out.append(place.names)
+            place = place.outer
+        return tuple(reversed(out))
+
 
 def names_of(attributes: str) -> tuple[str, ...]:
     found = (" ".join(m) for m in _NAMES.findall(attributes))
@@ -52,32 +80,28 @@ def blocks_of(html: str) -> list[Block]:
     Character references are decoded, white space inside a block becomes one space; a line break is white space.
     """
     out: list[Block] = []
-    stack: list[tuple[str, ...]] = []
+    stack: list[tuple[str, Place | None]] = []  # open elements, each with the place of a text inside it
+    where: dict[str, list[int]] = {}  # the heights at which elements of a name are open
     text: list[str] = []
     linked = 0
-    links = 0
 
     def flush():
         nonlocal linked
         if text:
             said = " ".join(unescape("".join(text)).split())
             if said:
-                out.append(Block(tuple(e for e in stack if e[0] not in INLINE), said, min(linked, len(said))))
+                out.append(Block(stack[-1][1] if stack else None, said, min(linked, len(said))))
             text.clear()
         linked = 0
 
-    def close(upto: int):
-        nonlocal links
-        links -= sum(e[0] == "a" for e in stack[upto:])
-        del stack[upto:]
+    def highest(names) -> int:
+        return max((where[n][-1] for n in names if where.get(n)), default=-1)
 
     def close_kind(kinds, stops=()):
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in kinds:
-                close(k)
-                return
-            if stack[k][0] in stops:
-                return
+        upto = highest(kinds)
+        if upto > highest(stops):
+            while len(stack) > upto:
+                where[stack.pop()[0]].pop()
 
     at = 0
     unclosed = set()  # kinds that no end follows, so that each is looked for once
@@ -100,7 +124,7 @@ def blocks_of(html: str) -> list[Block]:
             piece = m.group()
             if piece[0] != "<" or piece == "<":
                 text.append(piece)
-                if links:
+                if where.get("a"):
                     linked += len(piece)
             continue
         name = name.lower()
@@ -118,7 +142,10 @@ def blocks_of(html: str) -> list[Block]:
             if name in ENDS:
                 close_kind(*ENDS[name])
             if not m.group(4).endswith("/") or name in ENDS_P:
-                stack.append((name, *names_of(m.group(4))) if m.group(4) else (name,))
-                links += name == "a"
+                place = stack[-1][1] if stack else None
+                if name not in INLINE:
+                    place = Place((name, *names_of(m.group(4))) if m.group(4) else (name,), place)
+                where.setdefault(name, []).append(len(stack))
+                stack.append((name, place))
     flush()
     return out

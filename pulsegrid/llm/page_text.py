@@ -14,13 +14,14 @@ from __future__ import annotations
 import random
 import zlib
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.html_blocks import Block, blocks_of
+from pulsegrid.llm.html_blocks import Block, Place, blocks_of, place_of
 from pulsegrid.llm.shared import grouped, whole_text
 
 BUCKETS = 1 << 13
@@ -101,14 +102,14 @@ class Layouts:
             text = self.words(short)
             deeper = self.path(self.pick.choice(["p", "h3", "div", "ul li", "span"])) if self.pick.random() < 0.3 else []
             linked = len(text) if kind == "menu" or self.pick.random() < 0.3 else 0
-            out.append((Block(tuple(outer + where + [e for e in deeper if e[0] != "span"]), text, linked), 0))
+            out.append((Block(place_of(outer + where + [e for e in deeper if e[0] != "span"]), text, linked), 0))
 
     def page(self) -> list[tuple[Block, int]]:
         pick, out = self.pick, []
         root = [("html",), ("body",)]
         title = self.words(0.4)
         if pick.random() < 0.9:
-            out.append((Block((("html",), ("head",), ("title",)), title, 0), 0))
+            out.append((Block(place_of([("html",), ("head",), ("title",)]), title, 0), 0))
         root = root + self.path(pick.choice(WRAPPERS))
         before = ["menu", "header", "advert", "notice", "form", "side"]
         after = ["comment", "footer", "side", "advert", "form", "notice", "menu", "comment", "footer"]
@@ -116,10 +117,10 @@ class Layouts:
             self.side(kind, out, root)
         body = root + self.path(pick.choice(ARTICLE))
         if pick.random() < 0.9:
-            out.append((Block(tuple(body + self.path(pick.choice(["h1", "h1", "h1", "h2", "header h1"]))), title, 0), 1))
+            out.append((Block(place_of(body + self.path(pick.choice(["h1", "h1", "h1", "h2", "header h1"]))), title, 0), 1))
         for _ in range(pick.randrange(1, 14) if pick.random() < 0.85 else pick.randrange(14, 80)):
             text = self.words(0.3)
-            out.append((Block(tuple(body + self.path(pick.choice(INSIDE), 0.1)), text, pick.choice([0, 0, 0, len(text) // 5])), 1))
+            out.append((Block(place_of(body + self.path(pick.choice(INSIDE), 0.1)), text, pick.choice([0, 0, 0, len(text) // 5])), 1))
             if pick.random() < 0.1:
                 self.side(pick.choice(["advert", "side", "form", "notice", "menu", "comment"]), out, body)
         for kind in pick.sample(after, pick.randrange(0, 5)):
@@ -134,21 +135,50 @@ class Sequence:
     number: list[list[float]] = field(default_factory=list)
 
 
+class Seen(NamedTuple):
+    """Hashed names of a path: of all its elements, and with the innermost one's marked."""
+
+    number: int
+    inside: frozenset[int]
+    marked: np.ndarray
+
+
+_numbers = iter(range(1 << 62))
+_NOWHERE = Seen(next(_numbers), frozenset(), np.array([bucket("none")]))
+_AT_MOST = 100_000
+
+
+def seen_at(place: Place | None, known: dict) -> Seen:
+    """The hashed names of a place; each element adds to what is around it, so a path costs what is new on it."""
+    new = []
+    while place is not None and place.seen is None:
+        new.append(place)
+        place = place.outer
+    seen = _NOWHERE if place is None else place.seen
+    for place in reversed(new):
+        key = seen.number, place.names
+        if key not in known:
+            if len(known) > _AT_MOST:
+                known.clear()
+            more = {bucket("in" + n) for n in place.names}
+            inside = seen.inside if more <= seen.inside else seen.inside | more
+            marked = np.array(sorted(inside | {bucket("at" + n) for n in place.names}))
+            known[key] = Seen(next(_numbers), inside, marked)
+        place.seen = seen = known[key]
+    return seen
+
+
 def vectors(blocks: list[Block], known: dict) -> Sequence:
-    """Hashed names and words of the blocks. `known` remembers the hashes of names and paths."""
+    """Hashed names and words of the blocks. `known` remembers the hashes of paths."""
     out = Sequence()
     for b in blocks:
-        if b.path not in known:
-            if len(known) > 100_000:
-                known.clear()
-            names = ["in" + n for e in b.path for n in e] + ["at" + n for n in b.path[-1]] if b.path else ["none"]
-            known[b.path] = np.array(sorted({bucket(n) for n in names}))
-        out.path.append(known[b.path])
+        out.path.append(seen_at(b.place, known).marked)
         words = b.text.lower().split()
         out.word.append(np.fromiter(((hash_of(w)) for w in words), dtype=np.int64, count=len(words)))
         n = len(b.text)
         marks = sum(b.text.count(c) for c in ".,;:!?")
-        out.number.append([np.log1p(n) / 8, np.log1p(len(words)) / 6, b.linked / n, marks / len(words), len(b.path) / 10])
+        depth = 0 if b.place is None else b.place.depth
+        out.number.append([np.log1p(n) / 8, np.log1p(len(words)) / 6, b.linked / n, marks / len(words), depth / 10])
     return out
 
 
@@ -270,7 +300,7 @@ def fitted(texts: list[str], p: FitParams = FitParams()) -> Labeller:
     draw, known = Layouts(texts, random.Random(p.seed)), {}
     drawn = [draw.page() for _ in range(p.layouts)]
     model = Labeller(p.seed)
-    pages = [vectors([b._replace(text=b.text[:400]) for b, _ in page], known) for page in drawn]
+    pages = [vectors([b for b, _ in page], known) for page in drawn]
     model.learn(pages, [np.array([y for _, y in page], dtype=float) for page in drawn], p)
     model.w = {k: v.astype(np.float32) for k, v in model.w.items()}
     return model

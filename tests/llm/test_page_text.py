@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -51,6 +52,57 @@ def test_silent_elements_end_where_they_end():
     assert texts("<p>a<textarea>b<p>c") == [("a", "p")]
 
 
+def test_attributes_and_comments_end_as_in_browsers():
+    said = lambda html: [t for t, _ in texts(html)]
+    assert said("<p data=it's>text one</p><p>that's two</p><p>three</p>") == ["text one", "that's two", "three"]
+    assert said('<p it"s>one</p><p>"two"</p>') == ["one", '"two"'] and said("<p a= 'x>y' b=\"p>q\">one") == ["one"]
+    assert said("<p a=b\"c d>one</p><p e=>two</p><p = >three") == ["one", "two", "three"]
+    assert said("<a href=x?y='z'>link</a> <img alt=it's> on") == ["link on"]
+    assert said("<!-- c --!><p>one</p><!--><p>two</p><!---><p>three</p><!----><p>four</p><!-- <p>no</p> -- > --><p>five") == [
+        "one", "two", "three", "four", "five"]
+    assert said("a</>b</3 c>d<!doctype html>e<?php f ?>g<![CDATA[h]]>i") == ["abdegi"] and said("a</") == ["a</"]
+    assert said("<script data-x=it's>no</script><p>one</p>") == ["one"] and said("<p title='never closed>one</p>") == []
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    depth = 60_000
+    start = time.process_time()
+    deep = blocks_of("<div>x" * depth + "</b>" * depth + "<p>tail" + "</div>" * depth)
+    assert len(deep) == depth + 1 and deep[-1].place.depth == depth + 1 and deep[-1].text == "tail"
+    assert len(blocks_of("<ul><li>" * depth + "<span>" * depth + "<li>y" * 100)) == 100
+    assert len(blocks_of("<p>a <i>b</i> &amp; c" * depth)) == depth
+    assert len(pt.vectors(deep, {}).path) == depth + 1
+    assert time.process_time() - start < 60
+    assert blocks_of("<div class=a><p id='b'>x")[0].path == (("div", ".a"), ("p", ".b"))
+
+
+def test_pages_without_names(pages, model):
+    """Pages whose classes, ids, roles and telling elements are gone mostly come out whole: it is no mere list of names."""
+    bare = re.compile(r"""\s(?:class|id|role)=("[^"]*"|'[^']*'|[^\s>]+)""")
+    plain = re.compile(r"<(/?)(?:article|main|nav|header|footer|aside|section)\b[^>]*>", re.I)
+    whole = lost = total = 0
+    some = pages.orderBy("page_id").limit(120).collect()
+    for r in some:
+        want = [any(e[0] == "article" for e in b.path) for b in blocks_of(r.html)]
+        blocks = blocks_of(plain.sub(r"<\1div>", bare.sub("", r.html)))
+        assert [b.text for b in blocks] == [b.text for b in blocks_of(r.html)]
+        got = model.probabilities([pt.vectors(blocks, {})])[0] >= 0.5
+        whole += all(g for g, w in zip(got, want) if w)
+        lost += sum(w and not g for g, w in zip(got, want))
+        total += sum(want)
+    assert whole >= 0.6 * len(some) and lost <= 0.1 * total
+
+
+def test_clashing_columns(spark, pages, model):
+    few = pages.limit(3)
+    clash = few.selectExpr("page_id as text", "url as blocks", "html as page_id", "1 as url", "2 as html")
+    got = pt.extract(clash, model, "text", "blocks", "page_id").collect()
+    want = pt.extract(few, model).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_gradients_are_those_of_the_loss():
     draw = pt.Layouts(["some words of a text that is long enough to be a paragraph here, or more than that"], random.Random(1))
     pages_ = [draw.page() for _ in range(3)]
