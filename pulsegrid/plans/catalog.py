@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import parsing, predicates, text
 from pulsegrid.operators import (
-    baseline, detectors, ingest, lifecycle, observe, ordered, quality, queries, registry, retention, routing,
+    baseline, detectors, ingest, lifecycle, maintenance, observe, ordered, quality, queries, registry, retention, routing,
 )
 from pulsegrid.plans import fixtures as fx
 from pulsegrid.plans import oracle as o
@@ -758,6 +758,25 @@ def streamed_silences(spark, sf_dir):
     return rows.select("tenant_id", "source_id", stamp("last_log_at"), stamp("due_at"))
 
 
+# -- maintenance -------------------------------------------------------------
+
+
+o.CTES["maintenance"] = """SELECT 't-' || (s_suppkey % 2) AS tenant_id, 'src-' || (s_suppkey % 12) AS source_id,
+    TIMESTAMP '2024-01-01' + to_hours(s_suppkey * 37 % 700) AS starts_at, CASE WHEN s_suppkey % 30 <> 17 THEN
+      TIMESTAMP '2024-01-01' + to_hours(s_suppkey * 37 % 700 + CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey % 5 + 2 ELSE 0 END * 24
+        + s_suppkey % 6 + 1) END AS ends_at FROM supplier"""
+
+
+@query(f"""SELECT {_BRIEF_SQL} FROM alerts a WHERE NOT (anomaly_type = 'SERVICE_SILENCE' AND EXISTS (
+    SELECT 1 FROM maintenance m WHERE m.tenant_id = a.tenant_id AND m.source_id = a.source_id
+      AND window_start + to_seconds({fx.EVENT_PARAMS.silence_s}) >= starts_at
+      AND (ends_at IS NULL OR window_start + to_seconds({fx.EVENT_PARAMS.silence_s}) < ends_at)))""")
+def alerts_outside_maintenance(spark, sf_dir):
+    """The alerts without silences that fell due in a maintenance window."""
+    return _brief(maintenance.suppress_silences(
+        stored_alerts(spark, sf_dir), fx.maintenance_windows(spark, sf_dir), fx.EVENT_PARAMS))
+
+
 # -- runs that resume, requests inside a run ---------------------------------
 
 

@@ -288,3 +288,16 @@ def run_acks(alerts: DataFrame) -> DataFrame:
     return alerts.filter(delay.isNotNull()).select(
         "tenant_id", F.col("id").alias("alert_id"), F.lit("u-2").alias("user_id"),
         F.timestamp_micros(F.unix_micros("detected_at") + delay.cast("bigint") * 1_000_000).alias("acked_at"))
+
+
+def maintenance_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One window per supplier: some hours long, every tenth some days, every thirtieth without an end."""
+    key = F.col("s_suppkey")
+    hour = 3600 * 1_000_000
+    start = F.lit(1_704_067_200_000_000) + (key * 37 % 700).cast("bigint") * hour
+    length = F.when(key % 10 == 0, key % 5 + 2).otherwise(0) * 24 + key % 6 + 1
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("t-"), (key % 2).cast("string")).alias("tenant_id"),
+        F.concat(F.lit("src-"), (key % 12).cast("string")).alias("source_id"),
+        F.timestamp_micros(start).alias("starts_at"),
+        F.when(key % 30 != 17, F.timestamp_micros(start + length.cast("bigint") * hour)).alias("ends_at"))
