@@ -1,5 +1,6 @@
 """Streams equal the batch plan on closed windows; the tail source follows rotating files."""
 
+import json
 import os
 
 from pulsegrid.params import DetectorParams
@@ -114,6 +115,85 @@ def test_tail_appends_rotation_and_half_lines(tmp_path, monkeypatch):
     assert read_all(other, e, other.latestOffset()) == []
 
 
+def lines_between(reader, a, b):
+    return [r[2] for r in read_all(reader, a, b)]
+
+
+def test_tail_loses_and_repeats_nothing(tmp_path):
+    """Two rotations between triggers, renamed matches, copies cut down, and replays after a restart."""
+    path = str(tmp_path / "app.log")
+    write(path + ".1", b"old, from before\n")
+    write(path, b"1 first line\n")
+    offsets, seen = [], []
+    reader = tail.TailReader({"path": path})
+    offsets.append(reader.initialOffset())
+
+    def trigger(reader):
+        offsets.append(json.loads(json.dumps(reader.latestOffset())))
+        got = lines_between(reader, *offsets[-2:])
+        seen.append(got)
+        return got
+
+    assert trigger(reader) == ["1 first line"]
+    # Written, rotated, written, rotated, written: the middle file was never seen under its first name.
+    write(path, b"2 more\n3 half")
+    os.rename(path + ".1", path + ".3")
+    os.rename(path, path + ".2")
+    write(path, b"4 came and went\n")
+    os.rename(path, path + ".1")
+    write(path, b"5 now\n")
+    assert sorted(trigger(reader)) == ["2 more", "3 half", "4 came and went", "5 now"]
+    assert trigger(reader) == []
+    # Copied and cut down in place; the copy holds two lines not read yet.
+    write(path, b"6 a\n")
+    os.rename(path + ".1", path + ".9")
+    with open(path, "rb") as f:
+        write(path + ".1", f.read() + b"7 b\n")
+    write(path, b"8 c\n", "wb")
+    write(path + ".2.gz", b"packed")
+    assert sorted(trigger(tail.TailReader({"path": path}))) == ["6 a", "7 b", "8 c"]  # a reader that just started
+    # Renamed while the stream is down, and a writer that still holds the renamed file.
+    write(path, b"9 d\n10 not fin")
+    os.rename(path, path + ".a")
+    reader = tail.TailReader({"path": path})
+    assert trigger(reader) == ["9 d"]
+    write(path + ".a", b"ished\n")
+    assert trigger(reader) == ["10 not finished"]
+    write(path, b"11 e\n")
+    assert trigger(reader) == ["11 e"]
+    # Every micro-batch again: the same lines, wherever the files are now.
+    again = tail.TailReader({"path": path})
+    replayed = [lines_between(again, a, b) for a, b in list(zip(offsets, offsets[1:]))[4:]]
+    assert replayed == seen[4:]
+
+
+def test_tail_renamed_match(tmp_path):
+    write(str(tmp_path / "a.log"), b"one\n")
+    reader = tail.TailReader({"path": str(tmp_path / "*.log") + os.pathsep + str(tmp_path / "*.txt")})
+    a = reader.latestOffset()
+    write(str(tmp_path / "a.log"), b"two\n")
+    os.rename(tmp_path / "a.log", tmp_path / "b.log")
+    write(str(tmp_path / "a.log"), b"three\n")
+    write(str(tmp_path / "c.txt"), b"four\n")
+    b = reader.latestOffset()
+    assert sorted(lines_between(reader, a, b)) == ["four", "three", "two"]
+    os.rename(tmp_path / "b.log", tmp_path / "d.log")  # after the offset was taken
+    assert sorted(lines_between(tail.TailReader({"path": str(tmp_path / "*.log") + os.pathsep + str(tmp_path / "*.txt")}), a, b)) == [
+        "four", "three", "two"]
+
+
+def test_tail_starts_at_a_stored_cursor(tmp_path):
+    path = str(tmp_path / "app.log")
+    write(path, b"read\nnew\n")
+    start = json.dumps({path: [os.stat(path).st_ino, 5]})
+    reader = tail.TailReader({"path": path, "startingOffsets": start})
+    assert lines_between(reader, reader.initialOffset(), reader.latestOffset()) == ["new"]
+    os.rename(path, path + ".1")
+    write(path, b"next\n")
+    reader = tail.TailReader({"path": path, "startingOffsets": start})
+    assert lines_between(reader, reader.initialOffset(), reader.latestOffset()) == ["new", "next"]
+
+
 def test_tail_splits_large_ranges(tmp_path, monkeypatch):
     monkeypatch.setattr(tail, "SPLIT_BYTES", 64)
     monkeypatch.setattr(tail, "_PROBE", 7)
