@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators import ordered
 from pulsegrid.operators.observe import KEYS
 from pulsegrid.operators.ordered import (
-    cooldown, running, stack_matches, stack_matches_with_removals, time_cell, with_position,
+    cooldown, running, running_in_ranges, stack_matches, stack_matches_with_removals, time_cell, with_position,
 )
 from pulsegrid.params import MICROS, DetectorParams
 from pulsegrid.session import materialize
@@ -223,7 +223,7 @@ def open_services(spikes: DataFrame, params: DetectorParams) -> DataFrame:
 
     A spike counts for its service from its own instant through `cascade_window_s`
     later, or until it is resolved or acknowledged. Spikes of one instant are taken in source
-    order. A sweep over starts and ends replaces any pairing of spikes. `spikes`
+    order. A sweep over starts and ends, cut into ranges of equal size, replaces any pairing of spikes. `spikes`
     holds detections with `resolved_at`, `acked_at` and `id`; pass a written table.
     """
     at = F.unix_micros("detected_at")
@@ -241,15 +241,13 @@ def open_services(spikes: DataFrame, params: DetectorParams) -> DataFrame:
     ).select("*", "e.*").drop("e")
     # Ends come before starts of the same instant.
     order = ["t", "step", "source_id", "pos"]
-    cell = F.floor(F.col("t") / F.lit(params.window_s * MICROS))
-    per_service = running(edges, ["tenant_id", "service_name"], cell, order, {"depth": ("sum", F.col("step"))})
+    per_service = running_in_ranges(edges, ["tenant_id", "service_name"], order, {"depth": ("sum", F.col("step"))})
     change = (
         F.when((F.col("step") == 1) & (F.col("depth") == 1), 1)
         .when((F.col("step") == -1) & (F.col("depth") == 0), -1).otherwise(0)
     )
-    per_tenant = running(
-        per_service.withColumn("change", change), ["tenant_id"], cell, order, {"services": ("sum", F.col("change"))}
-    )
+    per_tenant = running_in_ranges(
+        per_service.withColumn("change", change), ["tenant_id"], order, {"services": ("sum", F.col("change"))})
     return per_tenant.filter("step = 1").select("tenant_id", "source_id", "pos", "detected_at", "services")
 
 

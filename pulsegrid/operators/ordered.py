@@ -88,6 +88,19 @@ def running(
     ).drop("_cell", *args, *[f"_{p}_{name}" for name in specs for p in "cr"])
 
 
+def running_in_ranges(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: Mapping[str, tuple[str, Column]]
+) -> DataFrame:
+    """`running` where no cell of time bounds a key's rows: cells are ranges of the rows in order, of about equal size.
+
+    `df` is sorted over partitions by a sample of it and written once, so even rows of one instant are not one task's
+    work.
+    """
+    sorted_ = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    rows = materialize(sorted_, "ranges")
+    return running(rows, keys, F.col("_range"), order, specs).drop("_range")
+
+
 def _leveled(ops: DataFrame, keys: list[str]) -> DataFrame:
     """Pushes and the pops that find something, each with the stack level it fills or empties.
 

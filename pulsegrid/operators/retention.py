@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, timedelta, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,12 @@ def _marked(rows: DataFrame, tenants: DataFrame, at: str, days: str, now: Column
     return rows.join(limits, "tenant_id", "left").withColumn("expired", old & extra).drop("_days")
 
 
+def latest_cutoff(tenants: DataFrame, days: str, now: datetime) -> date | None:
+    """The first date of which no row can be expired yet, by the shortest time that an active tenant keeps rows."""
+    least = tenants.filter("active").agg(F.min(days)).collect()[0][0]
+    return None if least is None else (now.astimezone(timezone.utc) - timedelta(days=least)).date() + timedelta(days=1)
+
+
 def mark_alerts(alerts: DataFrame, tenants: DataFrame, now: Column) -> DataFrame:
     """Open alerts never expire."""
     return _marked(alerts, tenants, "created_at", "retention_days", now, F.col("status").isin(*CLOSED))

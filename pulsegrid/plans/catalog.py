@@ -17,8 +17,10 @@ from pulsegrid.operators import (
 from pulsegrid.plans import fixtures as fx
 from pulsegrid.plans import oracle as o
 from pulsegrid.plans.batch import Detection
+from pulsegrid.schemas import ALERT
 from pulsegrid.session import materialize, prepare, scratch_dir
 from pulsegrid.sources import jdbc
+from pulsegrid.sources.versions import VersionedTable
 from pulsegrid.streaming import engine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -631,6 +633,20 @@ def retained_alerts(spark, sf_dir):
     return retention.kept(retention.mark_alerts(acked, fx.tenants(spark, sf_dir), F.lit(NOW))).select("id", "status")
 
 
+@query(f"""SELECT a.id, a.status FROM acked a LEFT JOIN tenants t ON t.id = a.tenant_id AND t.active
+    WHERE NOT coalesce(a.status IN ('resolved', 'acknowledged') AND {_OLD.format(at='a.created_at', days='retention_days')}, false)""")
+def expired_versions(spark, sf_dir):
+    """The alerts as a table of versions: stored twice, expired in place, read back."""
+    alerts = stored_alerts(spark, sf_dir)
+    rows, tenants = lifecycle.apply_acks(alerts, fx.acks(alerts)), fx.tenants(spark, sf_dir)
+    stored = VersionedTable(spark, f"{scratch_dir(spark)}/pulsegrid/versions-{uuid.uuid4().hex}", ALERT, "detected_at")
+    stored.append_new(rows)
+    stored.append_new(rows)
+    stored.expire(lambda old: retention.mark_alerts(old, tenants, F.lit(NOW)),
+                  retention.latest_cutoff(tenants, "retention_days", NOW))
+    return stored.read().select("id", "status")
+
+
 @query(f"""SELECT r.id FROM request_log r LEFT JOIN tenants t ON t.id = r.tenant_id AND t.active
     WHERE NOT coalesce({_OLD.format(at='r."timestamp"', days='log_retention_days')}, false)""")
 def retained_request_log(spark, sf_dir):

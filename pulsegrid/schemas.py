@@ -47,6 +47,13 @@ CLOSING = _table(("id", _S), ("resolved_at", _TS))
 
 SILENCE = _table(("tenant_id", _S), ("source_id", _S), ("last_log_at", _TS), ("due_at", _TS))
 
+ARRIVAL = _table(("arrived_at", _TS))
+
+QUEUED = _table(
+    ("tenant_id", _S), ("alert_id", _S), ("api_key_id", _S), ("attempt_number", _I), ("target_url", _S),
+    ("delivery_id", _S), ("payload", _S), ("signature", _S),
+)
+
 PROGRESS = _table(("newest", _L), ("watermark", _L), ("judged", _L), ("kept", _L))
 
 TENANT = _table(

@@ -40,13 +40,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once as parquet in the shared folder and read it back.
+def materialize(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
+    """Write `df` once as parquet in the shared folder and read it back, by another session if one is given.
 
     Used where several branches read the same intermediate: it cuts the lineage,
     survives executor loss, and gives later joins exact sizes.
     """
-    spark = df.sparkSession
+    spark = spark or df.sparkSession
     path = f"{scratch_dir(spark)}/pulsegrid/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Stored tables: dimensions, append-only facts, and rewrites of expired partitions."""
+"""Stored tables: dimensions, date-partitioned facts and their current state (for writes see `versions`)."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.session import materialize
-
 DATE = "part_date"
 
 
@@ -15,15 +13,6 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
-def _dated(df: DataFrame, at: str) -> DataFrame:
-    return df.withColumn(DATE, F.to_date(at))
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def read_dated(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A date-partitioned table; filters on `part_date` prune folders."""
     if isinstance(schema, str):
@@ -33,48 +22,6 @@ def read_dated(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).parquet(path)
 
 
-def append_new(df: DataFrame, path: str, at: str = "detected_at", key: str = "id") -> None:
-    """Append rows whose key is not stored yet, so that a replay adds nothing.
-
-    Only the partitions of the incoming dates are read: ids are derived from the
-    row's own time, so the same row always falls on the same date. The dates, one
-    per calendar day, are named in the filter, as an anti join prunes nothing.
-    """
-    spark = df.sparkSession
-    rows = _dated(df.dropDuplicates([key]), at)
-    if _exists(spark, path):
-        rows = materialize(rows, "incoming")
-        dates = [r[DATE] for r in rows.select(DATE).distinct().collect()]
-        stored = read_dated(spark, path, df.schema).filter(F.col(DATE).isin(dates)).select(key, DATE)
-        rows = rows.join(stored, [key, DATE], "left_anti")
-    rows.write.mode("append").partitionBy(DATE).parquet(path)
-
-
-def append(df: DataFrame, path: str, at: str = "created_at") -> None:
-    _dated(df, at).write.mode("append").partitionBy(DATE).parquet(path)
-
-
-def rewrite_expired(marked: DataFrame, path: str, at: str) -> None:
-    """Remove rows marked `expired` from a date-partitioned table.
-
-    Only partitions that hold an expired row are rewritten, from a copy in the
-    shared folder; partitions left without rows are dropped.
-    """
-    spark = marked.sparkSession
-    dated = marked.drop(DATE).withColumn(DATE, F.to_date(at))
-    per_date = dated.groupBy(DATE).agg(
-        F.count_if(F.col("expired")).alias("gone"), F.count(F.lit(1)).alias("n"))
-    touched = [r for r in per_date.filter("gone > 0").collect()]  # one row per calendar day
-    partial = [r[DATE] for r in touched if r["gone"] < r["n"]]
-    if partial:
-        keep = materialize(dated.filter(F.col(DATE).isin(partial)).filter("not expired").drop("expired"), "kept")
-        keep.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DATE).parquet(path)
-    for row in touched:
-        if row["gone"] == row["n"]:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{DATE}={row[DATE]}")
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def upsert_by_key(stored: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of `changes` replace those of `stored` with the same key (cursors, states)."""
     return stored.join(changes.select(*keys), keys, "left_anti").unionByName(changes.select(*stored.columns))

@@ -36,6 +36,7 @@ class ByteRange(InputPartition):
     path: str
     name: str
     inode: int
+    rotated: bool
     start: int
     end: int
 
@@ -125,7 +126,7 @@ def locate(inode: int, path: str) -> str:
     raise FileNotFoundError(f"{path} (inode {inode}) was removed before it was read")
 
 
-def split(path: str, name: str, inode: int, start: int, end: int) -> list[ByteRange]:
+def split(path: str, name: str, inode: int, rotated: bool, start: int, end: int) -> list[ByteRange]:
     """Cut at line ends into pieces of about SPLIT_BYTES."""
     cuts = [start]
     while end - cuts[-1] > SPLIT_BYTES:
@@ -133,7 +134,7 @@ def split(path: str, name: str, inode: int, start: int, end: int) -> list[ByteRa
         if cut == cuts[-1]:
             break
         cuts.append(cut)
-    return [ByteRange(path, name, inode, a, b) for a, b in zip(cuts, [*cuts[1:], end]) if b > a]
+    return [ByteRange(path, name, inode, rotated, a, b) for a, b in zip(cuts, [*cuts[1:], end]) if b > a]
 
 
 class TailReader(DataSourceStreamReader):
@@ -168,7 +169,7 @@ class TailReader(DataSourceStreamReader):
         self.known = dict(end["files"])
         out = []
         for inode, name, begin, to in between(start["files"], end["files"], start.get("first", False)):
-            out += split(self._where(inode, name), name, inode, begin, to)
+            out += split(self._where(inode, name), name, inode, end["files"][str(inode)][3], begin, to)
         return out
 
     def _where(self, inode: int, name: str) -> str:
@@ -187,7 +188,8 @@ class TailReader(DataSourceStreamReader):
                 line = f.readline(partition.end - offset)
                 if not line:
                     return
-                yield partition.name, offset, line.rstrip(b"\r\n").decode("utf-8", errors="replace")
+                text = line.rstrip(b"\r\n").decode("utf-8", errors="replace")
+                yield partition.name, offset, text, partition.inode, offset + len(line), partition.rotated
                 offset += len(line)
 
     def commit(self, end: dict) -> None:
@@ -195,14 +197,18 @@ class TailReader(DataSourceStreamReader):
 
 
 class TailSource(DataSource):
-    """Options: `path` (files or patterns, separated as in a PATH), `startingOffsets` (JSON {path: [inode, bytes]})."""
+    """Options: `path` (files or patterns, separated as in a PATH), `startingOffsets` (JSON {path: [inode, bytes]}).
+
+    Rows: the name the file is followed under, the line's place, the line, and for a cursor the inode, the place after
+    the line and whether the file was rotated.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "pulsegrid_tail"
 
     def schema(self) -> str:
-        return "path string, seq bigint, line string"
+        return "path string, seq bigint, line string, inode bigint, until bigint, rotated boolean"
 
     def streamReader(self, schema) -> TailReader:
         return TailReader(self.options)

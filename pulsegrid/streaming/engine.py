@@ -90,6 +90,12 @@ class StreamTables:
         rows = self.spark.read.schema(whole).option("basePath", self.path(table)).parquet(self.path(table))
         return rows.filter(F.col("batch") <= upto).drop("batch")
 
+    def of_batch(self, table: str, schema: T.StructType, batch: int) -> DataFrame:
+        """What one micro-batch wrote."""
+        if batch not in self.batches(table):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path(table, batch))
+
     def snapshot(self, table: str, batch: int) -> DataFrame | None:
         if batch < 0:
             return None

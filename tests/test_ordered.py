@@ -32,6 +32,20 @@ def test_position_and_running(spark):
     assert len(got) == len(rows)
 
 
+def test_running_in_ranges(spark):
+    """All rows of the hot key at one instant: ranges split them all the same."""
+    rows = [(k, 0 if k == "hot" else t, i) for k, t, i in series(3)]
+    df = spark.createDataFrame(rows, "k string, t bigint, i bigint").repartition(4)
+    out = ordered.running_in_ranges(df, ["k"], ["t", "i"], {"s": ("sum", F.col("i"))})
+    got = {(r.k, r.i): r.s for r in out.collect()}
+    for key in {r[0] for r in rows}:
+        total = 0
+        for _, _, i in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:]):
+            total += i
+            assert got[(key, i)] == total
+    assert len(got) == len(rows) and out.columns == ["k", "t", "i", "s"]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_stack_matches(spark, monkeypatch, seed):
     monkeypatch.setattr(ordered, "BLOCK_ROWS", 5)

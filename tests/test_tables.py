@@ -9,6 +9,7 @@ from pulsegrid.functions import text
 from pulsegrid.operators import lifecycle, quality, queries, registry, retention, routing
 from pulsegrid.schemas import ALERT, API_KEY, DELIVERY, LOG_SOURCE, TENANT, USER
 from pulsegrid.sources import tables
+from pulsegrid.sources.versions import Conflict, VersionedTable
 
 NOW = datetime(2026, 2, 1, 12, 30, tzinfo=timezone.utc)
 DAY = timedelta(days=1)
@@ -184,17 +185,56 @@ def test_cursors_name_one_instant_in_every_zone():
 
 
 def test_append_is_idempotent_and_expiry_rewrites(spark, tmp_path):
-    path = f"{tmp_path}/alerts"
+    table = VersionedTable(spark, f"{tmp_path}/alerts", ALERT, "detected_at")
+    assert table.read().count() == 0 and table.versions() == []
     df = alerts(spark, {"id": "a", "detected_at": NOW - 40 * DAY, "created_at": NOW - 40 * DAY, "status": "resolved"},
                 {"id": "b", "detected_at": NOW - 40 * DAY, "created_at": NOW - 40 * DAY},
                 {"id": "c", "detected_at": NOW - 50 * DAY, "created_at": NOW - 50 * DAY, "status": "resolved"}, {"id": "d"})
-    tables.append_new(df, path)
-    tables.append_new(df, path)
-    stored = tables.read_dated(spark, path, ALERT)
-    assert stored.count() == 4
-    tables.rewrite_expired(retention.mark_alerts(stored, tenant(spark), F.lit(NOW)), path, "detected_at")
-    spark.catalog.refreshByPath(path)
-    assert {r.id for r in tables.read_dated(spark, path, ALERT).collect()} == {"b", "d"}
+    table.append_new(df)
+    table.append_new(df.unionByName(df))
+    ids = lambda *v: {r.id for r in table.read(*v).collect()}
+    assert table.read().count() == 4
+    cutoff = retention.latest_cutoff(tenant(spark), "retention_days", NOW)
+    mark = lambda rows: retention.mark_alerts(rows, tenant(spark), F.lit(NOW))
+    plan = table.read(before=cutoff)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(part_date" in plan and f"part_date={NOW.date()}" not in str(table.read(before=cutoff).inputFiles())
+    version, gone = table.expire(mark, cutoff)
+    assert gone == 2 and ids() == {"b", "d"} and ids(version - 1) == {"a", "b", "c", "d"}
+    assert table.expire(mark, cutoff) == (version, 0)
+    assert dict(table.folders())[str((NOW - 40 * DAY).date())] != dict(table.folders(version - 1))[str((NOW - 40 * DAY).date())]
+    table.vacuum(keep=1)
+    assert table.versions() == [version] and ids() == {"b", "d"}
+
+
+def test_interrupted_writes_leave_the_version(spark, tmp_path, monkeypatch):
+    table = VersionedTable(spark, f"{tmp_path}/alerts", ALERT, "detected_at")
+    old = {"detected_at": NOW - 40 * DAY, "created_at": NOW - 40 * DAY}
+    table.append(alerts(spark, {"id": "a", "status": "resolved", **old}, {"id": "b", **old}))
+    mark = lambda rows: retention.mark_alerts(rows, tenant(spark), F.lit(NOW))
+    before = sorted(map(str, table.read().collect()))
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(VersionedTable, "commit", fail)
+        for job in (lambda: table.expire(mark, NOW.date()), lambda: table.append(alerts(spark, {"id": "c"}))):
+            with pytest.raises(RuntimeError):
+                job()
+        assert sorted(map(str, table.read().collect())) == before
+    # A second writer from the same version fails; a new try goes on from the first one's.
+    folders = table.folders()
+    table.append(alerts(spark, {"id": "c"}))
+    with pytest.raises(Conflict):
+        table.commit(folders, 1)
+    table.expire(mark, NOW.date())
+    assert {r.id for r in table.read().collect()} == {"b", "c"}
+    for i in range(4):
+        table.append(alerts(spark, {"id": f"more{i}"}))
+    table.compact(most=2)
+    assert len(table.folders()[str(NOW.date())]) == 1 and table.read().count() == 6
+    table.vacuum()
+    assert table.read().count() == 6 and len(table.versions()) == 2
 
 
 def test_current_alerts(spark):
@@ -211,10 +251,10 @@ def test_cursors_and_append_log(spark, tmp_path):
                                   "source_id string, tenant_id string, byte_offset bigint, updated_at timestamp")
     later = first.filter("source_id = 's1'").withColumn("byte_offset", F.lit(30).cast("bigint")).withColumn(
         "updated_at", F.lit(NOW + DAY))
-    path = f"{tmp_path}/cursors"
-    tables.append(first, path, at="updated_at")
-    tables.append(later, path, at="updated_at")
-    log = tables.read_dated(spark, path, first.schema)
+    stored = VersionedTable(spark, f"{tmp_path}/cursors", first.schema, "updated_at")
+    stored.append(first)
+    stored.append(later)
+    log = stored.read()
     assert {r.source_id: r.byte_offset for r in tables.latest_cursors(log).collect()} == {"s1": 30, "s2": 5}
     merged = tables.upsert_by_key(first, later, ["source_id"])
     assert {r.source_id: r.byte_offset for r in merged.collect()} == {"s1": 30, "s2": 5}
