@@ -12,7 +12,8 @@
    component.
 
 Members of a large group are dealt out in chunks, each with the pivots; a small group is one chunk, all its members are
-pivots, and it is worked off in one round. A chunk passes on only links that join components.
+pivots, and it is worked off in one round. A chunk passes on only links that join components. Token sets go straight from
+the texts to the small groups; only members of large groups have theirs written, for the rounds to come.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import Tables, grouped, release, whole_text
+from pulsegrid.llm.shared import Tables, grouped, whole_text
 from pulsegrid.llm.shingles import mixed, shingle_sets
 from pulsegrid.session import materialize
 
@@ -157,6 +158,31 @@ def _tokens(ids, sets, _):
         names=["doc_id", "class", "tokens"])
 
 
+def sent_tokens(texts: DataFrame) -> DataFrame:
+    """Token sets where they are wanted, given (text, places): group, chunk, pivot, whole, component, tokens.
+
+    A row whose set is not of a place's class is another row with the same id, and is not sent there.
+    """
+
+    def work(batches):
+        for batch in batches:
+            at = 0
+            for group in grouped(batch.column(0).to_pylist()):
+                places = batch.column(1).slice(at, len(group)).to_pylist()
+                at += len(group)
+                out = []
+                for tokens, wanted in zip(shingle_sets(group, SHINGLE), places):
+                    c, raw = class_id(tokens) if len(tokens) else None, tokens.tobytes()
+                    out += [(p["group"], p["chunk"], p["component"], raw) for p in wanted if p["class"] == c]
+                made = list(zip(*out)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, t) for v, t in zip(made, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                    names=["group", "chunk", "component", "tokens"])
+
+    sent = texts.mapInArrow(work, "group long, chunk long, component long, tokens binary")
+    return sent.withColumns({"pivot": F.lit(False), "whole": F.lit(True)})
+
+
 def linked(both, n, m):
     return WHOLE * both >= PART * (n + m - both)
 
@@ -267,9 +293,12 @@ def components(nodes: DataFrame, edges: DataFrame, tables: Tables) -> DataFrame:
         label = label.select("node", "root")
 
 
-def similar_classes(groups: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(class, component) of the classes in `groups` (group, class, lead), given their token sets."""
-    spark, old = groups.sparkSession, None
+def similar_classes(groups: DataFrame, texts: DataFrame, shown: DataFrame) -> DataFrame:
+    """(class, component) of the classes in `groups` (group, class, lead); `shown` (class, want) names a document of each.
+
+    `texts` are doc_id and text of all documents.
+    """
+    spark, old, tokens = groups.sparkSession, None, None
     label = groups.select("class").distinct().select("class", F.col("class").alias("component"))
     members, number = groups, 0
     while True:
@@ -301,8 +330,27 @@ def similar_classes(groups: DataFrame, tokens: DataFrame) -> DataFrame:
             "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "class", "component", "pivot", whole)
         sent = sent.unionByName(queries.join(asked.where("pivot").select("group").distinct().withColumn("has", F.lit(True)), "group", "left").where(
             "whole OR has").drop("has"))
-        rows = sent.join(tokens, "class").repartition("group", "chunk").sortWithinPartitions("group", "chunk", F.desc("pivot"))
-        links = tables.write(open_groups(rows).distinct(), "links")
+        found = []
+        if number == 1:  # groups that fit a chunk now are met this once
+            wanted = sent.where("whole").join(shown, "class").groupBy("want").agg(
+                F.collect_list(F.struct("class", "group", "chunk", "component")).alias("places"))
+            near = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.want)).select(
+                F.encode(whole_text("text"), "utf-8").alias("text"), "places")
+            found.append(sent_tokens(near))
+            large = asked.where("chunks > 1").select("class").distinct()
+            if not large.isEmpty():
+                some = texts.join(shown.join(large, "class"), texts.doc_id.eqNullSafe(F.col("want")), "left_semi")
+                some = _sets(some, "doc_id", "text", _tokens, "class long, tokens binary").join(large, "class", "left_semi")
+                tokens = materialize(some.select("class", "tokens").dropDuplicates(["class"]), "tokens")
+                found.append(sent.where("not whole").join(tokens, "class"))
+        else:
+            found.append(sent.join(tokens, "class"))
+        links = None
+        for rows in found:
+            rows = rows.select("group", "chunk", "pivot", "whole", "component", "tokens")
+            rows = rows.repartition("group", "chunk").sortWithinPartitions("group", "chunk", F.desc("pivot"))
+            part = tables.write(open_groups(rows).distinct(), "links")
+            links = part if links is None else links.union(part)
         if not links.isEmpty():
             root = components(label.select(F.col("component").alias("node")).distinct(), links, tables)
             label = label.join(root, label.component == root.node).select("class", F.col("root").alias("component"))
@@ -328,19 +376,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     print_of = [F.bit_xor(F.xxhash64("class", F.lit(k))).over(same) for k in (1, 2)]
     equal = shared.withColumn("equal", F.xxhash64(*print_of, F.count(F.lit(1)).over(same)))
     equal = materialize(equal.select("equal", "class").distinct(), "equal-parts")
-    release(docs.sparkSession)  # the shuffle of the parts is the largest of all
     # All that meet the same lead, the member that most others meet, are one group.
     often = equal.groupBy("class").agg((F.count(F.lit(1)) * 2**20 + F.pmod(F.xxhash64("class"), F.lit(2**20))).alias("weight"))
     leads = equal.join(often, "class").groupBy("equal").agg(F.max_by("class", "weight").alias("group"))
     groups = equal.join(leads, "equal").select("group", "class").distinct()
     groups = materialize(groups.withColumn("lead", F.col("group") == F.col("class")), "groups")
-    wanted = groups.select("class").distinct().join(filled, "class").groupBy("class").agg(F.min("doc_id").alias("want"))
+    shown = groups.select("class").distinct().join(filled, "class").groupBy("class").agg(F.min("doc_id").alias("want"))
+    shown = materialize(shown, "shown")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.want), "left_semi")
-    tokens = _sets(texts, "doc_id", "text", _tokens, "class long, tokens binary")
-    tokens = materialize(tokens.select("class", "tokens").dropDuplicates(["class"]), "tokens")
-    release(docs.sparkSession)  # texts went by document, once
-    label = similar_classes(groups, tokens)
+    label = similar_classes(groups, texts, shown)
     joined = filled.select("doc_id", "class").join(label, "class", "left").select(
         "doc_id", "class", F.coalesce("component", "class").alias("component"))
     first = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
