@@ -137,6 +137,19 @@ def apply_resolutions(alerts: DataFrame, resolved: DataFrame) -> DataFrame:
     }).select(*ALERT.names)
 
 
+def cascade_closings(alerts: DataFrame) -> DataFrame:
+    """Of the open cascades whose contributing alerts are all resolved: `id`, `resolved_at` of the last (not before the
+    cascade itself). An acknowledged or unknown contributor keeps its cascade open."""
+    held = "struct<contributing_services:array<struct<service_name:string,alert_id:string>>>"
+    members = alerts.filter("anomaly_type = 'CASCADE' and status = 'open'").select(
+        F.col("id").alias("cascade_id"), F.col("detected_at").alias("_since"),
+        F.explode(F.from_json("cascade_context", held)["contributing_services"]["alert_id"]).alias("id"))
+    known = alerts.select("id", F.when(F.col("status") == "resolved", F.col("resolved_at")).alias("_at"))
+    found = members.join(known, "id", "left").groupBy(F.col("cascade_id").alias("id")).agg(
+        F.count_if(F.col("_at").isNull()).alias("_open"), F.max("_at").alias("_last"), F.max("_since").alias("_since"))
+    return found.filter("_open = 0").select("id", F.greatest("_last", "_since").alias("resolved_at"))
+
+
 def _first_requests(acks: DataFrame) -> DataFrame:
     """The earliest request per tenant and alert; later ones find it acknowledged."""
     return acks.groupBy("tenant_id", F.col("alert_id").alias("id")).agg(

@@ -377,6 +377,19 @@ def _brief(df: DataFrame, *more: str) -> DataFrame:
     return df.select(*_BRIEF, stamp("detected_at"), *more)
 
 
+@query(f"""SELECT id, source_id, severity, CASE WHEN closed_at IS NULL THEN 'open' ELSE 'resolved' END AS status,
+    {o.stamp('detected_at')} AS detected_at, {o.stamp('closed_at')} AS resolved_at
+    FROM (SELECT a.*, CASE WHEN all_closed THEN greatest(last_closed, a.detected_at) END AS closed_at FROM alerts a
+      JOIN (SELECT tenant_id, m.detected_at, bool_and(k.resolved_at IS NOT NULL) AS all_closed, max(k.resolved_at) AS last_closed
+        FROM members m JOIN known_spikes k USING (tenant_id) WHERE k.id = m.alert_id GROUP BY ALL) c
+      ON c.tenant_id = a.tenant_id AND c.detected_at = a.detected_at WHERE anomaly_type = 'CASCADE')""")
+def closed_cascades(spark, sf_dir):
+    """Cascades end when all their contributing alerts have."""
+    alerts = stored_alerts(spark, sf_dir)
+    rows = lifecycle.apply_resolutions(alerts, lifecycle.cascade_closings(alerts)).filter(F.col("anomaly_type") == detectors.CASCADE)
+    return rows.select("id", "source_id", "severity", "status", stamp("detected_at"), stamp("resolved_at"))
+
+
 @query(f"""SELECT {_BRIEF_SQL} FROM (SELECT * FROM alerts WHERE tenant_id = 't-1' AND severity = 'CRITICAL'
     AND status = 'resolved' AND detected_at >= TIMESTAMP '2024-01-05' AND detected_at <= TIMESTAMP '2024-01-25'
     ORDER BY detected_at DESC, id DESC LIMIT 100)""")
@@ -677,21 +690,34 @@ def expired_keys(spark, sf_dir):
 
 # -- evaluation --------------------------------------------------------------
 
-_HIGH = "n >= 2 AND error_rate >= 0.5"
+# What each detector should find, by a simple rule on raw numbers; the gap is in whole windows.
+_EXPECTED = {
+    "ERROR_RATE_SPIKE": "n >= 2 AND error_rate >= 0.5",
+    "LATENCY_SPIKE": "lat_mean >= 150",
+    "SERVICE_SILENCE": f"gap >= {fx.EVENT_PARAMS.silence_s + 2 * fx.EVENT_PARAMS.window_s}",
+}
+_FOUND_BY = {"ERROR_RATE_SPIKE": "spikes", "LATENCY_SPIKE": "lat_spikes", "SERVICE_SILENCE": "silences"}
+_TRIALS = " UNION ALL ".join(f"""SELECT '{name}' AS detector, coalesce({rule}, false) AS expected, EXISTS (
+      SELECT 1 FROM {_FOUND_BY[name]} f WHERE f.tenant_id = b.tenant_id AND f.source_id = b.source_id AND f.pos = b.pos) AS fired
+    FROM (SELECT *, epoch(detected_at) - epoch(lag(detected_at) OVER (PARTITION BY tenant_id, source_id ORDER BY pos)) AS gap FROM base) b"""
+    for name, rule in _EXPECTED.items())
 
 
-@query(f"""SELECT 'ERROR_RATE_SPIKE' AS detector, count(*) FILTER (fired AND expected) AS tp, count(*) FILTER (fired AND NOT expected) AS fp,
+@query(f"""SELECT detector, count(*) FILTER (fired AND expected) AS tp, count(*) FILTER (fired AND NOT expected) AS fp,
     count(*) FILTER (NOT fired AND expected) AS fn, count(*) FILTER (NOT fired AND NOT expected) AS tn,
     round(coalesce(count(*) FILTER (fired AND expected) / nullif(count(*) FILTER (fired), 0), 1.0), 6) AS precision,
     round(coalesce(count(*) FILTER (fired AND expected) / nullif(count(*) FILTER (expected), 0), 0.0), 6) AS recall,
     round(coalesce(count(*) FILTER (fired AND NOT expected) / nullif(count(*) FILTER (NOT expected), 0), 0.0), 6) AS false_positive_rate
-    FROM (SELECT is_spike AS fired, {_HIGH} AS expected FROM base)""")
+    FROM ({_TRIALS}) GROUP BY detector""")
 def detector_scorecard(spark, sf_dir):
-    """Spikes against a simple rule on the raw error fraction."""
+    """Three detectors against simple rules on the raw observations."""
     d = detection(spark, sf_dir)
-    labels = d.base.select("tenant_id", "source_id", "detected_at", F.lit(detectors.SPIKE).alias("detector"),
-                           F.expr(_HIGH).alias("expected"))
-    card = quality.scorecard(quality.detection_trials(d.base, d.spikes, labels, [detectors.SPIKE]))
+    gap = (F.unix_seconds("detected_at") - F.unix_seconds("prev_detected_at")).alias("gap")
+    rows = d.base.select("tenant_id", "source_id", "detected_at", "n", "error_rate", "lat_mean", gap)
+    labels = rows.select("tenant_id", "source_id", "detected_at", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("detector"), F.coalesce(F.expr(rule), F.lit(False)).alias("expected")) for name, rule in _EXPECTED.items()])))
+    found = d.spikes.unionByName(d.latency_spikes).unionByName(d.silences)
+    card = quality.scorecard(quality.detection_trials(d.base, found, labels, list(_EXPECTED)))
     return card.select("detector", "tp", "fp", "fn", "tn", r6("precision"), r6("recall"), r6("false_positive_rate"))
 
 

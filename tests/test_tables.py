@@ -237,6 +237,26 @@ def test_interrupted_writes_leave_the_version(spark, tmp_path, monkeypatch):
     assert table.read().count() == 6 and len(table.versions()) == 2
 
 
+def test_cascades_close_with_their_members(spark):
+    import json
+
+    def cascade(i, members, **more):
+        said = {"contributing_services": [{"service_name": f"svc{k}", "alert_id": m} for k, m in enumerate(members)]}
+        return {"id": i, "anomaly_type": "CASCADE", "detected_at": NOW + timedelta(minutes=5), "cascade_context": json.dumps(said), **more}
+
+    minute = lambda m: NOW + timedelta(minutes=m)
+    df = alerts(
+        spark, {"id": "a", "status": "resolved", "resolved_at": minute(9)}, {"id": "b", "status": "resolved", "resolved_at": minute(2)},
+        {"id": "c"}, {"id": "d", "status": "acknowledged", "resolved_at": None},
+        cascade("x", "ab"), cascade("early", "bb"), cascade("y", "ac"), cascade("z", "ad"), cascade("lost", ["a", "gone"]),
+        cascade("done", "ab", status="resolved", resolved_at=minute(6)))
+    closings = lifecycle.cascade_closings(df)
+    assert {r.id: r.resolved_at.replace(tzinfo=timezone.utc) for r in closings.collect()} == {"x": minute(9), "early": minute(5)}
+    got = {r.id: r.status for r in lifecycle.apply_resolutions(df, closings).filter("anomaly_type = 'CASCADE'").collect()}
+    assert got == {"x": "resolved", "early": "resolved", "y": "open", "z": "open", "lost": "open", "done": "resolved"}
+    assert lifecycle.cascade_closings(df.limit(0)).count() == 0
+
+
 def test_current_alerts(spark):
     opened = alerts(spark, {"id": "a"}, {"id": "b"}, {"id": "c"})
     closed = spark.createDataFrame([("a", NOW + DAY), ("b", NOW + DAY)], "id string, resolved_at timestamp")
