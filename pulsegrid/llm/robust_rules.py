@@ -1,9 +1,10 @@
 """Quality rules: fixed rules per document, then robust multivariate outliers per language and source.
 
 The minimum covariance determinant (MCD) of a group is the mean and covariance of the part of its documents whose
-covariance has the least determinant. It is sought by concentration steps from the coordinatewise medians: measure all
-distances, keep the nearest part, estimate anew. Everything is a DataFrame operation; a step aggregates sums and counts
-per group, so a group of any size is spread over all tasks.
+covariance has the least determinant. It is sought by concentration steps: measure all distances, keep the nearest part,
+estimate anew. Three starts, all around the coordinatewise medians, take two steps each; the one of the least determinant
+goes on until it settles. Everything is a DataFrame operation: a step is one aggregate of counts, sums and products per
+group and bin of distance, so a group of any size is spread over all tasks and what follows is a small table.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ class OutlierParams:
     rare: float = 1e-3
     prior: float = 20.0
     least: tuple[float, ...] = (0.05, 0.3, 0.5, 0.5)
+    first_steps: int = 2
     steps: int = 20
     settled: float = 1e-4
 
@@ -113,33 +115,39 @@ def with_noise(rows: DataFrame, p: OutlierParams) -> DataFrame:
     return out.select(*rows.columns[:-2], *(F.coalesce(v, F.lit(0.0)).alias(c) for c, v in zip(NOISE, noise)))
 
 
+def _settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that later ones build on. Exploding an array of one keeps the optimizer from writing each out again
+    wherever it is used, which made plans of hundreds of thousands of characters."""
+    held = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_held")
+    return df.select("*", held).select("*", "_held.*").drop("_held")
+
+
 def distances(rows: DataFrame, estimates: DataFrame, p: OutlierParams) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance, by a Cholesky factor written out in columns.
+    """Adds d2, the squared Mahalanobis distance, by a Cholesky factor made column by column, and `start` if estimates
+    have it.
 
     NOISE, if the rows have it, makes up what a group's variance without its floor lacks of it.
     """
-    out = rows.join(estimates, ["g"])
-    low = {}
+    out = rows.join(estimates, "g")
     noisy = NOISE[0] in rows.columns
     lacks = lambda i: F.greatest(F.col(NOISE[i]) - (F.col(f"c{i}{i}") - p.least[i] ** 2), F.lit(0.0))
-    for i, axis in enumerate(AXES):
-        for j in range(i + 1):
-            name = f"l{i}{j}"
-            value = F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            if noisy and i == j:
-                value = value + lacks(i)
-            elif noisy and (AXES[i], AXES[j]) == ("repeats", "lines"):
-                value = value + F.col("together") * F.sqrt(lacks(i) * lacks(j))
-            if i == j:
-                value = F.sqrt(F.greatest(value, F.lit(p.least[i] ** 2 / 4)))
-            else:
-                value = value / F.col(f"l{j}{j}")
-            low[name] = name
-            out = out.withColumn(name, value)
-        turned = F.col(axis) - F.col(f"m{i}") - sum((F.col(f"l{i}{k}") * F.col(f"z{k}") for k in range(i)), F.lit(0.0))
-        out = out.withColumn(f"z{i}", turned / F.col(f"l{i}{i}"))
+
+    def cov(i: int, j: int) -> Column:
+        value = F.col(f"c{i}{j}")
+        if noisy and i == j:
+            value = value + lacks(i)
+        elif noisy and (AXES[i], AXES[j]) == ("repeats", "lines"):
+            value = value + F.col("together") * F.sqrt(lacks(i) * lacks(j))
+        return value
+
+    for j, axis in enumerate(AXES):
+        less = lambda i: sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+        out = _settle(out, {f"l{j}{j}": F.sqrt(F.greatest(cov(j, j) - less(j), F.lit(p.least[j] ** 2 / 4)))})
+        turned = F.col(axis) - F.col(f"m{j}") - sum((F.col(f"l{j}{k}") * F.col(f"z{k}") for k in range(j)), F.lit(0.0))
+        below = {f"l{i}{j}": (cov(i, j) - less(i)) / F.col(f"l{j}{j}") for i in range(j + 1, len(AXES))}
+        out = _settle(out, below | {f"z{j}": turned / F.col(f"l{j}{j}")})
     total = sum((F.col(f"z{i}") ** 2 for i in range(1, len(AXES))), F.col("z0") ** 2)
-    return out.withColumn("d2", total).select(*rows.columns, "d2")
+    return out.withColumn("d2", total).select(*rows.columns, *(c for c in ["start"] if c in estimates.columns), "d2")
 
 
 def lower_part(rows: DataFrame, group: list[str], bin_: Column, part: float) -> DataFrame:
@@ -150,19 +158,35 @@ def lower_part(rows: DataFrame, group: list[str], bin_: Column, part: float) ->
     return bins.where(F.col("upto") >= part * F.col("all")).groupBy(*group).agg(F.min("bin").alias("bound"))
 
 
-def moments(rows: DataFrame, p: OutlierParams) -> DataFrame:
-    """Mean and regularised covariance per group g of the given rows, each group beside `prior` rows of its language."""
+_SUMS = [f"s{i}" for i in range(len(AXES))] + [f"q{i}{j}" for i, j in PAIRS]
+
+
+def sums_of(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Counts, sums and sums of products of the AXES."""
     product = lambda i, j: F.col(AXES[i]) * F.col(AXES[j])
-    sums = rows.groupBy("g", "lang").agg(
+    return rows.groupBy(*by).agg(
         F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(a).alias(f"s{i}") for i, a in enumerate(AXES)),
         *(F.sum(product(i, j)).alias(f"q{i}{j}") for i, j in PAIRS))
-    names = [c for c in sums.columns if c[0] in "sq"]
-    of_lang = sums.groupBy("lang").agg(F.sum("n").alias("in_lang"), *(F.sum(c).alias(f"t{c}") for c in names))
-    both = sums.join(of_lang, sums.lang.eqNullSafe(of_lang.lang)).select(
-        "g", (F.col("n") + p.prior).alias("size"), *((F.col(c) + p.prior * F.col(f"t{c}") / F.col("in_lang")).alias(c) for c in names))
+
+
+def estimates_of(sums: DataFrame, p: OutlierParams) -> DataFrame:
+    """Mean and regularised covariance per group g and start, each group beside `prior` rows of its language."""
+    sums = sums.groupBy("g", "lang", "start").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in _SUMS))
+    of_lang = sums.groupBy(F.col("lang").alias("_lang"), F.col("start").alias("_start")).agg(
+        F.sum("n").alias("in_lang"), *(F.sum(c).alias(f"t{c}") for c in _SUMS))
+    same = F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("start") == F.col("_start"))
+    both = sums.join(of_lang, same).select(
+        "g", "start", (F.col("n") + p.prior).alias("size"),
+        *((F.col(c) + p.prior * F.col(f"t{c}") / F.col("in_lang")).alias(c) for c in _SUMS))
     mean = lambda i: F.col(f"s{i}") / F.col("size")
     cov = lambda i, j: F.col(f"q{i}{j}") / F.col("size") - mean(i) * mean(j) + (p.least[i] ** 2 if i == j else 0.0)
-    return both.select("g", *(mean(i).alias(f"m{i}") for i in range(len(AXES))), *(cov(i, j).alias(f"c{i}{j}") for i, j in PAIRS))
+    return both.select(
+        "g", "start", *(mean(i).alias(f"m{i}") for i in range(len(AXES))), *(cov(i, j).alias(f"c{i}{j}") for i, j in PAIRS))
+
+
+def moments(rows: DataFrame, p: OutlierParams) -> DataFrame:
+    """`estimates_of` all given rows (g, lang, AXES)."""
+    return estimates_of(sums_of(rows.withColumn("start", F.lit(0)), ["g", "lang", "start"]), p).drop("start")
 
 
 def chi2(x: float, dof: int) -> float:
@@ -186,29 +210,74 @@ def spread(estimates: DataFrame, p: OutlierParams) -> DataFrame:
     return estimates.withColumns(grown)
 
 
+def determinants(estimates: DataFrame, p: OutlierParams) -> DataFrame:
+    """Adds `logdet` of the covariance, by the same factor."""
+    out = estimates
+    for j in range(len(AXES)):
+        less = lambda i: sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+        out = _settle(out, {f"l{j}{j}": F.sqrt(F.greatest(F.col(f"c{j}{j}") - less(j), F.lit(p.least[j] ** 2 / 4)))})
+        below = {f"l{i}{j}": (F.col(f"c{i}{j}") - less(i)) / F.col(f"l{j}{j}") for i in range(j + 1, len(AXES))}
+        out = _settle(out, below) if below else out
+    logdet = sum((2 * F.log(f"l{j}{j}") for j in range(1, len(AXES))), 2 * F.log("l00"))
+    return out.select(*estimates.columns, logdet.alias("logdet"))
+
+
+def starts(rows: DataFrame, p: OutlierParams) -> DataFrame:
+    """Three first estimates per group, around its medians (to 1/64): with the median deviations alone, with the covariance
+    of values drawn in to 2.5 deviations, and with that of the directions in which rows lie."""
+    stacked = rows.select("g", F.posexplode(F.array(*AXES)).alias("axis", "x"))
+    mid = lower_part(stacked, ["g", "axis"], F.floor(F.col("x") * 64), 0.5).select("g", "axis", (F.col("bound") / 64).alias("mid"))
+    mid = materialize(mid, "medians")
+    off = lower_part(stacked.join(mid, ["g", "axis"]), ["g", "axis"], F.floor(F.abs(F.col("x") - F.col("mid")) * 64), 0.5)
+    off = off.select("g", "axis", ((F.col("bound") + 1) / 64 * 1.4826).alias("off")).join(mid, ["g", "axis"])
+    pick = lambda c, i: F.max(F.when(F.col("axis") == i, F.col(c)))
+    centre = materialize(off.groupBy("g").agg(
+        *(pick("mid", i).alias(f"m{i}") for i in range(len(AXES))), *(pick("off", i).alias(f"d{i}") for i in range(len(AXES)))), "centres")
+    z = [(F.col(a) - F.col(f"m{i}")) / F.col(f"d{i}") for i, a in enumerate(AXES)]
+    near = _settle(rows.join(centre, "g"), {f"z{i}": v for i, v in enumerate(z)})
+    far = F.sqrt(sum((F.col(f"z{i}") ** 2 for i in range(1, len(AXES))), F.col("z0") ** 2))
+    drawn = {f"w{i}": F.greatest(F.least(F.col(f"z{i}"), F.lit(2.5)), F.lit(-2.5)) for i in range(len(AXES))}
+    turned = {f"u{i}": F.when(far > 0, F.col(f"z{i}") / far).otherwise(0.0) for i in range(len(AXES))}
+    near = _settle(near, drawn | turned)
+    size = F.count(F.lit(1))
+    shape = near.groupBy("g").agg(
+        *((F.sum(F.col(f"w{i}") * F.col(f"w{j}")) / size - F.avg(f"w{i}") * F.avg(f"w{j}")).alias(f"w{i}{j}") for i, j in PAIRS),
+        *((F.sum(F.col(f"u{i}") * F.col(f"u{j}")) / size * len(AXES)).alias(f"u{i}{j}") for i, j in PAIRS)).join(centre, "g")
+    floor = lambda i, j: F.lit(p.least[i] ** 2 if i == j else 0.0)
+    scaled = lambda kind, i, j: F.col(f"{kind}{i}{j}") * F.col(f"d{i}") * F.col(f"d{j}") + floor(i, j)
+    alone = lambda i, j: (F.col(f"d{i}") ** 2 if i == j else F.lit(0.0)) + floor(i, j)
+    forms = [alone, lambda i, j: scaled("w", i, j), lambda i, j: scaled("u", i, j)]
+    every = F.array(*(F.struct(F.lit(k).alias("start"), *(form(i, j).alias(f"c{i}{j}") for i, j in PAIRS)) for k, form in enumerate(forms)))
+    return shape.select("g", *(f"m{i}" for i in range(len(AXES))), F.explode(every).alias("e")).select(
+        "g", "e.start", *(f"m{i}" for i in range(len(AXES))), *(f"e.c{i}{j}" for i, j in PAIRS))
+
+
+def concentrated(rows: DataFrame, now: DataFrame, p: OutlierParams) -> DataFrame:
+    """Estimates of the part of each group that lies nearest by the estimates `now`. Bins of distance stand for their
+    rows, so the part may be larger by one bin."""
+    binned = distances(rows, now, p).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 32))
+    sums = materialize(sums_of(binned, ["g", "lang", "start", "bin"]), "mcd-bins")
+    upto = Window.partitionBy("g", "start").orderBy("bin", "lang")
+    whole = Window.partitionBy("g", "start")
+    placed = sums.withColumns({"upto": F.sum("n").over(upto) - F.col("n"), "all": F.sum("n").over(whole)})
+    nearest = placed.where(F.col("upto") < p.part * F.col("all"))
+    return materialize(determinants(spread(estimates_of(nearest, p), p), p), "mcd")
+
+
 def estimate(rows: DataFrame, p: OutlierParams) -> DataFrame:
     """MCD of every group g of `rows` (g, lang, AXES, and NOISE if measured)."""
-    # Medians and median deviations, to 1/64, start the search.
-    median = rows.select("g").distinct()
-    for i, axis in enumerate(AXES):
-        mid = lower_part(rows, ["g"], F.floor(F.col(axis) * 64), 0.5).select("g", (F.col("bound") / 64).alias(f"m{i}"))
-        off = lower_part(rows.join(mid, "g"), ["g"], F.floor(F.abs(F.col(axis) - F.col(f"m{i}")) * 64), 0.5)
-        off = off.select("g", ((F.col("bound") + 1) / 64 * 1.4826).alias("dev"))
-        median = median.join(mid.join(off, "g").select(
-            "g", f"m{i}", (F.col("dev") ** 2 + p.least[i] ** 2).alias(f"c{i}{i}")), "g")
-    now = materialize(median.withColumns({f"c{i}{j}": F.lit(0.0) for i, j in PAIRS if i != j}), "mcd")
-    last = None
-    for _ in range(p.steps):
-        near = distances(rows, now, p).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 32))
-        bound = lower_part(near, ["g"], F.col("bin"), p.part)
-        kept = near.join(bound, "g").where(F.col("bin") <= F.col("bound"))
-        now = materialize(spread(moments(kept, p), p), "mcd")
-        # The product of the variances left after the axes before falls from step to step; all groups settle.
-        size = now.agg(F.sum(F.log("c00") + F.log("c11") + F.log("c22") + F.log("c33")), F.count(F.lit(1))).first()
+    now = materialize(starts(rows, p), "mcd")
+    for _ in range(p.first_steps):
+        now = concentrated(rows, now.drop("logdet"), p)
+    best = now.groupBy("g").agg(F.min(F.struct("logdet", "start")).alias("best")).select("g", "best.start")
+    now, last = materialize(now.join(best, ["g", "start"]), "mcd"), None
+    for _ in range(p.steps - p.first_steps):
+        size = now.agg(F.sum("logdet"), F.count(F.lit(1))).first()
         if last is not None and abs(last - (size[0] or 0)) <= p.settled * max(size[1], 1):
             break
         last = size[0] or 0
-    return now
+        now = concentrated(rows, now.drop("logdet"), p)
+    return now.drop("logdet", "start")
 
 
 def quality_rules(
