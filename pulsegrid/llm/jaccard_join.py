@@ -293,20 +293,47 @@ def components(nodes: DataFrame, edges: DataFrame, tables: Tables) -> DataFrame:
         label = label.select("node", "root")
 
 
+def from_texts(sent: DataFrame, texts: DataFrame, shown: DataFrame) -> DataFrame:
+    """Token sets of whole groups' members (class, group, chunk, component), straight from one document of each class."""
+    wanted = sent.join(shown, "class").groupBy("want").agg(
+        F.collect_list(F.struct("class", "group", "chunk", "component")).alias("places"))
+    return sent_tokens(texts.join(wanted, texts.doc_id.eqNullSafe(wanted.want)).select(
+        F.encode(whole_text("text"), "utf-8").alias("text"), "places"))
+
+
+def links_of(rows: DataFrame, tables: Tables) -> DataFrame:
+    rows = rows.select("group", "chunk", "pivot", "whole", "component", "tokens")
+    rows = rows.repartition("group", "chunk").sortWithinPartitions("group", "chunk", F.desc("pivot"))
+    return tables.write(open_groups(rows).distinct(), "links")
+
+
+def joined_by(links: DataFrame, label: DataFrame, tables: Tables) -> DataFrame:
+    """`label` (class, component) with components joined by links."""
+    if links.isEmpty():
+        return label
+    root = components(label.select(F.col("component").alias("node")).distinct(), links, tables)
+    return label.join(root, label.component == root.node).select("class", F.col("root").alias("component"))
+
+
 def similar_classes(groups: DataFrame, texts: DataFrame, shown: DataFrame) -> DataFrame:
     """(class, component) of the classes in `groups` (group, class, lead); `shown` (class, want) names a document of each.
 
     `texts` are doc_id and text of all documents.
     """
-    spark, old, tokens = groups.sparkSession, None, None
+    spark, tokens = groups.sparkSession, None
     label = groups.select("class").distinct().select("class", F.col("class").alias("component"))
+    # First everyone meets the largest of its small groups only: most groups lie within one component from then on.
+    old = Tables(spark, "jaccard")
+    small = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= CHUNK)
+    main = groups.join(small, "group").groupBy("class").agg(F.max(F.struct("n", "group")).alias("m")).select(
+        "class", "m.group", F.lit(0).cast("long").alias("chunk"), F.col("class").alias("component"))
+    label = joined_by(links_of(from_texts(main, texts, shown), old), label, old)
     members, number = groups, 0
     while True:
         tables = Tables(spark, "jaccard")
         members = tables.write(members.select("group", "class", "lead").join(label, "class"), "members")
         label = tables.write(label, "component")
-        if old:
-            old.drop()
+        old.drop()
         old, number = tables, number + 1
         # Groups that span components, and the component of which each has most members.
         shares = members.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n"), F.max("lead").alias("led"))
@@ -332,11 +359,7 @@ def similar_classes(groups: DataFrame, texts: DataFrame, shown: DataFrame) -> Da
             "whole OR has").drop("has"))
         found = []
         if number == 1:  # groups that fit a chunk now are met this once
-            wanted = sent.where("whole").join(shown, "class").groupBy("want").agg(
-                F.collect_list(F.struct("class", "group", "chunk", "component")).alias("places"))
-            near = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.want)).select(
-                F.encode(whole_text("text"), "utf-8").alias("text"), "places")
-            found.append(sent_tokens(near))
+            found.append(from_texts(sent.where("whole").select("class", "group", "chunk", "component"), texts, shown))
             large = asked.where("chunks > 1").select("class").distinct()
             if not large.isEmpty():
                 some = texts.join(shown.join(large, "class"), texts.doc_id.eqNullSafe(F.col("want")), "left_semi")
@@ -345,15 +368,8 @@ def similar_classes(groups: DataFrame, texts: DataFrame, shown: DataFrame) -> Da
                 found.append(sent.where("not whole").join(tokens, "class"))
         else:
             found.append(sent.join(tokens, "class"))
-        links = None
-        for rows in found:
-            rows = rows.select("group", "chunk", "pivot", "whole", "component", "tokens")
-            rows = rows.repartition("group", "chunk").sortWithinPartitions("group", "chunk", F.desc("pivot"))
-            part = tables.write(open_groups(rows).distinct(), "links")
-            links = part if links is None else links.union(part)
-        if not links.isEmpty():
-            root = components(label.select(F.col("component").alias("node")).distinct(), links, tables)
-            label = label.join(root, label.component == root.node).select("class", F.col("root").alias("component"))
+        links = [links_of(rows, tables) for rows in found]  # one after the other; both name the components of this round
+        label = joined_by(links[0] if len(links) == 1 else links[0].union(links[1]), label, tables)
         # Pivots have met everyone in their groups.
         members = asked.where("chunks > 1 AND NOT pivot").select("group", "class", F.lit(False).alias("lead"))
 
