@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from pulsegrid.operators import detectors, lifecycle, observe
+from pulsegrid.operators import detectors, observe
 from pulsegrid.operators.observe import KEYS
 from pulsegrid.operators.ordered import running
 from pulsegrid.params import MICROS, DetectorParams

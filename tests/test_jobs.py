@@ -2,7 +2,6 @@
 
 import json
 import os
-from datetime import timedelta
 
 from pyspark.sql import functions as F
 
