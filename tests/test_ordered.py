@@ -117,6 +117,28 @@ def test_cooldown_worked_case(spark):
     assert sorted(r[0] for r in kept) == [0, 300, 600, 1000]
 
 
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_cooldown_of_many_small_keys(spark, batch):
+    """Keys cost no Python call each; chunks and keys may end anywhere in a batch; null keys and times are left out."""
+    rng = random.Random(batch)
+    rows = [(k, rng.randrange(40 * 86_400)) for k in range(400) for _ in range(rng.choice([1, 2, 60]))]
+    odd = [(None, 5), (3, None), (None, None)]
+    df = spark.createDataFrame(rows + odd, "k bigint, s bigint").withColumn("ts", F.timestamp_seconds("s"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = ordered.cooldown(df, ["k"], "ts", 86_400)
+        assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+        found = [tuple(r) for r in got.select("k", F.unix_seconds("ts")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, last = [], {}
+    for k, t in sorted(set(rows)):
+        if k not in last or t - last[k] >= 86_400:
+            last[k] = t
+            want.append((k, t))
+    assert sorted(found) == want
+
+
 def test_nearest_rank(spark):
     rng = random.Random(4)
     values = {"hot": [rng.randrange(50) for _ in range(1000)], "few": [5, 1, 9], "one": [7], "even": [1, 2, 3, 10]}
