@@ -4,6 +4,7 @@ import json
 import os
 
 from pulsegrid.params import DetectorParams
+from pulsegrid.plans import fixtures
 from pulsegrid.plans.batch import Detection
 from pulsegrid.sources import tail
 from pulsegrid.streaming import engine
@@ -275,3 +276,19 @@ def test_landing_folder(spark, tmp_path):
     row = landing.pushed_files(spark, str(tmp_path)).collect()[0]
     assert row.entries[0].message == "m" and row.entries[0].metadata == {"a": "b"}
     assert landing.pushed_stream(spark, str(tmp_path)).isStreaming
+
+
+def test_event_slices_are_written_by_many_tasks(spark, tmp_path):
+    rows = [(i, f"2024-01-{1 + i % 28:02} 00:00:00", i, "error", 1.0, "{}") for i in range(600)]
+    events = spark.createDataFrame(rows, "event_id bigint, at string, user_id bigint, event_type string, value double, props string")
+    events = events.coalesce(1).selectExpr("event_id", "cast(at as timestamp) ts", "user_id", "event_type", "value", "props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    taken = []
+    for slice_ in fixtures.event_slices(spark, str(tmp_path), str(tmp_path / "in")):
+        folder = tmp_path / "in" / f"part={len(taken)}"
+        assert len(list(folder.glob("*.parquet"))) > 1
+        add = lambda df, batch: taken.append((batch, df.count()))
+        slice_.writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(add).trigger(
+            availableNow=True).start().awaitTermination()
+    early = sum(i % 28 < 14 for i in range(600))
+    assert taken == [(0, early), (1, 600 - early)]
