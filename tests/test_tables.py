@@ -100,6 +100,22 @@ def test_delivery_rounds(spark):
     assert routing.retry_queue(failed, bare, due).count() == 0
 
 
+def test_one_crowded_tenant(spark):
+    """A tenant's alerts meet its subscriptions slice by slice; what is written of a delivery has no payload."""
+    keys = make(spark, API_KEY, [{"id": f"k{i}", "webhook_url": "u", "tenant_id": "t"} for i in range(300)] + [
+        {"id": "few", "webhook_url": "u", "tenant_id": "small"}, {"id": "idle", "webhook_url": "u", "tenant_id": "none"}])
+    rows = alerts(spark, *[{"id": f"a{i}", "full_payload": f"p{i}"} for i in range(5)],
+                  {"id": "b", "tenant_id": "small", "full_payload": "pb"}, {"id": "c", "tenant_id": "keyless"})
+    queue = routing.delivery_queue(rows, keys)
+    assert "_slice" in queue._jdf.queryExecution().optimizedPlan().toString()
+    want = {(f"a{i}", f"k{j}", f"p{i}") for i in range(5) for j in range(300)} | {("b", "few", "pb")}
+    found = [tuple(r) for r in queue.select("alert_id", "api_key_id", "payload").collect()]
+    assert len(found) == len(want) and set(found) == want
+    kept = routing.stored(queue, rows, "queue")
+    assert kept.columns == queue.columns and sorted(kept.collect()) == sorted(queue.collect())
+    assert "payload" not in kept.select("delivery_id", "target_url")._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("n,ok_at,last_attempt,disabled", [(10, None, 3, True), (9, None, 3, False), (10, 4, 3, False), (12, 11, 3, True), (10, None, 2, False)])
 def test_auto_disable(spark, n, ok_at, last_attempt, disabled):
     rows = [{"id": f"d{i:02}", "created_at": NOW - timedelta(minutes=i), "success": i == ok_at, "attempt_number": last_attempt}
