@@ -100,7 +100,7 @@ def runs_of(word: Sequence[int]) -> list[Run]:
                 covered = []
                 while stack and stack[-1][0] <= deep:
                     covered.append(stack.pop())
-                if stack:
+                if stack and (not covered or covered[-1][0] < deep):  # the next segment reaches up to here
                     covered.append((deep, stack[-1][1]))
                 while covered:
                     at, end = covered.pop()

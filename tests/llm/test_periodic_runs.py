@@ -75,6 +75,13 @@ def test_runs_of_any_words(parts):
     assert runs.runs_of_texts([words]) == [every_run(words)]
 
 
+def test_a_segment_that_ends_where_an_access_comes_in():
+    """The deeper segment below it is no part of the path: it gave a second period, or a shorter run."""
+    for parts in ([("aa", 9), ("b", 22), ("a", 1), ("b", 24)], [("aa", 17), ("b", 25), ("a", 2), ("b", 23)]):
+        words = list("".join(unit * times for unit, times in parts))
+        assert runs.runs_of_texts([words]) == [every_run(words)]
+
+
 def test_long_runs_of_one_and_of_nested_periods():
     assert runs.runs_of([5] * 20_000) == [(0, 20_000, 1)]
     inner = [1] * 30 + [2]
