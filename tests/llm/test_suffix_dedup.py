@@ -95,6 +95,53 @@ def test_large_buckets_in_blocks(spark, monkeypatch):
     compare(spark, rows)
 
 
+def near_copies(n):
+    """Rows of one text that differ in one byte each, at any place."""
+    pick = random.Random(11)
+    text = "".join(pick.choices("abcdefgh ", k=1200))
+    places = [pick.randrange(1200) for _ in range(n)]
+    return [(k, text[:p] + chr(65 + k % 26) + text[p + 1:]) for k, p in enumerate(places)]
+
+
+def test_large_buckets_make_no_row_a_suffix(spark, monkeypatch):
+    monkeypatch.setattr(sd, "BLOCK", 20)
+    most, write = [], sd.Tables.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        most.append(out.count())
+        return out
+
+    monkeypatch.setattr(sd.Tables, "write", counted)
+    rows = near_copies(80)
+    compare(spark, rows)
+    assert max(most) < 80 * 40, most  # a text has 801 suffixes
+
+
+def test_large_buckets_cut_to_single_suffixes(spark, monkeypatch):
+    monkeypatch.setattr(sd, "BLOCK", 1)
+    pick = random.Random(5)
+    compare(spark, near_copies(12) + [(100 + k, "".join(pick.choices("ab", k=20)) + "q" * pick.randrange(400, 900)) for k in range(8)])
+
+
+def test_suffixes_of_several_buckets_at_once():
+    text = bytes(random.Random(4).choices(b"abcd", k=500))
+    other = text[:450] + b"X" + text[451:]
+    got = sd.repeated_suffixes([text, text, other, text], np.array([90, 90, 90, 90]), np.array([80] * 4), 400, np.array([1, 2, 1, 3]))
+    assert got[0].tolist() == got[2].tolist() == [k <= 50 for k in range(80)]
+    assert not got[1].any() and not got[3].any()
+
+
+def test_query_gives_kept_text_and_share(spark, tmp_path):
+    from pulsegrid.llm.queries import QUERIES
+
+    passage = "".join(random.Random(6).choices("abcdef", k=399)) + "é"
+    rows = [(1, "left " + passage), (2, passage + " right"), (3, "é"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, round(r.removed_share, 4), r.kept_text) for r in QUERIES["op9_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: (401, round(401 / 406, 4), "left "), 2: (401, round(401 / 407, 4), " right"), 3: (0, 0, "é"), 4: (0, 0, "")}
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     text = "".join(random.Random(1).choices("abcdef", k=500))
     docs = spark.createDataFrame([(1, text), (1, text), (None, text[:399]), (None, None)], "doc_id long, text string")
