@@ -143,6 +143,12 @@ class Words(dict):
         self[word] = len(self)
         return len(self) - 1
 
+    def kept(self, numbers) -> "Words":
+        """The words of these ascending numbers, numbered anew in that order."""
+        out, names = Words(), list(self)
+        out.update((names[k], n) for n, k in enumerate(numbers.tolist()))
+        return out
+
 
 class TextEncoder:
     """Encodes texts, merging only words that it has not seen lately."""

@@ -49,11 +49,21 @@ class WordEncoder:
         self.size = self.library.get_vocab_size()
         self.ends_word = np.zeros(self.size, dtype=bool)
         self.ends_word[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
-        self.forget()
+        self.words, self.parts, self.uses = Words(), Words(), np.empty(0, np.int64)
+        self.of_words, self.of_parts = Runs(np.int64), Runs(np.uint32)
 
     def forget(self):
-        self.words, self.parts = Words(), Words()
+        """Keeps the words that came more than once, at most half of what may be remembered, and their parts."""
+        kept = np.flatnonzero(self.uses > 1)
+        kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[:REMEMBERED_WORDS // 2]])
+        parts, bound = self.of_words.take(kept)
+        used, numbers = np.unique(parts, return_inverse=True)
+        ids, ends = self.of_parts.take(used)
+        self.words, self.parts = self.words.kept(kept), self.parts.kept(used)
         self.of_words, self.of_parts = Runs(np.int64), Runs(np.uint32)
+        self.of_words.add(numbers, np.diff(bound))
+        self.of_parts.add(ids, np.diff(ends))
+        self.uses = self.uses[kept] // 2
 
     def learn(self, words: list[bytes]):
         """Remembers the parts of new words, and the ids of new parts.
@@ -73,7 +83,9 @@ class WordEncoder:
         self.of_words.add(np.array(numbers, dtype=np.int64), np.array(sizes))
         texts, parts.new = [p.decode() for p in parts.new], []
         plain = np.array([t.isalpha() and max(t) < "\u0250" and t == t.lower() for t in texts], dtype=bool)
-        coded = np.array(self.library.encode(" ".join(compress_by(texts, plain)), add_special_tokens=False).ids, dtype=np.uint32)
+        # Without offsets into the text, which cost the library more than the ids.
+        joined, = self.library.encode_batch_fast([" ".join(compress_by(texts, plain))], add_special_tokens=False)
+        coded = np.array(joined.ids, dtype=np.uint32)
         ends = np.append(0, np.flatnonzero(self.ends_word[coded]) + 1)
         if len(ends) - 1 != plain.sum():
             raise ValueError("the vocabulary does not mark the ends of words")
@@ -93,6 +105,8 @@ class WordEncoder:
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         number = np.fromiter(map(self.words.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=counts.sum())
+        self.uses = np.append(self.uses, np.zeros(len(self.words) - len(self.uses), np.int64))
+        self.uses += np.bincount(number, minlength=len(self.uses))
         if self.words.new:
             new, self.words.new = self.words.new, []
             self.learn(new)

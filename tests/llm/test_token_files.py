@@ -20,6 +20,34 @@ def test_ids_are_those_of_the_library():
             assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], text[:40]
 
 
+def test_new_words_are_encoded_without_offsets():
+    encode = tf.WordEncoder(PATH, 2)
+    library = encode.library
+
+    class Fast:
+        encode_batch_fast = staticmethod(library.encode_batch_fast)
+
+    encode.library = Fast()
+    texts = ["plain words, naïve words; ÉCOLE 12", "", ". ,", "words"]
+    flat, sizes = encode([t.encode() for t in texts])
+    for text, ids in zip(texts, np.split(flat, np.cumsum(sizes)[:-1])):
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_words_that_come_again_stay_remembered(monkeypatch):
+    monkeypatch.setattr(tf, "REMEMBERED_WORDS", 40)
+    library, encode, learned = Tokenizer.from_file(PATH), tf.WordEncoder(PATH, 2), []
+    learn = encode.learn
+    encode.learn = lambda words: (learned.extend(words), learn(words))
+    common = "again, and naïve again; it is. ÉCOLE"
+    for k in range(30):
+        texts = [common, " ".join(f"single{chr(97 + k % 26)}{chr(97 + j)}." for j in range(20)) + f" x{k}", ""]
+        flat, sizes = encode([t.encode() for t in texts])
+        for text, ids in zip(texts, np.split(flat, np.cumsum(sizes)[:-1])):
+            assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+    assert learned.count(b"again,") == 1 and len(encode.words) < 100
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(4)
     for n, top in [(1, 5), (7, 2), (5000, 3), (5000, 40_000), (20_000, 60)]:
